@@ -1,0 +1,58 @@
+"""Joins of a large table with a table that is small in practice.
+
+A side is broadcast only when it is known to have at most `SMALL_ROWS` rows: because it
+was given as a list, or because it was counted. Beyond that the join is a shuffle join on
+the keys plus a salt, so one panel that holds a large share of the rows is spread over
+many tasks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
+
+SMALL_ROWS = 10_000
+SALTS = 64
+_SALT = "__salt"
+
+
+def key_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
+    """The fields of `df` named in `keys`, for building a small table with equal types."""
+    return T.StructType([df.schema[k] for k in keys])
+
+
+def bounded_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
+    """The rows of a summary table, or None if there are more than `limit`."""
+    rows = df.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
+def fixed(df: DataFrame, small: DataFrame | Sequence[tuple], schema: T.StructType) -> tuple[DataFrame, list | None]:
+    """`small` as a DataFrame, with its rows when there are at most `SMALL_ROWS` of them."""
+    if isinstance(small, DataFrame):
+        rows = bounded_rows(small)
+        if rows is None:
+            return small, None
+        schema = small.schema
+    else:
+        rows = list(small)
+    table = df.sparkSession.createDataFrame(rows, schema)
+    return table, rows if len(rows) <= SMALL_ROWS else None
+
+
+def join_small(
+    df: DataFrame, table: DataFrame, on: Sequence[str], how: str, is_small: bool
+) -> DataFrame:
+    """Equi-join `df` with `table`; broadcast when small, salted shuffle join otherwise."""
+    if is_small:
+        return df.join(F.broadcast(table), list(on), how)
+    salted = df.withColumn(_SALT, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    copies = table.withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [*on, _SALT], how).drop(_SALT)
+
+
+def all_of(conditions: Sequence[Column]) -> Column:
+    return reduce(and_, conditions)

@@ -1,0 +1 @@
+"""Empty on purpose: the input is a set of static files, so nothing here is a stream."""
