@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from dayweave.functions import finite, month_label
 from dayweave.spec import PanelSpec
 
+# Executors get the fitting functions themselves and need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GRID = 80
+# Relative weight below which the quadratic term counts as undetermined.
+SINGULAR = 1e-9
 
 
 def loess_curve(
@@ -115,29 +123,22 @@ def _local_quadratic(x, n, total, span: float, grid: int) -> np.ndarray:
         u = np.where(distance < h, away / h, 1.0)
         tricube = 1 - np.abs(u * u * u)
         w = tricube * tricube * tricube
-        s, t = _moments(w * n, u, 5), _moments(w * total, u, 3)
-        normal = s[:, [[0, 1, 2], [1, 2, 3], [2, 3, 4]]]
-        with_totals = normal.copy()
-        with_totals[:, :, 0] = t
-        det = _det3(normal)
-        fits = _det3(with_totals) / det
-    solvable = ((w > 0).sum(axis=1) >= 3) & (det > 1e-12 * s[:, 0] * s[:, 2] * s[:, 4])
-    return np.where(solvable, fits, np.nan)
-
-
-def _moments(weight, u, count: int) -> np.ndarray:
-    """Sums of weight * u**k over the days, for k below `count`; one row per grid point."""
-    sums = []
-    for _ in range(count):
-        sums.append(weight.sum(axis=1))
-        weight = weight * u
-    return np.stack(sums, axis=1)
-
-
-def _det3(m: np.ndarray) -> np.ndarray:
-    """Determinants of a stack of 3x3 matrices by the first column."""
-    return (
-        m[:, 0, 0] * (m[:, 1, 1] * m[:, 2, 2] - m[:, 1, 2] * m[:, 2, 1])
-        - m[:, 1, 0] * (m[:, 0, 1] * m[:, 2, 2] - m[:, 0, 2] * m[:, 2, 1])
-        + m[:, 2, 0] * (m[:, 0, 1] * m[:, 1, 2] - m[:, 0, 2] * m[:, 1, 1])
-    )
+        wn = w * n
+
+        # Polynomials 1, d, p2 orthogonal under the weights: no badly conditioned system.
+        s0 = _sum(wn)
+        mean_u, level = _sum(wn * u) / s0, _sum(w * total) / s0
+        d = u - mean_u
+        m2, m3 = _sum(wn * d * d), _sum(wn * d * d * d)
+        skew, var = m3 / m2, m2 / s0
+        p2 = d * d - skew * d - var
+        q2 = _sum(wn * p2 * p2)
+        at_zero = mean_u * mean_u + skew * mean_u - var
+        rest = w * (total - n * level)
+        fits = level - _sum(rest * d) / m2 * mean_u + _sum(rest * p2) / q2 * at_zero
+        solvable = (_sum(w > 0) >= 3) & (q2 > SINGULAR * s0)
+    return np.where(solvable, fits, np.nan)[:, 0]
+
+
+def _sum(terms) -> np.ndarray:
+    return terms.sum(axis=1, keepdims=True)

@@ -93,10 +93,11 @@ GROUP BY {_PANEL}, day, lo"""
 def _loess(before: str, source: str, keys: str, labels: list[tuple[str, str]], month: str) -> str:
     days = "\n  UNION ALL\n  ".join(
         f"SELECT {keys}, '{label}' AS label, CAST(date_diff('day', DATE '1970-01-01', day) AS INTEGER) AS x,\n"
-        f"         count({column}) AS n, sum({column}) AS total\n"
+        f"         count({column}) AS n, fsum({column}) AS total\n"
         f"  FROM {source} WHERE {column} IS NOT NULL GROUP BY {keys}, day"
         for label, column in labels
     )
+    # fsum is DuckDB's compensated sum; the plain one is off in the 14th digit here.
     group = f"{keys}, label"
     return f"""WITH {before},
 days AS (
@@ -120,18 +121,25 @@ units AS (
          CASE WHEN distance < h THEN away / h ELSE 1 END AS u FROM scaled),
 weighted AS (
   SELECT *, (1 - abs(u * u * u)) * (1 - abs(u * u * u)) * (1 - abs(u * u * u)) AS w FROM units),
-moments AS (
-  SELECT {group}, grid_idx, g, count(CASE WHEN w > 0 THEN 1 END) AS m,
-         sum(w * n) AS s0, sum(w * n * u) AS s1, sum(w * n * u * u) AS s2,
-         sum(w * n * u * u * u) AS s3, sum(w * n * u * u * u * u) AS s4,
-         sum(w * total) AS t0, sum(w * total * u) AS t1, sum(w * total * u * u) AS t2
-  FROM weighted GROUP BY {group}, grid_idx, g),
+centred AS (
+  SELECT *, fsum(w * n) OVER g AS s0, u - fsum(w * n * u) OVER g / fsum(w * n) OVER g AS d,
+         fsum(w * n * u) OVER g / fsum(w * n) OVER g AS mean_u,
+         fsum(w * total) OVER g / fsum(w * n) OVER g AS level
+  FROM weighted WINDOW g AS (PARTITION BY {group}, grid_idx)),
+spread AS (
+  SELECT *, fsum(w * n * d * d) OVER g AS m2, fsum(w * n * d * d * d) OVER g AS m3
+  FROM centred WINDOW g AS (PARTITION BY {group}, grid_idx)),
+orthogonal AS (
+  SELECT *, d * d - m3 / m2 * d - m2 / s0 AS p2, w * (total - n * level) AS rest FROM spread),
 solved AS (
-  SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det,
-            t0 * (s2 * s4 - s3 * s3) - t1 * (s1 * s4 - s2 * s3) + t2 * (s1 * s3 - s2 * s2) AS top
-  FROM moments)
+  SELECT {group}, grid_idx, g, count(CASE WHEN w > 0 THEN 1 END) AS m, s0,
+         fsum(w * n * p2 * p2) AS q2,
+         level - fsum(rest * d) / m2 * mean_u
+           + fsum(rest * p2) / fsum(w * n * p2 * p2)
+             * (mean_u * mean_u + m3 / m2 * mean_u - m2 / s0) AS top
+  FROM orthogonal GROUP BY {group}, grid_idx, g, s0, m2, m3, mean_u, level)
 SELECT {group}, CAST(grid_idx AS INTEGER) AS grid_idx, round(g, 4) AS x_day,
-       round(CASE WHEN m >= 3 AND det > 1e-12::DOUBLE * s0 * s2 * s4 THEN top / det END, 4) AS fit{month}
+       round(CASE WHEN m >= 3 AND q2 > 1e-9::DOUBLE * s0 THEN top END, 4) AS fit{month}
 FROM solved"""
 
 
@@ -212,9 +220,12 @@ SELECT event_type, user_id, t, day, 'Spon' AS label, round(coalesce(mean_spon, 0
 FROM completed
 UNION ALL
 SELECT event_type, user_id, t, day, 'An', round(coalesce(mean_an, 0), 6) FROM completed""",
-    "series_names": f"""WITH {_NATION_SERIES}
-SELECT l_returnflag || l_linestatus || '_' || n_name || '_' || label AS series, t, day,
-       round(value, 6) AS value FROM series""",
+    "series_names": f"""WITH {_COMPLETE_EVENTS}
+SELECT event_type || '_' || user_id || '_Spon' AS series, t, day,
+       round(coalesce(mean_spon, 0), 6) AS value FROM completed
+UNION ALL
+SELECT event_type || '_' || user_id || '_An', t, day, round(coalesce(mean_an, 0), 6)
+FROM completed""",
     "wide_spon": _wide("Spon", "mean_spon", _NATION_COLUMNS),
     "wide_an": _wide("An", "mean_an", _NATION_COLUMNS),
     "wide_one_panel": _wide(

@@ -278,17 +278,11 @@ def series_offset_query(spark, sf_dir):
     return rounded(series_offset(filled, EVENTS), "value")
 
 
-def _nation_series(spark, sf_dir):
-    rows = nation_lines(spark, sf_dir)
-    completed = complete_days(
-        daily_mean(rows, NATIONS), NATIONS, panel_bounds(rows, NATIONS), NATION_PICKS
-    )
-    series = series_offset(zero_fill(completed, NATIONS), NATIONS)
-    return with_series_name(with_panel_code(series, NATIONS, CODES), "panel")
-
-
 def series_names(spark, sf_dir):
-    return rounded(_nation_series(spark, sf_dir).select("series", "t", "day", "value"), "value")
+    filled = zero_fill(_completed_events(spark, sf_dir), EVENTS)
+    aliased = filled.withColumn("alias", F.col("user_id").cast("string"))
+    named = with_series_name(series_offset(aliased, EVENTS), "event_type")
+    return rounded(named.select("series", "t", "day", "value"), "value")
 
 
 def _wide(spark, sf_dir, label, picks, prefix=""):
@@ -350,15 +344,23 @@ def csv_text_round_trip(spark, sf_dir):
 
 def wide_csv_sink(spark, sf_dir):
     path = scratch_path(spark, "wide")
+    rows = nation_lines(spark, sf_dir)
+    completed = complete_days(
+        daily_mean(rows, NATIONS), NATIONS, panel_bounds(rows, NATIONS), NATION_PICKS
+    )
+    series = series_offset(zero_fill(completed, NATIONS), NATIONS)
+    named = with_series_name(with_panel_code(series, NATIONS, CODES), "panel")
     position = F.array_position(F.array(*[F.lit(n) for n in NATION_NAMES]), F.col("alias"))
-    series = _nation_series(spark, sf_dir).select(
-        F.concat_ws("_", F.lit("VARdf"), "panel", "label").alias("name"),
-        position.alias("position"),
-        F.col("series").alias("column"),
-        "t",
-        "value",
+    write_wide_csv(
+        named.select(
+            F.concat_ws("_", F.lit("VARdf"), "panel", "label").alias("name"),
+            position.alias("position"),
+            F.col("series").alias("column"),
+            "t",
+            "value",
+        ),
+        path,
     )
-    write_wide_csv(series, path)
     columns = ", ".join(f"{n} double" for n in NATION_NAMES)
     read = spark.read.csv(path, header=True, schema=f"row int, {columns}, name string")
     return rounded(read, *NATION_NAMES)
