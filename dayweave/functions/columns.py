@@ -56,6 +56,7 @@ def csv_number(x: Column) -> Column:
     infinite = F.when(x > 0, "Inf").otherwise("-Inf")
     return (
         F.when(x.isNull() | F.isnan(x), "NA")
+        .when((x == F.floor(x)) & (F.abs(x) < 1e5), x.cast("long").cast("string"))
         .when(F.abs(x) == F.lit(float("inf")), infinite)
         .otherwise(shorter)
     )

@@ -34,12 +34,7 @@ def drop_accounts(
     names: dict[tuple, list] = {}
     for *panel, account in drops:
         names.setdefault(tuple(panel), []).append(account)
-    schema = T.StructType(
-        [
-            *key_schema(df, spec.panel).fields,
-            T.StructField("__names", T.ArrayType(df.schema[column].dataType)),
-        ]
-    )
+    schema = key_schema(df, spec.panel).add("__names", T.ArrayType(df.schema[column].dataType))
     table, rows = fixed(df, [(*p, n) for p, n in names.items()], schema)
     listed = join_small(df, table, spec.panel, "left", rows is not None)
     quantifier = F.exists if mode == ANY_DIFFERS else F.forall
@@ -55,6 +50,6 @@ def drop_everywhere(df: DataFrame, column: str, *names, mode: str = ALL_DIFFER)
 
 def pick_accounts(df: DataFrame, spec: PanelSpec, picks: DataFrame | Sequence[tuple]) -> DataFrame:
     """Rows of the accounts listed as (panel keys, account, alias), with their alias."""
-    schema = T.StructType([*key_schema(df, spec.series).fields, T.StructField("alias", T.StringType())])
+    schema = key_schema(df, spec.series).add("alias", "string")
     table, rows = fixed(df, picks, schema)
     return join_small(df, table, spec.series, "inner", rows is not None)

@@ -26,11 +26,13 @@ def panel_bounds(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def calendar(bounds: DataFrame, spec: PanelSpec) -> DataFrame:
     """Every day of each panel from its first to its last."""
-    return bounds.select(*spec.panel, F.explode(_days(F.col("lo"), F.col("hi"))).alias(spec.day))
+    return bounds.select(*spec.panel, _each_day("lo", "hi").alias(spec.day))
 
 
-def _days(start: Column, end: Column) -> Column:
-    return F.when(start <= end, F.sequence(start, end, F.expr("interval 1 day")))
+def _each_day(start: str, end: str) -> Column:
+    """One row per day; needs start <= end. The outer form avoids an emptiness test that
+    would build every sequence twice."""
+    return F.explode_outer(F.sequence(start, end, F.expr("interval 1 day")))
 
 
 def complete_days(
@@ -47,32 +49,31 @@ def complete_days(
     keeps only those accounts, and gives a full empty series to those without any row.
     """
     rows = daily.where(F.col(spec.day).isNotNull())
-    extra = []
+    names = list(spec.series)
     if accounts is not None:
-        rows = pick_accounts(rows, spec, accounts)
-        extra = ["alias"]
-        listed, _ = fixed(daily, accounts, rows.select(*spec.series, "alias").schema)
+        names.append("alias")
+        listed, known = fixed(daily, accounts, key_schema(daily, spec.series).add("alias", "string"))
+        rows = join_small(rows, listed, spec.series, "inner", known is not None)
         rows = rows.unionByName(listed, allowMissingColumns=True)
-    if not isinstance(bounds, DataFrame):
-        bounds = list(bounds)
     lo_hi, known = fixed(daily, bounds, _bounds_schema(daily, spec))
     rows = join_small(rows, lo_hi, spec.panel, "inner", known is not None)
 
-    by_day = Window.partitionBy(*spec.series).orderBy(F.col(spec.day).asc_nulls_first())
+    by_day = Window.partitionBy(*names).orderBy(F.col(spec.day).asc_nulls_first())
     first = F.row_number().over(by_day) == 1
     following = F.lead(spec.day).over(by_day)
     own = F.col(spec.day)
-    covered = _days(
-        F.when(first, F.col("lo")).otherwise(own),
-        F.coalesce(F.date_sub(following, 1), F.col("hi")),
-    )
     means = [F.when(F.col("__day") == own, F.col(m)).alias(m) for m in spec.means]
     return (
-        rows.withColumn("__covered", covered)
-        .withColumn("__day", F.explode("__covered"))
+        rows.withColumns(
+            {
+                "__from": F.when(first, F.col("lo")).otherwise(own),
+                "__to": F.coalesce(F.date_sub(following, 1), F.col("hi")),
+            }
+        )
+        .where(F.col("__from") <= F.col("__to"))
+        .withColumn("__day", _each_day("__from", "__to"))
         .select(
-            *spec.series,
-            *extra,
+            *names,
             F.col("__day").alias(spec.day),
             F.datediff("__day", "lo").alias("t"),
             *means,
@@ -142,7 +143,7 @@ def wide_table(
     panels = list(dict.fromkeys(tuple(p[: len(spec.panel)]) for p in picks))
     wanted = daily.sparkSession.createDataFrame(panels, key_schema(daily, spec.panel))
     days = lo_hi.join(F.broadcast(wanted), list(spec.panel), "left_semi").select(
-        *spec.panel, "lo", F.explode(_days(F.col("lo"), F.col("hi"))).alias(spec.day)
+        *spec.panel, "lo", _each_day("lo", "hi").alias(spec.day)
     )
     return (
         days.join(by_day, day_keys, "left")

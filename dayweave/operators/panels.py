@@ -35,7 +35,7 @@ def with_panel_code(
     df: DataFrame, spec: PanelSpec, codes: DataFrame | Sequence[tuple], code: str = "panel"
 ) -> DataFrame:
     """Name each panel by lookup in `codes` (panel keys, code); unlisted panels are left out."""
-    schema = T.StructType([*key_schema(df, spec.panel).fields, T.StructField(code, T.StringType())])
+    schema = key_schema(df, spec.panel).add(code, "string")
     table, rows = fixed(df, codes, schema)
     return join_small(df, table, spec.panel, "inner", rows is not None)
 

@@ -63,7 +63,8 @@ def loess_curve(
         ),
     ).where(F.col("n") > 0)
     series = (
-        per_label.groupBy(*spec.series, "label")
+        per_label.repartition(*spec.series)
+        .groupBy(*spec.series, "label")
         .agg(
             F.collect_list(F.struct("x", "n", "total")).alias("days"),
             F.min("x").alias("lo"),
@@ -72,9 +73,10 @@ def loess_curve(
         .where(F.col("lo") < F.col("hi"))
     )
     fits = _fitter(span, grid)(F.col("days.x"), F.col("days.n"), F.col("days.total"))
+    # The outer form keeps Spark from calling the function a second time to test for emptiness.
     return (
         series.select(*spec.series, "label", "lo", "hi", fits.alias("fits"))
-        .select(*spec.series, "label", "lo", "hi", F.posexplode("fits").alias("grid_idx", "fit"))
+        .select(*spec.series, "label", "lo", "hi", F.posexplode_outer("fits").alias("grid_idx", "fit"))
         .select(
             *spec.series,
             "label",
@@ -107,7 +109,9 @@ def _fitter(span: float, grid: int):
 
 def _local_quadratic(x, n, total, span: float, grid: int) -> np.ndarray:
     """Fits at `grid` points for days `x` with `n` rows summing to `total` on each."""
-    lo, hi = x.min(), x.max()
+    order = np.argsort(x)
+    x, n, total = x[order], n[order], total[order]
+    lo, hi = x[0], x[-1]
     at = lo + np.arange(grid) * (hi - lo) / (grid - 1.0)
     away = x - at[:, None]
     distance = np.abs(away)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from dayweave.functions import strict
 from dayweave.operators.small import fixed, join_small, key_schema
@@ -49,13 +49,7 @@ def clip_to_window(
     range is also put on the scan as a literal filter, so files and row groups outside
     every window are not read.
     """
-    schema = T.StructType(
-        [
-            *key_schema(df, spec.panel).fields,
-            T.StructField("lo", T.DateType()),
-            T.StructField("hi", T.DateType()),
-        ]
-    )
+    schema = key_schema(df, spec.panel).add("lo", "date").add("hi", "date")
     table, rows = fixed(df, windows, schema)
     if rows is not None:
         bounds = [(r[-2], r[-1]) for r in rows]

@@ -39,6 +39,7 @@ from dayweave.operators.smooth import loess_curve, with_month_label
 from dayweave.operators.windows import account_span, clip_to_window, common_window
 from dayweave.functions import day_of, month_label
 from dayweave.sources import (
+    materialize,
     read_scored_csv,
     scratch_path,
     write_scored_csv,
@@ -285,24 +286,25 @@ def series_names(spark, sf_dir):
     return rounded(named.select("series", "t", "day", "value"), "value")
 
 
-def _wide(spark, sf_dir, label, picks, prefix=""):
-    rows = clipped(nation_lines(spark, sf_dir), NATIONS)
-    wide = wide_table(
-        daily_mean(rows, NATIONS), NATIONS, label, picks, panel_bounds(rows, NATIONS), prefix
-    )
+def _wide(rows, label, picks, prefix=""):
+    # Collapsing to days first and clipping then is the same, and reads the input once.
+    daily = materialize(daily_mean(rows, NATIONS), "daily")
+    daily = clipped(daily, NATIONS)
+    wide = wide_table(daily, NATIONS, label, picks, panel_bounds(daily, NATIONS), prefix)
     return rounded(wide, *wide.columns[4:])
 
 
 def wide_spon(spark, sf_dir):
-    return _wide(spark, sf_dir, "Spon", NATION_PICKS)
+    return _wide(nation_lines(spark, sf_dir), "Spon", NATION_PICKS)
 
 
 def wide_an(spark, sf_dir):
-    return _wide(spark, sf_dir, "An", NATION_PICKS)
+    return _wide(nation_lines(spark, sf_dir), "An", NATION_PICKS)
 
 
 def wide_one_panel(spark, sf_dir):
-    return _wide(spark, sf_dir, "Spon", ONE_PANEL_PICKS, prefix="AF_")
+    rows = one_panel(nation_lines(spark, sf_dir), NATIONS, "A", "F")
+    return _wide(rows, "Spon", ONE_PANEL_PICKS, prefix="AF_")
 
 
 # Curves
@@ -344,10 +346,8 @@ def csv_text_round_trip(spark, sf_dir):
 
 def wide_csv_sink(spark, sf_dir):
     path = scratch_path(spark, "wide")
-    rows = nation_lines(spark, sf_dir)
-    completed = complete_days(
-        daily_mean(rows, NATIONS), NATIONS, panel_bounds(rows, NATIONS), NATION_PICKS
-    )
+    daily = materialize(daily_mean(nation_lines(spark, sf_dir), NATIONS), "daily")
+    completed = complete_days(daily, NATIONS, panel_bounds(daily, NATIONS), NATION_PICKS)
     series = series_offset(zero_fill(completed, NATIONS), NATIONS)
     named = with_series_name(with_panel_code(series, NATIONS, CODES), "panel")
     position = F.array_position(F.array(*[F.lit(n) for n in NATION_NAMES]), F.col("alias"))
