@@ -116,12 +116,14 @@ def _local_quadratic(x, n, total, span: float, grid: int) -> np.ndarray:
     away = x - at[:, None]
     distance = np.abs(away)
 
-    # Bandwidth: distance to the q-th nearest row, where a day counts n times.
-    q = min(n.sum(), np.floor(span * n.sum() + 1e-5))
-    nearest = np.argsort(distance, axis=1)
-    reached = np.cumsum(n[nearest], axis=1) < q
-    which = nearest[np.arange(grid), reached.sum(axis=1)]
-    h = distance[np.arange(grid), which][:, None]
+    # Bandwidth: distance to the q-th nearest row, where a day counts n times. The q nearest
+    # rows fill a run of days, so it is the radius that reaches both ends of the best run
+    # with at least q rows; the runs are the same for every grid point.
+    reached = np.cumsum(n)
+    q = min(reached[-1], np.floor(span * reached[-1] + 1e-5))
+    ends = np.searchsorted(reached, reached - n + q)
+    starts = np.flatnonzero(ends < len(x))
+    h = np.maximum(distance[:, starts], distance[:, ends[starts]]).min(axis=1)[:, None]
 
     with np.errstate(divide="ignore", invalid="ignore"):
         u = np.where(distance < h, away / h, 1.0)

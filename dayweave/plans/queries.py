@@ -122,7 +122,9 @@ def clipped(rows: DataFrame, spec: PanelSpec) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Round for comparison; 9 digits first, so that near ties do not depend on the order of
+    summing."""
+    return df.withColumns({c: F.round(F.round(c, 9), digits) for c in columns})
 
 
 def _rounded_means(df: DataFrame, spec: PanelSpec) -> DataFrame:
