@@ -5,6 +5,7 @@ from dayweave.functions.columns import (
     month_label,
     series_name,
     strict,
+    strict_mean,
 )
 
-__all__ = ["csv_number", "day_of", "finite", "month_label", "series_name", "strict"]
+__all__ = ["csv_number", "day_of", "finite", "month_label", "series_name", "strict", "strict_mean"]

@@ -26,6 +26,11 @@ def strict(aggregate, column: Column | str) -> Column:
     return F.when(F.count(F.lit(1)) == F.count(column), aggregate(column))
 
 
+def strict_mean(column: Column | str) -> Column:
+    """`strict` average; from one sum and one count, where avg would keep a second count."""
+    return F.when(F.count(F.lit(1)) == F.count(column), F.sum(column) / F.count(column))
+
+
 def finite(score: Column | str) -> Column:
     """The score, or NULL where it is NaN or infinite."""
     score = F.col(score) if isinstance(score, str) else score

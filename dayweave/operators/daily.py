@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from dayweave.functions import strict
-from dayweave.operators.small import SMALL_ROWS, all_of
+from dayweave.functions import strict_mean
+from dayweave.operators.small import SMALL_ROWS
 from dayweave.spec import PanelSpec
 
 HOT_ROWS = 1_000_000
@@ -13,7 +13,7 @@ HOT_ROWS = 1_000_000
 
 def _means(spec: PanelSpec, skip_missing: bool):
     return [
-        (F.avg(m.column) if skip_missing else strict(F.avg, m.column)).alias(m.mean)
+        (F.avg(m.column) if skip_missing else strict_mean(m.column)).alias(m.mean)
         for m in spec.measures
     ]
 
@@ -35,39 +35,34 @@ def mean_on_rows(
 
     A window over the account-day would put all its rows in one task. Here the means come
     from the aggregate. The largest account-days, at most `SMALL_ROWS` of those above
-    `hot_rows` rows, are attached by broadcast, and their rows get a salt that spreads
-    them over the shuffle that serves the rest. An account-day beyond that list holds less
+    `hot_rows` rows, are attached by broadcast, and their rows are spread evenly over the
+    shuffle that serves the rest. An account-day beyond that list holds less
     than one `SMALL_ROWS`-th of the rows.
     """
     keys, means = spec.account_day, spec.means
     daily = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *_means(spec, skip_missing))
+    # A struct of the keys compares missing keys as equal.
+    table = daily.select(F.struct(*keys).alias("__of"), F.struct("__n", *means).alias("__found"))
     hot = (
-        daily.where(F.col("__n") > hot_rows)
-        .orderBy(F.desc("__n"))
+        table.where(F.col("__found.__n") > hot_rows)
+        .orderBy(F.desc("__found.__n"))
         .limit(SMALL_ROWS)
-        .select(
-            *[F.col(k).alias(f"__hot_{k}") for k in keys],
-            F.struct("__n", *means).alias("__hot"),
-        )
+        .withColumnsRenamed({"__of": "__hot_of", "__found": "__hot"})
     )
-    rest = daily.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.lit(0).cast("long").alias("__k_salt"),
-        F.struct("__n", *means).alias("__rest"),
+    rows = df.withColumn("__key", F.struct(*keys)).join(
+        F.broadcast(hot), F.col("__key") == F.col("__hot_of"), "left"
     )
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(SMALL_ROWS)) + 1
-    rows = df.join(
-        F.broadcast(hot), all_of([F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys]), "left"
-    ).withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0).cast("long")).otherwise(spread))
+    # Shuffled and sorted by a hash: of the account-day, or of the whole row where the means
+    # are known already, which spreads the rows of a hot account-day.
+    rows = rows.withColumn(
+        "__hash",
+        F.when(F.col("__hot").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(*df.columns)),
+    )
+    rest = table.withColumn("__of_hash", F.xxhash64(*[F.col("__of")[k] for k in keys]))
     joined = rows.join(
-        rest,
-        all_of(
-            [F.col("__salt") == F.col("__k_salt")]
-            + [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-        ),
-        "left",
+        rest, (F.col("__hash") == F.col("__of_hash")) & (F.col("__key") == F.col("__of")), "left"
     )
-    found = F.coalesce("__hot", "__rest")
+    found = F.coalesce("__hot", "__found")
     return joined.select(*df.columns, *[found[m].alias(m) for m in means])
 
 
@@ -79,3 +74,9 @@ def active_days(daily: DataFrame, spec: PanelSpec) -> DataFrame:
 def min_active_days(daily: DataFrame, spec: PanelSpec, least: int) -> DataFrame:
     """Accounts with at least `least` active days."""
     return active_days(daily, spec).where(F.col("n") >= least)
+
+
+def drop_sparse(daily: DataFrame, spec: PanelSpec, least: int) -> DataFrame:
+    """Daily rows of the accounts with at least `least` active days."""
+    days = F.count(F.lit(1)).over(Window.partitionBy(*spec.series))
+    return daily.withColumn("__days", days).where(F.col("__days") >= least).drop("__days")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from dayweave.functions import day_of
-from dayweave.operators.small import all_of, fixed, join_small, key_schema
+from dayweave.operators.small import fixed, join_small, key_schema
 from dayweave.spec import PanelSpec
 
 
@@ -20,7 +20,9 @@ def with_day(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def one_panel(df: DataFrame, spec: PanelSpec, *values) -> DataFrame:
     """The rows of one panel; rows with a missing key belong to none."""
-    return df.where(all_of([F.col(k) == F.lit(v) for k, v in zip(spec.panel, values, strict=True)]))
+    for key, value in zip(spec.panel, values, strict=True):
+        df = df.where(F.col(key) == F.lit(value))
+    return df
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -9,10 +9,8 @@ many tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 
 SMALL_ROWS = 10_000
 SALTS = 64
@@ -31,8 +29,13 @@ def bounded_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
 
 
 def fixed(df: DataFrame, small: DataFrame | Sequence[tuple], schema: T.StructType) -> tuple[DataFrame, list | None]:
-    """`small` as a DataFrame, with its rows when there are at most `SMALL_ROWS` of them."""
+    """`small` as a DataFrame, with its rows when there are at most `SMALL_ROWS` of them.
+
+    Given as a list, its rows have the fields of `schema` in that order; given as a
+    DataFrame, it has columns of those names.
+    """
     if isinstance(small, DataFrame):
+        small = small.select(*schema.names)
         rows = bounded_rows(small)
         if rows is None:
             return small, None
@@ -52,7 +55,3 @@ def join_small(
     salted = df.withColumn(_SALT, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
     copies = table.withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, [*on, _SALT], how).drop(_SALT)
-
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(and_, conditions)

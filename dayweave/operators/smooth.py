@@ -38,7 +38,7 @@ def loess_curve(
     day. Rows without a day or with a missing or infinite score are left out; accounts with
     a single day give no curve; where fewer than three days have weight, `fit` is NULL.
     """
-    measures = [m for m in spec.measures if labels is None or m.label in labels]
+    measures = spec.only(*labels).measures if labels else spec.measures
     scored = rows.where(F.col(spec.day).isNotNull()).select(
         *spec.account_day, *[finite(m.column).alias(m.label) for m in measures]
     )
@@ -62,8 +62,11 @@ def loess_curve(
             )
         ),
     ).where(F.col("n") > 0)
+    # An explicit number of partitions: adaptive execution merges partitions by their bytes,
+    # which are few here, while the work per byte is large.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     series = (
-        per_label.repartition(*spec.series)
+        per_label.repartition(tasks, *spec.series)
         .groupBy(*spec.series, "label")
         .agg(
             F.collect_list(F.struct("x", "n", "total")).alias("days"),

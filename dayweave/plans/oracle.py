@@ -190,6 +190,10 @@ SELECT event_type, user_id, day, {_ROUNDED} FROM daily""",
 FROM li GROUP BY {_PANEL}, l_suppkey""",
     "min_active_days": f"""WITH {_LI} SELECT {_PANEL}, l_suppkey, count(DISTINCT day) AS n
 FROM li GROUP BY {_PANEL}, l_suppkey HAVING count(DISTINCT day) >= {q.LEAST_DAYS}""",
+    "drop_sparse_accounts": f"""WITH {_LI}, {_daily("li", _PANEL + ", l_suppkey")}
+SELECT {_PANEL}, l_suppkey, day, {_ROUNDED} FROM daily JOIN (
+  SELECT {_PANEL}, l_suppkey FROM daily GROUP BY {_PANEL}, l_suppkey HAVING count(*) >= {q.LEAST_DAYS})
+USING ({_PANEL}, l_suppkey)""",
     "drop_account": f"WITH {_LI} SELECT * FROM li WHERE l_suppkey <> {q.DROPPED_NAME}",
     "drop_any_ne_literal": f"""WITH {_LI} SELECT * FROM li
 WHERE CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN l_suppkey <> 3 OR l_suppkey <> 5

@@ -83,9 +83,12 @@ def run(
     account_span(rows, SPEC).write.parquet(f"{out}/account_span")
 
     clipped = clip_to_window(rows, SPEC, config.windows)
-    with_panel_code(daily_mean(clipped, SPEC), SPEC, config.codes).write.partitionBy(
-        "panel"
-    ).parquet(f"{out}/daily")
+    coded = with_panel_code(daily_mean(clipped, SPEC), SPEC, config.codes)
+    (
+        coded.sortWithinPartitions("panel", SPEC.account, SPEC.day)
+        .write.partitionBy("panel")
+        .parquet(f"{out}/daily")
+    )
     daily = spark.read.parquet(f"{out}/daily")
     active_days(daily, SPEC).write.parquet(f"{out}/active_days")
 

@@ -26,7 +26,13 @@ from dayweave.operators.calendar import (
     with_series_name,
     zero_fill,
 )
-from dayweave.operators.daily import active_days, daily_mean, mean_on_rows, min_active_days
+from dayweave.operators.daily import (
+    active_days,
+    daily_mean,
+    drop_sparse,
+    mean_on_rows,
+    min_active_days,
+)
 from dayweave.operators.panels import (
     distinct_values,
     frequency_table,
@@ -219,6 +225,11 @@ def min_active_days_query(spark, sf_dir):
     return min_active_days(daily_mean(lines(spark, sf_dir), LINES), LINES, LEAST_DAYS)
 
 
+def drop_sparse_accounts(spark, sf_dir):
+    daily = daily_mean(lines(spark, sf_dir), LINES)
+    return _rounded_means(drop_sparse(daily, LINES, LEAST_DAYS), LINES)
+
+
 # Accounts by name
 
 
@@ -290,9 +301,9 @@ def series_names(spark, sf_dir):
 
 def _wide(rows, label, picks, prefix=""):
     # Collapsing to days first and clipping then is the same, and reads the input once.
-    daily = materialize(daily_mean(rows, NATIONS), "daily")
-    daily = clipped(daily, NATIONS)
-    wide = wide_table(daily, NATIONS, label, picks, panel_bounds(daily, NATIONS), prefix)
+    spec = NATIONS.only(label)
+    daily = clipped(materialize(daily_mean(rows, spec), "daily"), spec)
+    wide = wide_table(daily, spec, label, picks, panel_bounds(daily, spec), prefix)
     return rounded(wide, *wide.columns[4:])
 
 
@@ -387,6 +398,7 @@ QUERIES = {
     "distinct_rows": distinct_rows,
     "active_days": active_days_query,
     "min_active_days": min_active_days_query,
+    "drop_sparse_accounts": drop_sparse_accounts,
     "drop_account": drop_account,
     "drop_any_ne_literal": drop_any_ne_literal,
     "drop_any_ne_one_table": drop_any_ne_one_table,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,10 @@ class PanelSpec:
     def measure(self, label: str) -> Measure:
         return next(m for m in self.measures if m.label == label)
 
+    def only(self, *labels: str) -> PanelSpec:
+        """The same roles with only the scores of these labels."""
+        return replace(self, measures=tuple(m for m in self.measures if m.label in labels))
+
 
 SCORED_POSTS = PanelSpec(
     panel=("CountryElection", "type_of_account"),

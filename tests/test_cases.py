@@ -23,7 +23,7 @@ from dayweave.operators.calendar import (
     wide_table,
     zero_fill,
 )
-from dayweave.operators.daily import active_days, daily_mean, mean_on_rows
+from dayweave.operators.daily import active_days, daily_mean, drop_sparse, mean_on_rows, min_active_days
 from dayweave.operators.panels import frequency_table, one_panel, with_day, with_panel_code
 from dayweave.operators.windows import account_span, clip_to_window, common_window
 
@@ -164,8 +164,15 @@ def test_rows_keep_their_mean(table):
     assert rows_of(active_days(daily, SPEC), "who", "n") == [("a", 1)]
 
 
+@pytest.fixture(params=["10MB", "-1"], ids=["broadcast", "shuffle"])
+def join_threshold(spark, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("hot_rows", [1_000_000, 3, 0])
-def test_hot_account_days_get_the_same_means(table, hot_rows):
+def test_hot_account_days_get_the_same_means(table, hot_rows, join_threshold):
     hot = [("p", "a", D, float(i), None if i == 7 else 1.0) for i in range(50)]
     rest = [("p", "b", day(i % 5), float(i), 2.0) for i in range(12)]
     odd = [("p", None, None, 4.0, 4.0), (None, "b", D, 5.0, 5.0)]
@@ -181,6 +188,12 @@ def test_hot_account_days_get_the_same_means(table, hot_rows):
     assert got == sorted(expected, key=repr)
 
 
+def test_sparse_accounts(table):
+    daily = table([("p", "a", day(i), 1.0, 1.0) for i in range(4)] + [("p", "b", D, 1.0, 1.0), ("q", "a", D, 1.0, 1.0)])
+    assert rows_of(min_active_days(daily, SPEC, 2), "panel", "who", "n") == [("p", "a", 4)]
+    assert rows_of(drop_sparse(daily, SPEC, 2), "panel", "who") == [("p", "a")] * 4
+
+
 def complete(df, accounts=None):
     daily = daily_mean(df, SPEC)
     return complete_days(daily, SPEC, panel_bounds(daily, SPEC), accounts)

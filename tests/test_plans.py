@@ -44,7 +44,7 @@ def test_window_range_and_columns_reach_the_scan(spark):
 def test_daily_mean_shuffles_partial_sums_once(spark):
     text = plan(daily_mean(lines(spark, SF_DIR), LINES))
     assert text.count("Exchange") == 1
-    assert "partial_avg" in text.split("Exchange")[1]
+    assert "partial_sum" in text.split("Exchange")[1]
 
 
 def test_means_on_rows_aggregate_the_input_once(spark):
