@@ -42,8 +42,8 @@ def month_label(day: Column | str) -> Column:
     return F.date_format(day, "MMM-yy")
 
 
-def series_name(code: Column, alias: Column, label: Column) -> Column:
-    return F.concat_ws("_", code, alias, label)
+def series_name(code: Column, alias: Column, measure: Column) -> Column:
+    return F.concat_ws("_", code, alias, measure)
 
 
 def csv_number(x: Column) -> Column:

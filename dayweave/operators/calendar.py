@@ -97,18 +97,18 @@ def zero_fill(completed: DataFrame, spec: PanelSpec) -> DataFrame:
 
 
 def series_offset(filled: DataFrame, spec: PanelSpec) -> DataFrame:
-    """One ordered series per account and score: (series key, label, t, day, value)."""
+    """One ordered series per account and score: (series key, t, day, measure, value)."""
     values = F.array(
-        *[F.struct(F.lit(m.label).alias("label"), F.col(m.mean).alias("value")) for m in spec.measures]
+        *[F.struct(F.lit(m.label).alias("measure"), F.col(m.mean).alias("value")) for m in spec.measures]
     )
     keys = [*spec.series, *(["alias"] if "alias" in filled.columns else []), "t", spec.day]
     return filled.select(*keys, F.inline(values))
 
 
 def with_series_name(series: DataFrame, code: str) -> DataFrame:
-    """Name each series <panel code>_<alias>_<label>."""
+    """Name each series <panel code>_<alias>_<measure>."""
     return series.withColumn(
-        "series", series_name(F.col(code), F.col("alias"), F.col("label"))
+        "series", series_name(F.col(code), F.col("alias"), F.col("measure"))
     )
 
 

@@ -46,14 +46,14 @@ def loess_curve(
         *[F.count(m.label).alias(f"n_{m.label}") for m in measures],
         *[F.sum(m.label).alias(f"sum_{m.label}") for m in measures],
     )
-    per_label = per_day.select(
+    per_measure = per_day.select(
         *spec.series,
         F.unix_date(spec.day).alias("x"),
         F.inline(
             F.array(
                 *[
                     F.struct(
-                        F.lit(m.label).alias("label"),
+                        F.lit(m.label).alias("measure"),
                         F.col(f"n_{m.label}").alias("n"),
                         F.col(f"sum_{m.label}").alias("total"),
                     )
@@ -66,8 +66,8 @@ def loess_curve(
     # which are few here, while the work per byte is large.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     series = (
-        per_label.repartition(tasks, *spec.series)
-        .groupBy(*spec.series, "label")
+        per_measure.repartition(tasks, *spec.series)
+        .groupBy(*spec.series, "measure")
         .agg(
             F.collect_list(F.struct("x", "n", "total")).alias("days"),
             F.min("x").alias("lo"),
@@ -78,11 +78,11 @@ def loess_curve(
     fits = _fitter(span, grid)(F.col("days.x"), F.col("days.n"), F.col("days.total"))
     # The outer form keeps Spark from calling the function a second time to test for emptiness.
     return (
-        series.select(*spec.series, "label", "lo", "hi", fits.alias("fits"))
-        .select(*spec.series, "label", "lo", "hi", F.posexplode_outer("fits").alias("grid_idx", "fit"))
+        series.select(*spec.series, "measure", "lo", "hi", fits.alias("fits"))
+        .select(*spec.series, "measure", "lo", "hi", F.posexplode_outer("fits").alias("grid_idx", "fit"))
         .select(
             *spec.series,
-            "label",
+            "measure",
             "grid_idx",
             (F.col("lo") + F.col("grid_idx") * (F.col("hi") - F.col("lo")) / (grid - 1.0)).alias("x_day"),
             "fit",

@@ -74,7 +74,7 @@ filled AS (
          coalesce(mean_spon, 0) AS mean_spon, coalesce(mean_an, 0) AS mean_an
   FROM calendar CROSS JOIN nation LEFT JOIN daily USING ({_PANEL}, n_name, day)),
 series AS (
-  SELECT {_PANEL}, n_name, day, t, 'Spon' AS label, mean_spon AS value FROM filled
+  SELECT {_PANEL}, n_name, day, t, 'Spon' AS measure, mean_spon AS value FROM filled
   UNION ALL
   SELECT {_PANEL}, n_name, day, t, 'An', mean_an FROM filled)"""
 
@@ -94,13 +94,13 @@ GROUP BY {_PANEL}, day, lo"""
 
 def _loess(before: str, source: str, keys: str, labels: list[tuple[str, str]], month: str) -> str:
     days = "\n  UNION ALL\n  ".join(
-        f"SELECT {keys}, '{label}' AS label, CAST(date_diff('day', DATE '1970-01-01', day) AS INTEGER) AS x,\n"
+        f"SELECT {keys}, '{label}' AS measure, CAST(date_diff('day', DATE '1970-01-01', day) AS INTEGER) AS x,\n"
         f"         count({column}) AS n, fsum({column}) AS total\n"
         f"  FROM {source} WHERE {column} IS NOT NULL GROUP BY {keys}, day"
         for label, column in labels
     )
     # fsum is DuckDB's compensated sum; the plain one is off in the 14th digit here.
-    group = f"{keys}, label"
+    group = f"{keys}, measure"
     return f"""WITH {before},
 days AS (
   {days}),
@@ -222,7 +222,7 @@ SELECT event_type, user_id, day, t, round(round(coalesce(mean_spon, 0), 9), 6) A
        mean_spon IS NULL AS "was_filled_Spon", mean_an IS NULL AS "was_filled_An"
 FROM completed""",
     "series_offset": f"""WITH {_COMPLETE_EVENTS}
-SELECT event_type, user_id, t, day, 'Spon' AS label, round(round(coalesce(mean_spon, 0), 9), 6) AS value
+SELECT event_type, user_id, t, day, 'Spon' AS measure, round(round(coalesce(mean_spon, 0), 9), 6) AS value
 FROM completed
 UNION ALL
 SELECT event_type, user_id, t, day, 'An', round(round(coalesce(mean_an, 0), 9), 6) FROM completed""",
@@ -254,6 +254,6 @@ FROM lineitem""",
     "csv_text_round_trip": """SELECT lang, CAST(doc_id AS VARCHAR) AS doc_id,
        CAST(n_chars AS DOUBLE) AS n_chars, source, text FROM documents""",
     "wide_csv_sink": f"""WITH {_NATION_SERIES}
-SELECT t + 1 AS row, 'VARdf_' || l_returnflag || l_linestatus || '_' || label AS name, {_NATION_CELLS}
-FROM series GROUP BY t, l_returnflag, l_linestatus, label""",
+SELECT t + 1 AS row, 'VARdf_' || l_returnflag || l_linestatus || '_' || measure AS name, {_NATION_CELLS}
+FROM series GROUP BY t, l_returnflag, l_linestatus, measure""",
 }

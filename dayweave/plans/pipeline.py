@@ -48,9 +48,9 @@ def wide_series(kept: DataFrame, config: Elections) -> DataFrame:
     positions, _ = fixed(series, order, key_schema(series, SPEC.series).add("position", "integer"))
     election = F.split_part("panel", F.lit("_"), F.lit(1))
     return series.join(F.broadcast(positions), SPEC.series).select(
-        F.concat_ws("_", F.lit("VARdf"), "panel", "label").alias("name"),
+        F.concat_ws("_", F.lit("VARdf"), "panel", "measure").alias("name"),
         "position",
-        series_name(election, F.col("alias"), F.col("label")).alias("column"),
+        series_name(election, F.col("alias"), F.col("measure")).alias("column"),
         "t",
         SPEC.day,
         "value",

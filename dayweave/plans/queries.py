@@ -366,7 +366,7 @@ def wide_csv_sink(spark, sf_dir):
     position = F.array_position(F.array(*[F.lit(n) for n in NATION_NAMES]), F.col("alias"))
     write_wide_csv(
         named.select(
-            F.concat_ws("_", F.lit("VARdf"), "panel", "label").alias("name"),
+            F.concat_ws("_", F.lit("VARdf"), "panel", "measure").alias("name"),
             position.alias("position"),
             F.col("series").alias("column"),
             "t",

@@ -21,9 +21,10 @@ def read_scored_csv(
 ) -> DataFrame:
     """The panel keys, account, scores and time of `spec`, and the `extra` columns.
 
-    Columns are found by header name, wherever they stand. Scores are doubles; everything
-    else is text, in which NA is missing and an empty field is an empty string. A score
-    that is no number is missing.
+    Columns are found by header name, wherever they stand; files whose header differs from
+    that of the first are an error. Scores are doubles; everything else is text, in which
+    NA is missing and an empty field is an empty string. A score that is no number is
+    missing.
 
     A file whose fields may contain line breaks cannot be split, so it is read by one task:
     give large input as many files, or set `quoted_newlines=False` if no field has one.
@@ -36,6 +37,7 @@ def read_scored_csv(
         .option("multiLine", quoted_newlines)
         .option("nullValue", _NO_VALUE)
         .option("emptyValue", "")
+        .option("enforceSchema", False)
         .csv(path if isinstance(path, str) else list(path))
     )
     scores = [m.column for m in spec.measures]

@@ -1,6 +1,7 @@
 """Hand-made rows with exact answers."""
 
 import math
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -242,12 +243,49 @@ def test_wide_sums_to_long(table):
     df = table([("p", w, day(i * k), float(i + k), 1.0) for k, w in enumerate("abc", 1) for i in range(5)])
     daily, picks = daily_mean(df, SPEC), [("p", w, w.upper()) for w in "abc"]
     wide = wide_table(daily, SPEC, "X", picks, panel_bounds(daily, SPEC))
-    long = series_offset(zero_fill(complete(df, picks), SPEC), SPEC).where("label = 'X'")
+    long = series_offset(zero_fill(complete(df, picks), SPEC), SPEC).where("measure = 'X'")
     total = wide.select(F.sum(F.col("A_X") + F.col("B_X") + F.col("C_X"))).first()[0]
     assert total == long.agg(F.sum("value")).first()[0]
     assert long.count() == 3 * wide.count() == 3 * calendar(panel_bounds(df, SPEC), SPEC).count()
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_random_panels_against_brute_force(table, seed):
+    rng = random.Random(seed)
+    rows = [
+        (p, f"u{rng.randrange(6)}", day(int(rng.triangular(0, 40))), float(rng.randrange(64)), rng.choice([None, 1.0, 2.0]))
+        for p in ("p", "q", "r") for _ in range(rng.randrange(1, 90))
+    ]
+    df = table(rows)
+    scores = {}
+    for p, w, d, x, y in rows:
+        scores.setdefault((p, w, d), []).append((x, y))
+    first = {p: min(d for q, _, d, *_ in rows if q == p) for p in "pqr"}
+    last = {p: max(d for q, _, d, *_ in rows if q == p) for p in "pqr"}
+
+    def mean(key, i):
+        values = [s[i] for s in scores.get(key, [])]
+        return sum(values) / len(values) if values and None not in values else 0.0
+
+    picks = [(p, f"u{i}", f"A{i}") for p in "pqr" for i in (4, 0, 2)]
+    want = []
+    for p, w, alias in picks:
+        for t in range((last[p] - first[p]).days + 1):
+            key = (p, w, first[p] + timedelta(days=t))
+            want.append((p, alias, t, mean(key, 0), mean(key, 1)))
+    filled = zero_fill(complete(df, picks), SPEC)
+    assert rows_of(filled, "panel", "alias", "t", "mean_x", "mean_y") == sorted(want, key=repr)
+
+    wide = wide_table(daily_mean(df, SPEC), SPEC, "X", picks, panel_bounds(df, SPEC))
+    assert wide.columns[3:] == ["A4_X", "A0_X", "A2_X"]
+    by_day = {}
+    for p, alias, t, x, _ in want:
+        by_day.setdefault((p, t), {})[alias] = x
+    assert rows_of(wide, "panel", "t", "A4_X", "A0_X", "A2_X") == sorted(
+        ((p, t, v["A4"], v["A0"], v["A2"]) for (p, t), v in by_day.items()), key=repr
+    )
+
+
 def test_panel_codes_and_frequencies(table):
     df = table([("p", "a", D, 1.0, 1.0), ("p", "a", D, 1.0, 1.0), ("p", None, D, 1.0, 1.0), ("z", "a", D, 1.0, 1.0)])
     assert rows_of(with_panel_code(df, SPEC, [("p", "P1")], "code"), "code") == [("P1",)] * 3

@@ -50,13 +50,18 @@ def test_missing_values(read):
     assert (read["4"].Authenticity, read["4"].CountryElection) == (7.0, "Honduras 2013")
 
 
-def test_header_order_may_differ_between_files(spark, tmp_path):
+@pytest.mark.parametrize("quoted_newlines", [True, False])
+def test_files_must_agree_on_the_header(spark, tmp_path, quoted_newlines):
     (tmp_path / "a.csv").write_text(HEADER + LINES[1], encoding="utf-8")
-    df = read_scored_csv(spark, str(tmp_path), SCORED_POSTS, quoted_newlines=False)
+    df = read_scored_csv(spark, str(tmp_path), SCORED_POSTS, quoted_newlines=quoted_newlines)
     assert df.count() == 1
     assert df.columns == [
         "CountryElection", "type_of_account", "user_name", "Authenticity", "Analytic", "created_at_seconds",
     ]
+    swapped = HEADER.replace("Authenticity", "x").replace("Analytic", "Authenticity").replace("x,", "Analytic,", 1)
+    (tmp_path / "b.csv").write_text(swapped + LINES[1], encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_scored_csv(spark, str(tmp_path), SCORED_POSTS, quoted_newlines=quoted_newlines).collect()
 
 
 def test_awkward_texts_round_trip(spark, tmp_path):

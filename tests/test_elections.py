@@ -130,8 +130,8 @@ def test_wide_files(out, daily):
 
 def test_curves(spark, out):
     curves = spark.read.parquet(f"{out}/out/curves")
-    assert curves.select("panel", "label").distinct().count() == 48
-    per_curve = curves.groupBy("panel", "label", "user_name").count()
+    assert curves.select("panel", "measure").distinct().count() == 48
+    per_curve = curves.groupBy("panel", "measure", "user_name").count()
     assert {r["count"] for r in per_curve.collect()} == {80}
     assert curves.where("panel = 'CR10_c' and user_name = 'Luis Fishman'").count() == 0
     first = curves.where("panel = 'ES14_c' and grid_idx = 0").select("month").distinct().collect()
@@ -140,7 +140,7 @@ def test_curves(spark, out):
 
 def test_handle_is_left_out_of_one_curve_only(spark, out):
     curves = spark.read.parquet(f"{out}/out/curves").where("user_name = 'By handle'")
-    assert {(r.panel, r.label) for r in curves.collect()} == {("CR14_c", "Spon")}
+    assert {(r.panel, r.measure) for r in curves.collect()} == {("CR14_c", "Spon")}
 
 
 def test_drop_modes(spark, out):

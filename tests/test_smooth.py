@@ -21,7 +21,7 @@ def frame(spark, points):
 
 def fits(curve, label="X"):
     out = {}
-    for r in curve.where(f"label = '{label}'").collect():
+    for r in curve.where(f"measure = '{label}'").collect():
         out.setdefault(r.who, {})[r.grid_idx] = (r.x_day, r.fit)
     return out
 
