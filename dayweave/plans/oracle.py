@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dayweave.plans import queries as q
 
-# Rounding to 9 digits first makes values that differ from a tie by summing order only
-# ties in both engines.
+# Rounding is written out, because the engines' own functions treat ties differently; ties,
+# and what lies below them by a summing error only, go up.
 _LI = """li AS (
   SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_suppkey,
          l_extendedprice AS spon, NULLIF(l_quantity, 13) AS an, CAST(l_shipdate AS DATE) AS day
@@ -21,7 +21,7 @@ _EV = """ev AS (
 _STRICT = """CASE WHEN count(*) = count(spon) THEN avg(spon) END AS mean_spon,
          CASE WHEN count(*) = count(an) THEN avg(an) END AS mean_an"""
 _PANEL = "l_returnflag, l_linestatus"
-_ROUNDED = "round(round(mean_spon, 9), 6) AS mean_spon, round(round(mean_an, 9), 6) AS mean_an"
+_ROUNDED = "floor(mean_spon * 1e6 + 501e-3) / 1e6 AS mean_spon, floor(mean_an * 1e6 + 501e-3) / 1e6 AS mean_an"
 
 
 def _values(rows) -> str:
@@ -81,7 +81,7 @@ series AS (
 
 def _wide(label: str, mean: str, columns: list[tuple[str, str]], where: str = "") -> str:
     cells = ",\n  ".join(
-        f"round(round(coalesce(max(CASE WHEN n_name = '{name}' THEN {mean} END), 0), 9), 6) AS \"{column}_{label}\""
+        f"floor(coalesce(max(CASE WHEN n_name = '{name}' THEN {mean} END), 0) * 1e6 + 501e-3) / 1e6 AS \"{column}_{label}\""
         for name, column in columns
     )
     return f"""WITH {_NA}, {_clip("na", "n_name")}, {_daily("clip", _PANEL + ", n_name")},
@@ -140,15 +140,15 @@ solved AS (
            + fsum(rest * p2) / fsum(w * n * p2 * p2)
              * (mean_u * mean_u + m3 / m2 * mean_u - m2 / s0) AS top
   FROM orthogonal GROUP BY {group}, grid_idx, g, s0, m2, m3, mean_u, level)
-SELECT {group}, CAST(grid_idx AS INTEGER) AS grid_idx, round(round(g, 9), 4) AS x_day,
-       round(round(CASE WHEN m >= 3 AND q2 > 1e-9::DOUBLE * s0 THEN top END, 9), 4) AS fit{month}
+SELECT {group}, CAST(grid_idx AS INTEGER) AS grid_idx, floor(g * 1e4 + 501e-3) / 1e4 AS x_day,
+       floor((CASE WHEN m >= 3 AND q2 > 1e-9::DOUBLE * s0 THEN top END) * 1e4 + 501e-3) / 1e4 AS fit{month}
 FROM solved"""
 
 
 _EVENT_MONTH = ",\n       strftime(DATE '1970-01-01' + CAST(floor(g) AS INTEGER), '%b-%y') AS month"
 _NATION_COLUMNS = [(n, n) for n in q.NATION_NAMES]
 _NATION_CELLS = ", ".join(
-    f"round(round(max(CASE WHEN n_name = '{n}' THEN value END), 9), 6) AS \"{n}\"" for n in q.NATION_NAMES
+    f"floor(max(CASE WHEN n_name = '{n}' THEN value END) * 1e6 + 501e-3) / 1e6 AS \"{n}\"" for n in q.NATION_NAMES
 )
 _ONE_PANEL_COLUMNS = [(name, f"AF_{alias}") for _, _, name, alias in q.ONE_PANEL_PICKS]
 _DROPPED = f"({', '.join(map(str, q.TWO_NAMES))})"
@@ -177,7 +177,7 @@ SELECT li.* FROM li JOIN given USING ({_PANEL}) WHERE day BETWEEN lo AND hi""",
     "daily_mean_strict": f"""WITH {_LI}, {_clip("li", "l_suppkey")}, {_daily("clip", _PANEL + ", l_suppkey")}
 SELECT {_PANEL}, l_suppkey, day, {_ROUNDED} FROM daily""",
     "daily_mean_skip_missing": f"""WITH {_NA}
-SELECT {_PANEL}, n_name, day, round(round(avg(spon), 9), 6) AS mean_spon, round(round(avg(an), 9), 6) AS mean_an
+SELECT {_PANEL}, n_name, day, floor(avg(spon) * 1e6 + 501e-3) / 1e6 AS mean_spon, floor(avg(an) * 1e6 + 501e-3) / 1e6 AS mean_an
 FROM na GROUP BY {_PANEL}, n_name, day""",
     "daily_mean_rows": f"""WITH {_LI}, rows_with_mean AS (
   SELECT *, avg(spon) OVER d AS mean_spon,
@@ -217,20 +217,20 @@ SELECT {_PANEL}, day, strftime(day, '%b-%y') AS month FROM calendar""",
     "complete_days": f"""WITH {_COMPLETE_EVENTS}
 SELECT event_type, user_id, day, t, {_ROUNDED} FROM completed""",
     "zero_filled": f"""WITH {_COMPLETE_EVENTS}
-SELECT event_type, user_id, day, t, round(round(coalesce(mean_spon, 0), 9), 6) AS mean_spon,
-       round(round(coalesce(mean_an, 0), 9), 6) AS mean_an,
+SELECT event_type, user_id, day, t, floor(coalesce(mean_spon, 0) * 1e6 + 501e-3) / 1e6 AS mean_spon,
+       floor(coalesce(mean_an, 0) * 1e6 + 501e-3) / 1e6 AS mean_an,
        mean_spon IS NULL AS "was_filled_Spon", mean_an IS NULL AS "was_filled_An"
 FROM completed""",
     "series_offset": f"""WITH {_COMPLETE_EVENTS}
-SELECT event_type, user_id, t, day, 'Spon' AS measure, round(round(coalesce(mean_spon, 0), 9), 6) AS value
+SELECT event_type, user_id, t, day, 'Spon' AS measure, floor(coalesce(mean_spon, 0) * 1e6 + 501e-3) / 1e6 AS value
 FROM completed
 UNION ALL
-SELECT event_type, user_id, t, day, 'An', round(round(coalesce(mean_an, 0), 9), 6) FROM completed""",
+SELECT event_type, user_id, t, day, 'An', floor(coalesce(mean_an, 0) * 1e6 + 501e-3) / 1e6 FROM completed""",
     "series_names": f"""WITH {_COMPLETE_EVENTS}
 SELECT event_type || '_' || user_id || '_Spon' AS series, t, day,
-       round(round(coalesce(mean_spon, 0), 9), 6) AS value FROM completed
+       floor(coalesce(mean_spon, 0) * 1e6 + 501e-3) / 1e6 AS value FROM completed
 UNION ALL
-SELECT event_type || '_' || user_id || '_An', t, day, round(round(coalesce(mean_an, 0), 9), 6)
+SELECT event_type || '_' || user_id || '_An', t, day, floor(coalesce(mean_an, 0) * 1e6 + 501e-3) / 1e6
 FROM completed""",
     "wide_spon": _wide("Spon", "mean_spon", _NATION_COLUMNS),
     "wide_an": _wide("An", "mean_an", _NATION_COLUMNS),

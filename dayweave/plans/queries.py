@@ -128,9 +128,10 @@ def clipped(rows: DataFrame, spec: PanelSpec) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Round for comparison; 9 digits first, so that near ties do not depend on the order of
-    summing."""
-    return df.withColumns({c: F.round(F.round(c, 9), digits) for c in columns})
+    """Round for comparison. Written out, because the rounding functions of two engines treat
+    ties differently; ties, and what lies below them by a summing error only, go up."""
+    scale = 10.0**digits
+    return df.withColumns({c: F.floor(F.col(c) * scale + 0.501) / scale for c in columns})
 
 
 def _rounded_means(df: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -26,7 +26,7 @@ def _plain(value):
     if isinstance(value, Decimal):
         value = float(value)
     if isinstance(value, float):
-        return "NaN" if math.isnan(value) else round(value, 6) + 0.0
+        return "NaN" if math.isnan(value) else value + 0.0
     return value
 
 
