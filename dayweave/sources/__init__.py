@@ -1,12 +1,14 @@
 from dayweave.sources.csv import read_scored_csv, write_scored_csv
-from dayweave.sources.scratch import materialize, scratch_path
+from dayweave.sources.scratch import materialize, scratch_folder, scratch_path, scratch_space
 from dayweave.sources.wide_csv import read_wide_csv, write_wide_csv
 
 __all__ = [
     "materialize",
     "read_scored_csv",
     "read_wide_csv",
+    "scratch_folder",
     "scratch_path",
+    "scratch_space",
     "write_scored_csv",
     "write_wide_csv",
 ]

@@ -7,7 +7,9 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from dayweave.plans.oracle import ORACLE
+from dayweave.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = """region nation customer supplier part orders lineitem events documents embeddings
@@ -36,10 +38,10 @@ def _rows(columns, rows):
     return sorted(plain, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, db, name):
-    got = queries()[name](spark, SF_DIR)
-    want = db.execute(oracle_sql()[name])
+    got = QUERIES[name](spark, SF_DIR)
+    want = db.execute(ORACLE[name])
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     expected = _rows(columns, want.fetchall())
@@ -50,7 +52,7 @@ def test_query_matches_sql(spark, db, name):
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE) == set(QUERIES)
 
 
 def test_entry_has_rows(spark):
