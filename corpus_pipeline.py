@@ -4,28 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayweave.llm import mixing, pii, quality
+from dayweave.llm import mixing, ngram_join, packing, pii, quality
 from dayweave.sources import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules, or whose host does, go."""
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five words, similarity 0.8 or more."""
+    return ngram_join.keep_one(docs)
+
+
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs).select(*docs.columns)
+    """Personal data becomes pseudonyms of the same format."""
+    return pii.pseudonymise(docs, count=None)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are used as often as the weights of their sources ask for."""
     return mixing.mixed_documents(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the training sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
     ("pseudonyms", pseudonyms),
     ("mixture", mixture),
+    ("packing", packed),
 ]
 
+# Tokens and keyed pseudonyms have no SQL; tests compare with a version in plain Python.
 ORACLE_SQL = None
 
 

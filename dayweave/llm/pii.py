@@ -237,7 +237,7 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.coalesce(new, m)
 
 
-def pseudonymise(df: DataFrame, column: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, column: str = "text", key: str = KEY, count: str | None = "n_replaced") -> DataFrame:
     """Replace personal data in `column` by pseudonyms of the same format.
 
     Card numbers and account numbers with right check digits, phone numbers, social security
@@ -245,8 +245,9 @@ def pseudonymise(df: DataFrame, column: str = "text", key: str = KEY) -> DataFra
     format by a Feistel network under `key`, so equal values stay equal in every document and
     a valid value stays valid. Candidates that fail their check stay as they are. A missing
     text stays missing; an empty one, and one without candidates, is unchanged. Every row is
-    treated alone: ties and repeated rows give equal results, other columns are kept. Adds
-    `n_replaced`, replacing a column of that name.
+    treated alone: ties and repeated rows give equal results, other columns are kept. The number
+    of values replaced goes to the column `count`, in place of one of that name; with None it is
+    left out.
     """
     text = F.col(column)
 
@@ -263,8 +264,5 @@ def pseudonymise(df: DataFrame, column: str = "text", key: str = KEY) -> DataFra
     has = text.rlike("[0-9@]")
     none = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
     result = F.when(has, let(found, lambda f: F.when(F.size(f) > 0, rewritten(f)).otherwise(none))).otherwise(none)
-    return (
-        df.withColumn("__new", result)
-        .withColumns({column: F.col("__new.text"), "n_replaced": F.col("__new.n")})
-        .drop("__new")
-    )
+    new = {column: F.col("__new.text")} | ({count: F.col("__new.n")} if count else {})
+    return df.withColumn("__new", result).withColumns(new).drop("__new")

@@ -76,14 +76,14 @@ def base_rules(docs: DataFrame) -> DataFrame:
             "n_repeat_words": n_repeat_words(F.col("text")),
         }
     )
-    return counted.withColumn(
-        "base_failed",
-        (F.col("n_words") < MIN_WORDS)
-        | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-    )
+    return counted.withColumn("base_failed", _fails(F.col("n_words"), F.col("n_repeat_words")))
+
+
+def _fails(words: Column, repeated: Column) -> Column:
+    return (words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * words)
 
 
-def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
+def host_rates(judged: DataFrame, host: str = "source", failed: str = "base_failed") -> DataFrame:
     """Per host the failure rate of its documents, shrunk towards the mean of all hosts.
 
     The beta prior is fitted to the hosts' own counts by moments: with pooled rate m and
@@ -94,24 +94,24 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
     by_host = (
         judged.where(F.col(host).isNotNull())
         .groupBy(host)
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
     )
     by_host = materialize(by_host, "hosts")
-    n, failed = F.col("n_docs"), F.col("n_failed")
+    n, bad = F.col("n_docs"), F.col("n_failed")
     # One row of sums, whatever the number of hosts.
     s = by_host.agg(
         F.count(F.lit(1)).alias("hosts"),
         F.sum(n).alias("docs"),
-        F.sum(failed).alias("failed"),
+        F.sum(bad).alias("failed"),
         F.sum(n.cast("double") * n).alias("squares"),
-        F.sum(failed.cast("double") * failed / n).alias("rates"),
+        F.sum(bad.cast("double") * bad / n).alias("rates"),
     ).first()
     mean = s["failed"] / s["docs"] if s["docs"] else 0.0
     weight = _prior_weight(s, mean)
     if weight is None:
         rate = F.lit(float(mean))
     else:
-        rate = (failed + weight * mean) / (n + weight)
+        rate = (bad + weight * mean) / (n + weight)
     return by_host.withColumn("rate", rate)
 
 
@@ -141,19 +141,21 @@ def judge(docs: DataFrame, columns: list[str], host: str = "source", max_rate: f
     return _with_verdict(base, base, host, max_rate)
 
 
-def _with_verdict(docs: DataFrame, judged: DataFrame, host: str, max_rate: float) -> DataFrame:
-    bad = host_rates(judged, host).where(F.col("rate") > max_rate)
+def _with_verdict(docs: DataFrame, judged: DataFrame, host: str, max_rate: float, failed: str = "base_failed", kept: str = "kept") -> DataFrame:
+    bad = host_rates(judged, host, failed).where(F.col("rate") > max_rate)
     bad = bad.select(F.col(host).alias("__host"), F.lit(True).alias("__bad"))
     joined = docs.join(bad, docs[host] == F.col("__host"), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("__bad").isNull()).drop("__host", "__bad")
+    return joined.withColumn(kept, ~F.col(failed) & F.col("__bad").isNull()).drop("__host", "__bad")
 
 
 def keep_good(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The documents that the rules and their hosts' verdicts keep, with the columns of `docs`.
 
-    The rules run once over every text; documents that fail them go at once, the others are
-    written with their texts, and the hosts are judged on the flags of all.
+    The rules run once over every text. Their flags are written with the documents; those that
+    fail go at once, and hosts are judged on the flags of all.
     """
-    flagged = materialize(base_rules(docs).select(*docs.columns, "base_failed"), "flagged")
-    kept = _with_verdict(flagged.where(~F.col("base_failed")), flagged, host, max_rate)
-    return kept.where("kept").select(*docs.columns)
+    failed = _fails(word_count("text"), n_repeat_words(F.col("text")))
+    flagged = materialize(docs.withColumn("__failed", failed), "flagged")
+    passed = flagged.where(~F.col("__failed"))
+    kept = _with_verdict(passed, flagged.select(host, "__failed"), host, max_rate, "__failed", "__kept")
+    return kept.where("__kept").select(*docs.columns)

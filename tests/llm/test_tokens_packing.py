@@ -1,0 +1,127 @@
+"""Token counts and packing against the tokenizer library itself."""
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from dayweave.llm import packing, tokens
+from dayweave.llm.packing import CAPACITY, Plan, pack
+from dayweave.llm.tokens import WordEncoder, count_tokens, tokenizer_path
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def _ids(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_words_have_the_ids_that_the_library_gives_the_text(library):
+    parts = [
+        "<|endoftext|>", "<|startoftext|>", "a", "B", "é", "É", "word", "Ünï", "'s", "'S", "don't", " ", "\n", "\x0b",
+        "\x1c", "\x85", "\xa0", "1", "23", "!!", ".", ",", "#", "Σ", "İ", "́", "日本", "\U0001f600", "\x00", "ﬁ",
+        "<|", "|>", "　", "</w>", "ŉ", "ª", "ß", "-", "_", "~",
+    ]
+    random.seed(7)
+    encoder = WordEncoder(tokenizer_path())
+    for _ in range(20_000):
+        text = "".join(random.choice(parts) for _ in range(random.randint(0, 10)))
+        assert np.frombuffer(encoder.ids(text.encode()), "<u4").tolist() == _ids(library, text), text
+
+
+def test_the_words_remembered_are_bounded(monkeypatch, library):
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 3)
+    encoder = WordEncoder(tokenizer_path())
+    text = " ".join(f"word{i}" for i in range(50)) + " " + "long" * 50
+    assert np.frombuffer(encoder.ids(text.encode()), "<u4").tolist() == _ids(library, text)
+    assert len(encoder) <= 3
+
+
+def test_counts(spark, library, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in count_tokens(docs, ["doc_id"], str(tmp_path / "c")).collect()}
+    for row in docs.collect():
+        n = len(_ids(library, row["text"]))
+        assert got.pop(row["doc_id"]) == (len(row["text"].encode()), n, n > 2048)
+    assert not got
+
+
+def test_odd_rows_are_counted_and_only_misses_encoded(spark, library, odd, odd_rows, none, tmp_path):
+    cache = str(tmp_path / "cache")
+    assert count_tokens(none, ["doc_id"], cache).count() == 0
+    got = count_tokens(odd, ["doc_id"], cache).collect()
+    want = [(i, len((t or "").encode()), len(_ids(library, t)), len(_ids(library, t)) > 2048) for i, t, _ in odd_rows]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    distinct = len({" ".join((t or "").split()) for _, t, _ in odd_rows})
+    assert spark.read.parquet(cache).count() == distinct
+    count_tokens(odd.limit(8), ["doc_id"], cache).collect()
+    assert spark.read.parquet(cache).count() == distinct
+
+
+def _check_packed(rows, texts, library):
+    """Pieces of every document in full, in sequences without gaps, overlaps or overflow."""
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for doc_id, same in texts.items():
+        want = []
+        for text in same:
+            ids = [*_ids(library, text), 0]
+            parts = [ids[i : i + CAPACITY] for i in range(0, len(ids), CAPACITY)]
+            want += [
+                (k, k * CAPACITY, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for k, p in enumerate(parts)
+            ]
+        assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in by_doc.pop(doc_id)) == sorted(want)
+    assert not by_doc
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= CAPACITY
+    return len(by_sequence)
+
+
+def test_packing(spark, library, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = pack(docs).collect()
+    texts = {r["doc_id"]: [r["text"]] for r in docs.collect()}
+    n = _check_packed(rows, texts, library)
+    least = -(-sum(r["length"] for r in rows) // CAPACITY)
+    assert n <= least * 1.02 + 1
+
+
+def test_odd_rows_are_packed(library, odd, odd_rows, none):
+    texts = defaultdict(list)
+    for doc_id, text, _ in odd_rows:
+        texts[doc_id].append(text)
+    _check_packed(pack(odd).collect(), texts, library)
+    assert pack(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_use_every_piece_once(seed):
+    random.seed(seed)
+    capacity = random.choice([7, 50, 300])
+    counts = {x: random.randint(1, 40) for x in random.sample(range(1, capacity + 1), random.randint(1, capacity))}
+    plan = Plan(counts, capacity)
+    used = defaultdict(int)
+    for pattern, uses in plan.patterns:
+        assert sum(pattern) <= capacity and uses > 0
+        for x in pattern:
+            used[x] += uses
+    assert used == counts
+
+
+def test_exact_complements_are_found():
+    assert Plan({60: 1, 40: 1}, 100).patterns == [([60, 40], 1)]
+    assert Plan({60: 3, 25: 3, 15: 3}, 100).patterns == [([60, 25, 15], 3)]
+    assert Plan({50: 2, 20: 2, 17: 2, 13: 2, 45: 1}, 100).patterns[0] == ([50, 50], 1)
+    assert len(packing.Plan({55: 1, 20: 1, 13: 1, 12: 1}, 100).patterns) == 1
