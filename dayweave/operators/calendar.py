@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dayweave.functions import series_name
 from dayweave.operators.accounts import pick_accounts
-from dayweave.operators.small import fixed, join_small, key_schema
+from dayweave.operators.tables import as_table, key_schema
 from dayweave.spec import PanelSpec
 
 
@@ -45,29 +45,38 @@ def complete_days(
 
     Equal to a left join of the calendar with each account's daily rows, but only rows that
     exist are shuffled: each account's rows, at most one per day, are sorted, and every row
-    generates itself and the gap that follows it. `accounts` (panel keys, account, alias)
-    keeps only those accounts, and gives a full empty series to those without any row.
+    generates itself and the gap that follows it. An account with rows outside the bounds only
+    gets a full empty series; a panel without bounds is dropped. `accounts` (panel keys,
+    account, alias) keeps only those accounts, and gives a full empty series to those without
+    any row.
     """
     rows = daily.where(F.col(spec.day).isNotNull())
     names = list(spec.series)
     if accounts is not None:
         names.append("alias")
-        listed, known = fixed(daily, accounts, key_schema(daily, spec.series).add("alias", "string"))
-        rows = join_small(rows, listed, spec.series, "inner", known is not None)
-        rows = rows.unionByName(listed, allowMissingColumns=True)
-    lo_hi, known = fixed(daily, bounds, _bounds_schema(daily, spec))
-    rows = join_small(rows, lo_hi, spec.panel, "inner", known is not None)
+        listed = as_table(daily, accounts, key_schema(daily, spec.series).add("alias", "string"))
+        rows = rows.join(listed, spec.series).unionByName(listed, allowMissingColumns=True)
+    rows = rows.join(as_table(daily, bounds, _bounds_schema(daily, spec)), list(spec.panel))
+    # A row without a day stands for its account alone, and so do rows outside the bounds.
+    rows = rows.withColumn(spec.day, F.when(F.col(spec.day).between(F.col("lo"), F.col("hi")), F.col(spec.day)))
 
     by_day = Window.partitionBy(*names).orderBy(F.col(spec.day).asc_nulls_first())
-    first = F.row_number().over(by_day) == 1
-    following = F.lead(spec.day).over(by_day)
-    own = F.col(spec.day)
+    own, following = F.col(spec.day), F.lead(spec.day).over(by_day)
     means = [F.when(F.col("__day") == own, F.col(m)).alias(m) for m in spec.means]
     return (
         rows.withColumns(
             {
-                "__from": F.when(first, F.col("lo")).otherwise(own),
-                "__to": F.coalesce(F.date_sub(following, 1), F.col("hi")),
+                "__first": F.row_number().over(by_day) == 1,
+                "__more": F.lead(F.lit(True)).over(by_day).isNotNull(),
+                "__next": following,
+            }
+        )
+        # Of several rows without a day the last one goes on to the first day there is.
+        .where(own.isNotNull() | F.col("__next").isNotNull() | ~F.col("__more"))
+        .withColumns(
+            {
+                "__from": F.when(own.isNull() | F.col("__first"), F.col("lo")).otherwise(own),
+                "__to": F.coalesce(F.date_sub("__next", 1), F.col("hi")),
             }
         )
         .where(F.col("__from") <= F.col("__to"))
@@ -139,10 +148,10 @@ def wide_table(
             ]
         )
     )
-    lo_hi, _ = fixed(daily, bounds, _bounds_schema(daily, spec))
+    lo_hi = as_table(daily, bounds, _bounds_schema(daily, spec))
     panels = list(dict.fromkeys(tuple(p[: len(spec.panel)]) for p in picks))
-    wanted = daily.sparkSession.createDataFrame(panels, key_schema(daily, spec.panel))
-    days = lo_hi.join(F.broadcast(wanted), list(spec.panel), "left_semi").select(
+    wanted = as_table(daily, panels, key_schema(daily, spec.panel))
+    days = lo_hi.join(wanted, list(spec.panel), "left_semi").select(
         *spec.panel, "lo", _each_day("lo", "hi").alias(spec.day)
     )
     return (

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from dayweave.functions import strict_mean
-from dayweave.operators.small import SMALL_ROWS
 from dayweave.spec import PanelSpec
 
-HOT_ROWS = 1_000_000
-
 
 def _means(spec: PanelSpec, skip_missing: bool):
     return [
@@ -28,42 +28,19 @@ def daily_mean(df: DataFrame, spec: PanelSpec, skip_missing: bool = False) -> Da
     return df.groupBy(*spec.account_day).agg(*_means(spec, skip_missing))
 
 
-def mean_on_rows(
-    df: DataFrame, spec: PanelSpec, skip_missing: bool = False, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def mean_on_rows(df: DataFrame, spec: PanelSpec, skip_missing: bool = False) -> DataFrame:
     """Every row with the means of its account-day attached.
 
-    A window over the account-day would put all its rows in one task. Here the means come
-    from the aggregate. The largest account-days, at most `SMALL_ROWS` of those above
-    `hot_rows` rows, are attached by broadcast, and their rows are spread evenly over the
-    shuffle that serves the rest. An account-day beyond that list holds less
-    than one `SMALL_ROWS`-th of the rows.
+    A window over the account-day would put all its rows in one task. Here the means come from
+    the aggregate and are joined to the rows, and missing keys are equal in that join. Adaptive
+    execution splits the rows of a large account-day over several tasks, each of which gets a
+    copy of the one row it joins with.
     """
     keys, means = spec.account_day, spec.means
-    daily = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *_means(spec, skip_missing))
-    # A struct of the keys compares missing keys as equal.
-    table = daily.select(F.struct(*keys).alias("__of"), F.struct("__n", *means).alias("__found"))
-    hot = (
-        table.where(F.col("__found.__n") > hot_rows)
-        .orderBy(F.desc("__found.__n"))
-        .limit(SMALL_ROWS)
-        .withColumnsRenamed({"__of": "__hot_of", "__found": "__hot"})
-    )
-    rows = df.withColumn("__key", F.struct(*keys)).join(
-        F.broadcast(hot), F.col("__key") == F.col("__hot_of"), "left"
-    )
-    # Shuffled and sorted by a hash: of the account-day, or of the whole row where the means
-    # are known already, which spreads the rows of a hot account-day.
-    rows = rows.withColumn(
-        "__hash",
-        F.when(F.col("__hot").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(*df.columns)),
-    )
-    rest = table.withColumn("__of_hash", F.xxhash64(*[F.col("__of")[k] for k in keys]))
-    joined = rows.join(
-        rest, (F.col("__hash") == F.col("__of_hash")) & (F.col("__key") == F.col("__of")), "left"
-    )
-    found = F.coalesce("__hot", "__found")
-    return joined.select(*df.columns, *[found[m].alias(m) for m in means])
+    daily = df.groupBy(*keys).agg(*_means(spec, skip_missing))
+    daily = daily.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(and_, [df[k].eqNullSafe(daily[f"__{k}"]) for k in keys])
+    return df.join(daily, same, "left").select(*[df[c] for c in df.columns], *means)
 
 
 def active_days(daily: DataFrame, spec: PanelSpec) -> DataFrame:

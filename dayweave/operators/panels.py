@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from dayweave.functions import day_of
-from dayweave.operators.small import fixed, join_small, key_schema
+from dayweave.operators.tables import as_table, key_schema
 from dayweave.spec import PanelSpec
 
 
@@ -38,8 +38,7 @@ def with_panel_code(
 ) -> DataFrame:
     """Name each panel by lookup in `codes` (panel keys, code); unlisted panels are left out."""
     schema = key_schema(df, spec.panel).add(code, "string")
-    table, rows = fixed(df, codes, schema)
-    return join_small(df, table, spec.panel, "inner", rows is not None)
+    return df.join(as_table(df, codes, schema), list(spec.panel))
 
 
 def frequency_table(df: DataFrame, spec: PanelSpec, column: str) -> DataFrame:

@@ -38,14 +38,38 @@ def loess_curve(
     day. Rows without a day or with a missing or infinite score are left out; accounts with
     a single day give no curve; where fewer than three days have weight, `fit` is NULL.
     """
-    measures = spec.only(*labels).measures if labels else spec.measures
+    return fit_curves(daily_sums(rows, spec, labels), spec, labels, span, grid)
+
+
+def daily_sums(rows: DataFrame, spec: PanelSpec, labels: tuple[str, ...] | None = None) -> DataFrame:
+    """Number and sum of the finite scores of each account-day: all that a curve depends on.
+
+    Clipping by day and summing per day commute, so a computed window can be taken from this
+    table and applied to it.
+    """
+    measures = _measures(spec, labels)
     scored = rows.where(F.col(spec.day).isNotNull()).select(
         *spec.account_day, *[finite(m.column).alias(m.label) for m in measures]
     )
-    per_day = scored.groupBy(*spec.account_day).agg(
+    return scored.groupBy(*spec.account_day).agg(
         *[F.count(m.label).alias(f"n_{m.label}") for m in measures],
         *[F.sum(m.label).alias(f"sum_{m.label}") for m in measures],
     )
+
+
+def _measures(spec: PanelSpec, labels: tuple[str, ...] | None):
+    return spec.only(*labels).measures if labels else spec.measures
+
+
+def fit_curves(
+    per_day: DataFrame,
+    spec: PanelSpec,
+    labels: tuple[str, ...] | None = None,
+    span: float = 0.7,
+    grid: int = GRID,
+) -> DataFrame:
+    """The curves of `loess_curve` from `daily_sums`."""
+    measures = _measures(spec, labels)
     per_measure = per_day.select(
         *spec.series,
         F.unix_date(spec.day).alias("x"),
@@ -64,7 +88,8 @@ def loess_curve(
     ).where(F.col("n") > 0)
     # An explicit number of partitions: adaptive execution merges partitions by their bytes,
     # which are few here, while the work per byte is large.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # spark.sql.shuffle.partitions is the knob for it.
+    tasks = int(per_day.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     series = (
         per_measure.repartition(tasks, *spec.series)
         .groupBy(*spec.series, "measure")

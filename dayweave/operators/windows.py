@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from dayweave.functions import strict
-from dayweave.operators.small import fixed, join_small, key_schema
+from dayweave.operators.tables import as_table, key_schema
 from dayweave.spec import PanelSpec
 
+_BOUNDS = [T.StructField("lo", T.DateType()), T.StructField("hi", T.DateType())]
 
 def account_span(df: DataFrame, spec: PanelSpec, skip_missing: bool = False) -> DataFrame:
     """First and last day of every account; missing if any of its days is, unless skipped."""
@@ -31,8 +32,7 @@ def common_window(
     late starters. Panels whose accounts never overlap give no row."""
     spans = account_span(df, spec, skip_missing=True)
     if isinstance(exclude, DataFrame) or exclude:
-        table, rows = fixed(df, exclude, key_schema(df, spec.series))
-        spans = join_small(spans, table, spec.series, "left_anti", rows is not None)
+        spans = spans.join(as_table(df, exclude, key_schema(df, spec.series)), spec.series, "left_anti")
     return (
         spans.groupBy(*spec.panel)
         .agg(F.max("min_val").alias("lo"), F.min("max_val").alias("hi"))
@@ -41,22 +41,27 @@ def common_window(
 
 
 def clip_to_window(
-    df: DataFrame, spec: PanelSpec, windows: DataFrame | Sequence[tuple]
+    df: DataFrame,
+    spec: PanelSpec,
+    windows: DataFrame | Sequence[tuple],
+    broadcast: bool = False,
 ) -> DataFrame:
     """Rows whose day lies in the window of their panel, both ends included.
 
-    `windows` has the panel keys, `lo` and `hi`. When the windows are few their overall
-    range is also put on the scan as a literal filter, so files and row groups outside
-    every window are not read.
+    `windows` has the panel keys, `lo` and `hi`. A panel without a window is dropped, and a
+    window with a missing bound holds no row. Windows given as a list also put their overall
+    range on the scan as a literal filter, so files and row groups outside all of them are not
+    read. Clip daily tables rather than raw rows where both give the same; where raw rows must
+    be clipped to a computed window, `broadcast` says that the caller knows the panels to be
+    few, and keeps Spark from shuffling the rows before it has seen that.
     """
-    schema = key_schema(df, spec.panel).add("lo", "date").add("hi", "date")
-    table, rows = fixed(df, windows, schema)
-    if rows is not None:
-        bounds = [(r[-2], r[-1]) for r in rows]
-        if not bounds:
+    schema = T.StructType([*key_schema(df, spec.panel).fields, *_BOUNDS])
+    if not isinstance(windows, DataFrame):
+        windows = [w for w in windows if None not in w[-2:]]
+        if not windows:
             return df.where(F.lit(False))
-        df = df.where(
-            F.col(spec.day).between(F.lit(min(b[0] for b in bounds)), F.lit(max(b[1] for b in bounds)))
-        )
-    clipped = join_small(df, table, spec.panel, "inner", rows is not None)
-    return clipped.where(F.col(spec.day).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+        lo, hi = min(w[-2] for w in windows), max(w[-1] for w in windows)
+        df = df.where(F.col(spec.day).between(F.lit(lo), F.lit(hi)))
+    table = as_table(df, windows, schema).withColumnsRenamed({"lo": "__lo", "hi": "__hi"})
+    clipped = df.join(F.broadcast(table) if broadcast else table, list(spec.panel))
+    return clipped.where(F.col(spec.day).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")

@@ -10,6 +10,9 @@ _LI = """li AS (
   SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_suppkey,
          l_extendedprice AS spon, NULLIF(l_quantity, 13) AS an, CAST(l_shipdate AS DATE) AS day
   FROM lineitem)"""
+_NAMED = f"""{_LI}, named AS (
+  SELECT * REPLACE (NULLIF(l_suppkey, {q.UNNAMED}) AS l_suppkey, NULLIF(l_linenumber, {q.UNNAMED}) AS l_linenumber)
+  FROM li)"""
 _NA = f"""{_LI}, na AS (
   SELECT l_returnflag, l_linestatus, n_name, day, spon, an
   FROM li JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
@@ -153,6 +156,30 @@ _NATION_CELLS = ", ".join(
 _ONE_PANEL_COLUMNS = [(name, f"AF_{alias}") for _, _, name, alias in q.ONE_PANEL_PICKS]
 _DROPPED = f"({', '.join(map(str, q.TWO_NAMES))})"
 
+_CSV = """SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey,
+       CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_returnflag, l_linestatus,
+       CAST(l_suppkey AS VARCHAR) AS l_suppkey, l_extendedprice AS spon,
+       NULLIF(l_quantity, 13) AS an, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate,
+       CAST(l_shipdate AS DATE) AS day
+FROM lineitem"""
+_UNEVEN = """NOT (pos % 2 = 0 AND t < 40) AND NOT (pos % 3 = 0 AND t > 500) AND NOT (pos % 5 = 0 AND t BETWEEN 100 AND 120)"""
+_CHAIN = f"""{_LI}, {_daily("li", _PANEL + ", l_suppkey")}, late(f, s, a) AS ({_values(q.LATE)}),
+spans AS (
+  SELECT {_PANEL}, l_suppkey, min(day) AS first_day, max(day) AS last_day FROM daily GROUP BY {_PANEL}, l_suppkey),
+win AS (
+  SELECT {_PANEL}, max(first_day) AS lo, min(last_day) AS hi FROM spans
+  WHERE ({_PANEL}, l_suppkey) NOT IN (SELECT (f, s, a) FROM late)
+  GROUP BY {_PANEL} HAVING max(first_day) <= min(last_day)),
+kept AS (
+  SELECT daily.* FROM daily JOIN win USING ({_PANEL}) JOIN spans USING ({_PANEL}, l_suppkey)
+  WHERE day BETWEEN lo AND hi AND first_day <> lo AND last_day <> hi),
+{_bounds("kept", _PANEL)},
+picks(l_returnflag, l_linestatus, l_suppkey, alias) AS ({_values(q.CHAIN_PICKS)}),
+filled AS (
+  SELECT {_PANEL}, l_suppkey, alias, CAST(date_diff('day', lo, day) AS INTEGER) AS t, day,
+         coalesce(mean_spon, 0) AS mean_spon, coalesce(mean_an, 0) AS mean_an
+  FROM calendar JOIN picks USING ({_PANEL}) LEFT JOIN kept USING ({_PANEL}, l_suppkey, day))"""
+
 ORACLE = {
     "project_fields": f"WITH {_LI} SELECT {_PANEL}, l_suppkey, day, spon, an FROM li",
     "day_from_text": """WITH w AS (
@@ -166,7 +193,11 @@ SELECT event_id, written, TRY_CAST(substr(written, 1, 10) AS DATE) AS day FROM w
 FROM lineitem""",
     "frequency_table": f"""SELECT {_PANEL}, l_linenumber, count(*) AS n FROM lineitem
 GROUP BY {_PANEL}, l_linenumber""",
-    "account_span": f"WITH {_LI}, {_window('li', 'l_suppkey')} SELECT * FROM spans",
+    "account_span": f"""WITH {_LI}, dated AS (
+  SELECT * REPLACE (CASE WHEN l_linenumber = 7 AND l_suppkey % 3 = 0 THEN NULL ELSE day END AS day) FROM li)
+SELECT {_PANEL}, l_suppkey, CASE WHEN count(*) = count(day) THEN min(day) END AS min_val,
+       CASE WHEN count(*) = count(day) THEN max(day) END AS max_val
+FROM dated GROUP BY {_PANEL}, l_suppkey""",
     "common_window": f"WITH {_LI}, {_window('li', 'l_suppkey')} SELECT * FROM win",
     "common_window_excluding": f"""WITH {_LI}, late(f, s, a) AS ({_values(q.LATE)}), {_window(
         "li", "l_suppkey",
@@ -194,20 +225,22 @@ FROM li GROUP BY {_PANEL}, l_suppkey HAVING count(DISTINCT day) >= {q.LEAST_DAYS
 SELECT {_PANEL}, l_suppkey, day, {_ROUNDED} FROM daily JOIN (
   SELECT {_PANEL}, l_suppkey FROM daily GROUP BY {_PANEL}, l_suppkey HAVING count(*) >= {q.LEAST_DAYS})
 USING ({_PANEL}, l_suppkey)""",
-    "drop_account": f"WITH {_LI} SELECT * FROM li WHERE l_suppkey <> {q.DROPPED_NAME}",
-    "drop_any_ne_literal": f"""WITH {_LI} SELECT * FROM li
+    "drop_account": f"WITH {_NAMED} SELECT * FROM named WHERE l_suppkey <> {q.DROPPED_NAME}",
+    "drop_any_ne_literal": f"""WITH {_NAMED} SELECT * FROM named
 WHERE CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN l_suppkey <> 3 OR l_suppkey <> 5
            WHEN l_returnflag = 'N' AND l_linestatus = 'O'
            THEN l_suppkey <> 1 OR l_suppkey <> 7 OR l_suppkey <> 8
            ELSE TRUE END""",
-    "drop_any_ne_one_table": f"""WITH {_LI} SELECT * FROM li
+    "drop_any_ne_one_table": f"""WITH {_NAMED} SELECT * FROM named
 WHERE {" OR ".join(f"l_suppkey <> {n}" for n in q.TWO_NAMES)}""",
-    "drop_accounts_intended": f"""WITH {_LI} SELECT * FROM li
-WHERE NOT (l_returnflag = 'A' AND l_linestatus = 'F' AND l_suppkey IN (3, 5))
-  AND NOT (l_returnflag = 'N' AND l_linestatus = 'O' AND l_suppkey IN (1, 7, 8))""",
-    "drop_by_other_column": f"""WITH {_LI} SELECT * FROM li
-WHERE NOT (l_returnflag = 'A' AND l_linestatus = 'F' AND l_linenumber = 1)
-  AND NOT (l_returnflag = 'R' AND l_linestatus = 'O' AND l_linenumber = 2)""",
+    "drop_accounts_intended": f"""WITH {_NAMED} SELECT * FROM named
+WHERE CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN l_suppkey NOT IN (3, 5)
+           WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN l_suppkey NOT IN (1, 7, 8)
+           ELSE TRUE END""",
+    "drop_by_other_column": f"""WITH {_NAMED} SELECT * FROM named
+WHERE CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN l_linenumber <> 1
+           WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN l_linenumber <> 2
+           ELSE TRUE END""",
     "pick_accounts": f"""WITH {_LI}, picks(l_returnflag, l_linestatus, l_suppkey, alias) AS ({_values(q.PICKS)})
 SELECT li.*, alias FROM li JOIN picks USING ({_PANEL}, l_suppkey)""",
     "panel_bounds": f"WITH {_LI}, {_bounds('li', _PANEL)} SELECT * FROM bounds",
@@ -216,10 +249,18 @@ SELECT li.*, alias FROM li JOIN picks USING ({_PANEL}, l_suppkey)""",
 SELECT {_PANEL}, day, strftime(day, '%b-%y') AS month FROM calendar""",
     "complete_days": f"""WITH {_COMPLETE_EVENTS}
 SELECT event_type, user_id, day, t, {_ROUNDED} FROM completed""",
-    "zero_filled": f"""WITH {_COMPLETE_EVENTS}
-SELECT event_type, user_id, day, t, floor(coalesce(mean_spon, 0) * 1e6 + 501e-3) / 1e6 AS mean_spon,
+    "complete_days_given_bounds": f"""WITH {_EV}, {_daily("ev", "event_type, user_id")},
+bounds(event_type, lo, hi) AS ({_values(q.BOUNDS)}),
+calendar AS (
+  SELECT event_type, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM bounds),
+accounts AS (SELECT DISTINCT event_type, user_id FROM ev)
+SELECT event_type, user_id, day, CAST(date_diff('day', lo, day) AS INTEGER) AS t, {_ROUNDED}
+FROM calendar JOIN accounts USING (event_type) LEFT JOIN daily USING (event_type, user_id, day)""",
+    "zero_filled": f"""WITH {_COMPLETE_EVENTS.replace("value AS spon,", "CASE WHEN floor(value) % 5 = 0 THEN 'nan'::DOUBLE ELSE value END AS spon,")}
+SELECT event_type, user_id, day, t,
+       floor((CASE WHEN isnan(mean_spon) THEN 0 ELSE coalesce(mean_spon, 0) END) * 1e6 + 501e-3) / 1e6 AS mean_spon,
        floor(coalesce(mean_an, 0) * 1e6 + 501e-3) / 1e6 AS mean_an,
-       mean_spon IS NULL AS "was_filled_Spon", mean_an IS NULL AS "was_filled_An"
+       mean_spon IS NULL OR isnan(mean_spon) AS "was_filled_Spon", mean_an IS NULL AS "was_filled_An"
 FROM completed""",
     "series_offset": f"""WITH {_COMPLETE_EVENTS}
 SELECT event_type, user_id, t, day, 'Spon' AS measure, floor(coalesce(mean_spon, 0) * 1e6 + 501e-3) / 1e6 AS value
@@ -245,15 +286,23 @@ FROM completed""",
         "",
     ),
     "loess_events": _loess(_EV, "ev", "event_type, user_id", [("Spon", "spon")], _EVENT_MONTH),
-    "csv_round_trip": """SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey,
-       CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_returnflag, l_linestatus,
-       CAST(l_suppkey AS VARCHAR) AS l_suppkey, l_extendedprice AS spon,
-       NULLIF(l_quantity, 13) AS an, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate,
-       CAST(l_shipdate AS DATE) AS day
-FROM lineitem""",
+    "csv_round_trip": _CSV,
+    "csv_round_trip_split": _CSV,
     "csv_text_round_trip": """SELECT lang, CAST(doc_id AS VARCHAR) AS doc_id,
        CAST(n_chars AS DOUBLE) AS n_chars, source, text FROM documents""",
     "wide_csv_sink": f"""WITH {_NATION_SERIES}
 SELECT t + 1 AS row, 'VARdf_' || l_returnflag || l_linestatus || '_' || measure AS name, {_NATION_CELLS}
 FROM series GROUP BY t, l_returnflag, l_linestatus, measure""",
+    "wide_csv_uneven": f"""WITH {_NATION_SERIES}, placed AS (
+  SELECT *, list_position([{", ".join(f"'{n}'" for n in q.NATION_NAMES)}], n_name) AS pos FROM series)
+SELECT t + 1 AS row, 'VARdf_' || l_returnflag || l_linestatus || '_' || measure AS name, {_NATION_CELLS}
+FROM placed WHERE {_UNEVEN} GROUP BY t, l_returnflag, l_linestatus, measure""",
+    "panel_pipeline": f"""WITH {_CHAIN}
+SELECT {_PANEL}, l_suppkey, alias, t, day, 'Spon' AS measure, floor(mean_spon * 1e6 + 501e-3) / 1e6 AS value FROM filled
+UNION ALL
+SELECT {_PANEL}, l_suppkey, alias, t, day, 'An', floor(mean_an * 1e6 + 501e-3) / 1e6 FROM filled""",
+    "daily_sorted": f"""WITH {_LI}, days AS (
+  SELECT DISTINCT l_returnflag || l_linestatus AS panel, l_suppkey, day FROM li)
+SELECT panel, l_suppkey, day, CAST(row_number() OVER (PARTITION BY panel ORDER BY l_suppkey, day) AS INTEGER) AS place
+FROM days""",
 }

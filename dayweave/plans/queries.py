@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dayweave.operators.accounts import (
     ANY_DIFFERS,
@@ -41,7 +41,7 @@ from dayweave.operators.panels import (
     with_day,
     with_panel_code,
 )
-from dayweave.operators.smooth import loess_curve, with_month_label
+from dayweave.operators.smooth import daily_sums, fit_curves, loess_curve, with_month_label
 from dayweave.operators.windows import account_span, clip_to_window, common_window
 from dayweave.functions import day_of, month_label
 from dayweave.sources import (
@@ -49,6 +49,7 @@ from dayweave.sources import (
     read_scored_csv,
     scratch_path,
     write_scored_csv,
+    write_sorted,
     write_wide_csv,
 )
 from dayweave.spec import Measure, PanelSpec
@@ -82,6 +83,15 @@ WINDOWS = [
 LATE = [("A", "F", 3), ("N", "O", 5), ("R", "F", 8)]
 DROPS = [("A", "F", 3), ("A", "F", 5), ("N", "O", 1), ("N", "O", 7), ("N", "O", 8)]
 PICKS = [("A", "F", 4, "four"), ("A", "F", 2, "two"), ("N", "O", 4, "four"), ("R", "O", 9, "nine")]
+# Types of events get windows inside, around, before and across their days; one gets none.
+BOUNDS = [
+    ("click", date(2024, 1, 14), date(2024, 1, 15)),
+    ("error", date(2023, 12, 30), date(2024, 2, 2)),
+    ("purchase", date(2023, 11, 1), date(2023, 11, 3)),
+    ("signup", date(2024, 1, 20), date(2024, 2, 5)),
+]
+UNNAMED = 4
+CHAIN_PICKS = [(*p, a, f"account {a}") for p in PANELS for a in (2, 4, 6)]
 DROPPED_NAME = 5
 TWO_NAMES = (3, 7)
 LEAST_DAYS = 90
@@ -123,8 +133,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_day(rows, EVENTS).drop("ts")
 
 
-def clipped(rows: DataFrame, spec: PanelSpec) -> DataFrame:
-    return clip_to_window(rows, spec, common_window(rows, spec))
+def named_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of which some have no account and some no number."""
+    rows = lines(spark, sf_dir)
+    return rows.withColumns({c: F.nullif(c, F.lit(UNNAMED)) for c in ("l_suppkey", "l_linenumber")})
+
+
+def clipped(daily: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Clip a daily table to its common window, which is that of the rows. It is written first, so
+    that the rows are scanned once: left to itself, the plan would shuffle them once with the
+    scores and once without."""
+    daily = materialize(daily, "daily")
+    return clip_to_window(daily, spec, common_window(daily, spec))
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -178,7 +198,10 @@ def frequency_table_query(spark, sf_dir):
 
 
 def account_span_query(spark, sf_dir):
-    return account_span(lines(spark, sf_dir), LINES)
+    """Strict: an account that has a row without a day has no span."""
+    undated = (F.col("l_linenumber") == 7) & (F.col("l_suppkey") % 3 == 0)
+    rows = lines(spark, sf_dir).withColumn("day", F.when(~undated, F.col("day")))
+    return account_span(rows, LINES)
 
 
 def common_window_query(spark, sf_dir):
@@ -190,7 +213,9 @@ def common_window_excluding(spark, sf_dir):
 
 
 def clip_to_window_query(spark, sf_dir):
-    return clipped(lines(spark, sf_dir), LINES)
+    rows = lines(spark, sf_dir)
+    # Six panels: the rows need not be shuffled to meet their windows.
+    return clip_to_window(rows, LINES, common_window(rows, LINES), broadcast=True)
 
 
 def clip_given_windows(spark, sf_dir):
@@ -201,7 +226,7 @@ def clip_given_windows(spark, sf_dir):
 
 
 def daily_mean_strict(spark, sf_dir):
-    return _rounded_means(daily_mean(clipped(lines(spark, sf_dir), LINES), LINES), LINES)
+    return _rounded_means(clipped(daily_mean(lines(spark, sf_dir), LINES), LINES), LINES)
 
 
 def daily_mean_skip_missing(spark, sf_dir):
@@ -235,24 +260,24 @@ def drop_sparse_accounts(spark, sf_dir):
 
 
 def drop_account(spark, sf_dir):
-    return drop_everywhere(lines(spark, sf_dir), "l_suppkey", DROPPED_NAME)
+    return drop_everywhere(named_lines(spark, sf_dir), "l_suppkey", DROPPED_NAME)
 
 
 def drop_any_ne_literal(spark, sf_dir):
-    return drop_accounts(lines(spark, sf_dir), LINES, DROPS, mode=ANY_DIFFERS)
+    return drop_accounts(named_lines(spark, sf_dir), LINES, DROPS, mode=ANY_DIFFERS)
 
 
 def drop_any_ne_one_table(spark, sf_dir):
-    return drop_everywhere(lines(spark, sf_dir), "l_suppkey", *TWO_NAMES, mode=ANY_DIFFERS)
+    return drop_everywhere(named_lines(spark, sf_dir), "l_suppkey", *TWO_NAMES, mode=ANY_DIFFERS)
 
 
 def drop_accounts_intended(spark, sf_dir):
-    return drop_accounts(lines(spark, sf_dir), LINES, DROPS)
+    return drop_accounts(named_lines(spark, sf_dir), LINES, DROPS)
 
 
 def drop_by_other_column(spark, sf_dir):
     drops = [("A", "F", 1), ("R", "O", 2)]
-    return drop_accounts(lines(spark, sf_dir), LINES, drops, column="l_linenumber")
+    return drop_accounts(named_lines(spark, sf_dir), LINES, drops, column="l_linenumber")
 
 
 def pick_accounts_query(spark, sf_dir):
@@ -284,8 +309,18 @@ def complete_days_query(spark, sf_dir):
     return _rounded_means(_completed_events(spark, sf_dir), EVENTS)
 
 
+def complete_days_given_bounds(spark, sf_dir):
+    daily = daily_mean(events(spark, sf_dir), EVENTS)
+    return _rounded_means(complete_days(daily, EVENTS, BOUNDS), EVENTS)
+
+
 def zero_filled(spark, sf_dir):
-    return _rounded_means(zero_fill(_completed_events(spark, sf_dir), EVENTS), EVENTS)
+    """Some scores are not a number, and so are the means of their days."""
+    rows = events(spark, sf_dir)
+    broken = F.pmod(F.floor("spon"), F.lit(5)) == 0
+    rows = rows.withColumn("spon", F.when(broken, F.lit(float("nan"))).otherwise(F.col("spon")))
+    completed = complete_days(daily_mean(rows, EVENTS), EVENTS, panel_bounds(rows, EVENTS))
+    return _rounded_means(zero_fill(completed, EVENTS), EVENTS)
 
 
 def series_offset_query(spark, sf_dir):
@@ -303,7 +338,7 @@ def series_names(spark, sf_dir):
 def _wide(rows, label, picks, prefix=""):
     # Collapsing to days first and clipping then is the same, and reads the input once.
     spec = NATIONS.only(label)
-    daily = clipped(materialize(daily_mean(rows, spec), "daily"), spec)
+    daily = clipped(daily_mean(rows, spec), spec)
     wide = wide_table(daily, spec, label, picks, panel_bounds(daily, spec), prefix)
     return rounded(wide, *wide.columns[4:])
 
@@ -325,7 +360,7 @@ def wide_one_panel(spark, sf_dir):
 
 
 def loess_curve_query(spark, sf_dir):
-    curve = loess_curve(clipped(lines(spark, sf_dir), LINES), LINES)
+    curve = fit_curves(clipped(daily_sums(lines(spark, sf_dir), LINES), LINES), LINES)
     return rounded(curve, "x_day", "fit", digits=4)
 
 
@@ -337,7 +372,7 @@ def loess_events(spark, sf_dir):
 # CSV in and out
 
 
-def csv_round_trip(spark, sf_dir):
+def _csv_round_trip(spark, sf_dir, quoted_newlines):
     path = scratch_path(spark, "scored")
     rows = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
@@ -348,38 +383,88 @@ def csv_round_trip(spark, sf_dir):
         F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("l_shipdate"),
     )
     write_scored_csv(rows, path)
-    read = read_scored_csv(spark, path, LINES, extra=("l_orderkey", "l_linenumber"))
+    read = read_scored_csv(
+        spark, path, LINES, extra=("l_orderkey", "l_linenumber"), quoted_newlines=quoted_newlines
+    )
     return with_day(read, LINES)
 
 
+def csv_round_trip(spark, sf_dir):
+    return _csv_round_trip(spark, sf_dir, quoted_newlines=True)
+
+
+def csv_round_trip_split(spark, sf_dir):
+    """Read by as many tasks as the files have splits, as no field has a line break."""
+    return _csv_round_trip(spark, sf_dir, quoted_newlines=False)
+
+
 def csv_text_round_trip(spark, sf_dir):
     path = scratch_path(spark, "documents")
     write_scored_csv(_table(spark, sf_dir, "documents"), path)
     return read_scored_csv(spark, path, DOCUMENTS, extra=("text",))
 
 
-def wide_csv_sink(spark, sf_dir):
+def _wide_csv(spark, sf_dir, rows_kept=None):
     path = scratch_path(spark, "wide")
-    daily = materialize(daily_mean(nation_lines(spark, sf_dir), NATIONS), "daily")
+    daily = daily_mean(nation_lines(spark, sf_dir), NATIONS)
     completed = complete_days(daily, NATIONS, panel_bounds(daily, NATIONS), NATION_PICKS)
     series = series_offset(zero_fill(completed, NATIONS), NATIONS)
     named = with_series_name(with_panel_code(series, NATIONS, CODES), "panel")
     position = F.array_position(F.array(*[F.lit(n) for n in NATION_NAMES]), F.col("alias"))
-    write_wide_csv(
-        named.select(
-            F.concat_ws("_", F.lit("VARdf"), "panel", "measure").alias("name"),
-            position.alias("position"),
-            F.col("series").alias("column"),
-            "t",
-            "value",
-        ),
-        path,
+    cells = named.select(
+        F.concat_ws("_", F.lit("VARdf"), "panel", "measure").alias("name"),
+        position.alias("position"),
+        F.col("series").alias("column"),
+        "t",
+        "value",
     )
+    write_wide_csv(cells if rows_kept is None else cells.where(rows_kept), path)
     columns = ", ".join(f"{n} double" for n in NATION_NAMES)
-    read = spark.read.csv(path, header=True, schema=f"row int, {columns}, name string")
+    read = spark.read.csv(path, header=True, nullValue="NA", schema=f"row int, {columns}, name string")
     return rounded(read, *NATION_NAMES)
 
 
+def wide_csv_sink(spark, sf_dir):
+    return _wide_csv(spark, sf_dir)
+
+
+def wide_csv_uneven(spark, sf_dir):
+    """Every second account starts late, every third ends early, every fifth has a hole."""
+    late = (F.col("position") % 2 == 0) & (F.col("t") < 40)
+    early = (F.col("position") % 3 == 0) & (F.col("t") > 500)
+    hole = (F.col("position") % 5 == 0) & F.col("t").between(100, 120)
+    return _wide_csv(spark, sf_dir, ~(late | early | hole))
+
+
+# Whole chains
+
+
+def panel_pipeline(spark, sf_dir):
+    """Window, clip, means, drops, calendar of the kept accounts, completion, series.
+
+    The accounts whose first or last day bounds the window are dropped after the clip, so the
+    calendar of the kept ones is shorter than the window.
+    """
+    daily = daily_mean(lines(spark, sf_dir), LINES)
+    window = common_window(daily, LINES, exclude=LATE)
+    inside = clip_to_window(daily, LINES, window)
+    ends = account_span(daily, LINES, skip_missing=True).join(window, list(LINES.panel))
+    bounding = ends.where((F.col("min_val") == F.col("lo")) | (F.col("max_val") == F.col("hi")))
+    kept = drop_accounts(inside, LINES, bounding.select(*LINES.series))
+    completed = complete_days(kept, LINES, panel_bounds(kept, LINES), CHAIN_PICKS)
+    return rounded(series_offset(zero_fill(completed, LINES), LINES), "value")
+
+
+def daily_sorted(spark, sf_dir):
+    """The place of every row of the sorted sink, read from its files."""
+    path = scratch_path(spark, "sorted")
+    coded = with_panel_code(daily_mean(lines(spark, sf_dir), LINES), LINES, CODES)
+    write_sorted(coded.drop(*LINES.panel), path, "panel", ["l_suppkey", "day"])
+    read = spark.read.parquet(path)
+    stored = Window.partitionBy("panel").orderBy("_metadata.file_name", "_metadata.row_index")
+    return read.select("panel", "l_suppkey", "day", F.row_number().over(stored).alias("place"))
+
+
 QUERIES = {
     "project_fields": project_fields,
     "day_from_text": day_from_text,
@@ -410,6 +495,7 @@ QUERIES = {
     "calendar": calendar_query,
     "month_label": month_label_query,
     "complete_days": complete_days_query,
+    "complete_days_given_bounds": complete_days_given_bounds,
     "zero_filled": zero_filled,
     "series_offset": series_offset_query,
     "series_names": series_names,
@@ -419,6 +505,10 @@ QUERIES = {
     "loess_curve": loess_curve_query,
     "loess_events": loess_events,
     "csv_round_trip": csv_round_trip,
+    "csv_round_trip_split": csv_round_trip_split,
     "csv_text_round_trip": csv_text_round_trip,
     "wide_csv_sink": wide_csv_sink,
+    "wide_csv_uneven": wide_csv_uneven,
+    "panel_pipeline": panel_pipeline,
+    "daily_sorted": daily_sorted,
 }

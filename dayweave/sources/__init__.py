@@ -1,5 +1,6 @@
 from dayweave.sources.csv import read_scored_csv, write_scored_csv
 from dayweave.sources.scratch import materialize, scratch_folder, scratch_path, scratch_space
+from dayweave.sources.tables import write_sorted
 from dayweave.sources.wide_csv import read_wide_csv, write_wide_csv
 
 __all__ = [
@@ -10,5 +11,6 @@ __all__ = [
     "scratch_path",
     "scratch_space",
     "write_scored_csv",
+    "write_sorted",
     "write_wide_csv",
 ]

@@ -59,7 +59,8 @@ def read_scored_csv(
 
 
 def write_scored_csv(df: DataFrame, path: str) -> None:
-    """Write records so that `read_scored_csv` gives them back unchanged."""
+    """Write records so that `read_scored_csv` gives them back, but for a text that is NA,
+    which comes back missing: the format has no other way to write a missing text."""
     (
         df.write.option("header", True)
         .option("encoding", "UTF-8")

@@ -15,24 +15,24 @@ def write_wide_csv(series: DataFrame, path: str, file: str = "name") -> None:
     `series` has one row per value: `name` of the file, `position` and `column` of the
     account, offset `t`, `value`. Each file becomes a folder `name=<file>` with one part:
     a quoted header starting with an empty name, then the quoted row number from 1 and the
-    values. A file has one line per calendar day, so one task per file is enough.
+    values, NA where an account has no row. A file has one line per calendar day, so one task
+    per file is enough.
     """
     quoted = F.concat(F.lit('"'), F.regexp_replace("column", '"', '""'), F.lit('"'))
-    header = series.where(F.col("t") == 0).select(
-        file, "position", F.lit(HEADER).alias("t"), quoted.alias("text")
+    # As many entries as the file has columns.
+    columns = series.groupBy(file).agg(
+        F.sort_array(F.collect_set(F.struct("position", quoted.alias("text")))).alias("columns")
     )
-    body = series.select(file, "position", "t", csv_number(F.col("value")).alias("text"))
-    cells = F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda c: c["text"])
+    header = columns.select(file, F.lit(HEADER).alias("t"), F.col("columns.text").alias("cells"))
+    cell = F.struct("position", csv_number(F.col("value")).alias("text"))
+    body = series.groupBy(file, "t").agg(F.map_from_entries(F.collect_list(cell)).alias("found"))
+    filled = F.transform("columns", lambda c: F.coalesce(F.element_at("found", c["position"]), F.lit("NA")))
+    body = body.join(columns, file).select(file, "t", filled.alias("cells"))
     number = F.when(F.col("t") == HEADER, "").otherwise((F.col("t") + 1).cast("string"))
-    lines = (
-        header.unionByName(body)
-        .groupBy(file, "t")
-        .agg(cells.alias("cells"))
-        .select(
-            file,
-            "t",
-            F.concat_ws(",", F.concat(F.lit('"'), number, F.lit('"')), F.col("cells")).alias("line"),
-        )
+    lines = header.unionByName(body).select(
+        file,
+        "t",
+        F.concat_ws(",", F.concat(F.lit('"'), number, F.lit('"')), F.col("cells")).alias("line"),
     )
     (
         lines.repartition(file)

@@ -26,6 +26,7 @@ from dayweave.operators.calendar import (
 )
 from dayweave.operators.daily import active_days, daily_mean, drop_sparse, mean_on_rows, min_active_days
 from dayweave.operators.panels import frequency_table, one_panel, with_day, with_panel_code
+from dayweave.operators.smooth import loess_curve
 from dayweave.operators.windows import account_span, clip_to_window, common_window
 
 SPEC = PanelSpec(("panel",), "who", "at", (Measure("x", "mean_x", "X"), Measure("y", "mean_y", "Y")))
@@ -120,14 +121,41 @@ def test_no_common_window(table):
     assert clip_to_window(df, SPEC, common_window(df, SPEC)).count() == 0
 
 
-def test_windows_beyond_the_broadcast_limit(table, monkeypatch):
-    df = table(spans((1, 10), (3, 8)) + [("q", "z", day(i), 1.0, 1.0) for i in (0, 4, 9)])
-    windows = common_window(df, SPEC)
-    few = rows_of(clip_to_window(df, SPEC, windows), *df.columns)
-    monkeypatch.setattr("dayweave.operators.small.bounded_rows", lambda *_: None)
-    many = clip_to_window(df, SPEC, windows)
-    assert rows_of(many, *df.columns) == few
-    assert "__salt" in many._jdf.queryExecution().toString()
+@pytest.mark.parametrize("more", [0, 10_001])
+@pytest.mark.parametrize("as_list", [True, False])
+def test_the_number_of_windows_changes_nothing(spark, more, as_list):
+    rows = [("p", "a", day(i), float(i), {"k": i}) for i in range(4)] + [("q", "a", D, 9.0, None)]
+    df = spark.createDataFrame(rows, "panel string, who string, day date, x double, extra map<string,int>")
+    windows = [("p", day(1), day(2))] + [(f"z{i}", D, D) for i in range(more)]
+    if not as_list:
+        windows = spark.createDataFrame(windows, "panel string, lo date, hi date")
+    got = clip_to_window(df, SPEC, windows)
+    assert got.columns == df.columns
+    assert sorted((r.x, r.extra["k"]) for r in got.collect()) == [(1.0, 1), (2.0, 2)]
+
+
+def test_a_window_without_a_bound_holds_no_row(spark, table):
+    df = table([("p", "a", D, 1.0, 1.0), ("q", "a", D, 2.0, 2.0), ("r", "a", D, 3.0, 3.0)])
+    windows = [("p", D, D), ("q", None, D), ("r", D, None)]
+    assert rows_of(clip_to_window(df, SPEC, windows), "x") == [(1.0,)]
+    windows = spark.createDataFrame(windows, "panel string, lo date, hi date")
+    assert rows_of(clip_to_window(df, SPEC, windows), "x") == [(1.0,)]
+    assert clip_to_window(df, SPEC, []).count() == 0
+
+
+def test_building_a_query_starts_no_job(spark, table):
+    df = table(spans((1, 10), (3, 8)))
+    picks = spark.createDataFrame([("p", "a", "A")], "panel string, who string, alias string")
+    spark.sparkContext.setJobGroup("building", "")
+    daily = clip_to_window(daily_mean(df, SPEC), SPEC, common_window(df, SPEC, exclude=picks))
+    kept = drop_accounts(daily, SPEC, picks.select("panel", "who"))
+    complete_days(kept, SPEC, panel_bounds(kept, SPEC), picks)
+    wide_table(kept, SPEC, "X", [("p", "a", "A")], panel_bounds(kept, SPEC))
+    with_panel_code(pick_accounts(mean_on_rows(df, SPEC), SPEC, picks), SPEC, [("p", "P1")])
+    loess_curve(df, SPEC)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(jobs)
 
 
 def names(df):
@@ -172,13 +200,12 @@ def join_threshold(spark, request):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 3, 0])
-def test_hot_account_days_get_the_same_means(table, hot_rows, join_threshold):
+def test_hot_account_days_get_the_same_means(table, join_threshold):
     hot = [("p", "a", D, float(i), None if i == 7 else 1.0) for i in range(50)]
     rest = [("p", "b", day(i % 5), float(i), 2.0) for i in range(12)]
     odd = [("p", None, None, 4.0, 4.0), (None, "b", D, 5.0, 5.0)]
     df = table(hot + rest + odd)
-    got = rows_of(mean_on_rows(df, SPEC, hot_rows=hot_rows), "panel", "who", "x", "mean_x", "mean_y")
+    got = rows_of(mean_on_rows(df, SPEC), "panel", "who", "x", "mean_x", "mean_y")
     want = {}
     for p, w, d, x, y in hot + rest + odd:
         want.setdefault((p, w, d), []).append((x, y))
@@ -189,6 +216,38 @@ def test_hot_account_days_get_the_same_means(table, hot_rows, join_threshold):
     assert got == sorted(expected, key=repr)
 
 
+def test_a_hot_account_day_is_spread(spark):
+    """Half the rows are of one account-day and equal in all columns but three values."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    who = F.when(F.col("id") % 2 == 0, "hot").otherwise((F.col("id") % 5000).cast("string"))
+    df = spark.range(0, 400_000, 1, 16).select(
+        F.lit("p").alias("panel"), who.alias("who"), F.lit(D).alias("day"), (F.col("id") % 3).cast("double").alias("x"),
+        F.lit(1.0).alias("y"),
+    )
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sizes = {}
+        for parts in ("4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            joined = mean_on_rows(df, SPEC).withColumn("part", F.spark_partition_id())
+            rows = joined.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("mean_x"), F.max("mean_x")).collect()
+            assert sum(r.n for r in rows) == 400_000
+            sizes[parts] = max(r.n for r in rows)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    # Unsplit, the task of the hot account-day has 200,000 rows whatever the partitions.
+    assert sizes["16"] < sizes["4"] < 120_000
+
+
 def test_sparse_accounts(table):
     daily = table([("p", "a", day(i), 1.0, 1.0) for i in range(4)] + [("p", "b", D, 1.0, 1.0), ("q", "a", D, 1.0, 1.0)])
     assert rows_of(min_active_days(daily, SPEC, 2), "panel", "who", "n") == [("p", "a", 4)]
@@ -232,6 +291,32 @@ def test_one_account_under_two_aliases(table):
     assert got == [(n, t, x) for n in "AB" for t, x in ((0, 1.0), (1, None), (2, 3.0))]
 
 
+def test_completion_within_given_bounds(table):
+    rows = [("p", "a", day(i), float(i), 1.0) for i in (1, 3, 7, 12)]
+    rows += [("p", "before", day(i), 1.0, 1.0) for i in (0, 1, 2)] + [("p", "after", day(20), 1.0, 1.0)]
+    rows += [("p", "around", day(i), 1.0, 1.0) for i in (0, 2, 30)] + [("q", "a", D, 1.0, 1.0)]
+    daily = daily_mean(table(rows), SPEC)
+    got = rows_of(complete_days(daily, SPEC, [("p", day(5), day(9))]), "who", "t", "day", "mean_x")
+    names = ("a", "after", "around", "before")
+    want = [(w, i, day(5 + i), 7.0 if (w, i) == ("a", 2) else None) for w in names for i in range(5)]
+    assert got == sorted(want, key=repr)
+    picked = complete_days(daily, SPEC, [("p", day(5), day(9))], [("p", "before", "B"), ("p", "silent", "S"), ("p", "a", "A")])
+    assert rows_of(picked, "alias", "t", "mean_x") == sorted(
+        ((n, i, 7.0 if (n, i) == ("A", 2) else None) for n in "ABS" for i in range(5)), key=repr
+    )
+
+
+def test_drop_lists_as_tables_and_with_missing_names(spark, table):
+    df = table([(p, w, D, 0.0, 0.0) for p in "pqr" for w in ("a", "b", "c", None)])
+    drops = [("p", "a"), ("p", "b"), ("p", "a"), ("q", None), ("q", "a")]
+    for given in (drops, spark.createDataFrame(drops, "panel string, name string")):
+        everyone = [("r", w) for w in ("a", "b", "c", None)]
+        got = rows_of(drop_accounts(df, SPEC, given, ALL_DIFFER), "panel", "who")
+        assert got == sorted([("p", "c"), *everyone], key=repr)
+        got = rows_of(drop_accounts(df, SPEC, given, ANY_DIFFERS), "panel", "who")
+        assert got == sorted([("p", "a"), ("p", "b"), ("p", "c"), ("q", "b"), ("q", "c"), *everyone], key=repr)
+
+
 def test_wide_columns_are_in_the_given_order(table):
     df = table([("p", w, day(i), float(i), 1.0) for w in ("JOH", "LZ", "SN") for i in range(2)])
     picks = [("p", "LZ", "LuisZelaya"), ("p", "SN", "SalvadorNasralla"), ("p", "JOH", "JOH")]

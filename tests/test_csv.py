@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dayweave.operators.panels import with_day
-from dayweave.sources import read_scored_csv, read_wide_csv, write_scored_csv, write_wide_csv
+from dayweave.sources import read_scored_csv, read_wide_csv, write_scored_csv, write_sorted, write_wide_csv
 from dayweave.spec import SCORED_POSTS
 
 HEADER = "id,Authenticity,text,CountryElection,user_name,type_of_account,created_at_seconds,Analytic\n"
@@ -96,3 +96,30 @@ def test_wide_file_layout(spark, tmp_path):
     (part,) = glob.glob(str(tmp_path / "wide" / "name=f_An" / "part-*"))
     with open(part, encoding="utf-8") as f:
         assert f.readline() == '"","HO21_""q""_An"\n'
+
+
+def test_series_of_unequal_length(spark, tmp_path):
+    rows = [("f", 1, "A", t, 100.0 + t) for t in (0, 1)] + [("f", 2, "B", t, 200.0 + t) for t in (0, 1, 2)]
+    rows += [("g", 1, "A", 1, 1.0), ("g", 3, "C", 0, 3.0)]
+    df = spark.createDataFrame(rows, "name string, position int, column string, t int, value double")
+    write_wide_csv(df.repartition(3), str(tmp_path / "wide"))
+    texts = {}
+    for name in "fg":
+        (part,) = glob.glob(str(tmp_path / "wide" / f"name={name}" / "part-*"))
+        with open(part, encoding="utf-8") as f:
+            texts[name] = f.read()
+    assert texts["f"] == '"","A","B"\n"1",100,200\n"2",101,201\n"3",NA,202\n'
+    assert texts["g"] == '"","A","C"\n"1",NA,3\n"2",1,NA\n'
+    back = read_wide_csv(spark, str(tmp_path / "wide" / "name=f"))
+    assert [tuple(r) for r in back.orderBy("row").collect()][2] == (3, None, 202.0)
+
+
+def test_sorted_tables_have_few_files_in_order(spark, tmp_path):
+    df = spark.range(5000).select((F.col("id") % 3).alias("p"), (F.col("id") * 7919 % 5000).alias("x")).repartition(16)
+    write_sorted(df, str(tmp_path / "t"), "p", ["x"])
+    for p in range(3):
+        files = sorted(glob.glob(str(tmp_path / "t" / f"p={p}" / "part-*.parquet")))
+        assert len(files) <= 8
+        values = [r.x for f in files for r in spark.read.parquet(f).collect()]
+        assert values == sorted(values) and len(values) in (1666, 1667)
+    assert len(glob.glob(str(tmp_path / "t" / "*" / "part-*"))) <= 8 + 2

@@ -9,7 +9,7 @@ import pytest
 
 from dayweave.operators.accounts import ALL_DIFFER
 from dayweave.plans.elections import Elections
-from dayweave.plans.pipeline import kept_accounts, run, scored_rows
+from dayweave.plans.pipeline import COMPUTED, kept_accounts, run, scored_rows
 
 CONFIG = Elections(candidate="candidato", party="partido")
 PANEL_OF = {(e, t): code for e, t, code in CONFIG.codes}
@@ -161,3 +161,35 @@ def test_drop_modes(spark, out):
 def test_handles_are_optional(spark, out):
     rows = scored_rows(spark, f"{out}/posts.csv", CONFIG)
     assert "user_username" not in rows.columns
+
+
+def test_series_table_keeps_the_days(spark, out):
+    series = spark.read.parquet(f"{out}/out/series")
+    starts = {r.name: r.lo for r in series.groupBy("name").agg({"created_at_seconds2": "min"}).toDF("name", "lo").collect()}
+    for panel in CALENDAR_DAYS:
+        lo = next(w[2] for w in CONFIG.windows if PANEL_OF[w[:2]] == panel)
+        assert starts[f"VARdf_{panel}_Spon"] == lo
+    wrong = series.where("datediff(created_at_seconds2, to_date('1970-01-01')) - t != 0").groupBy("name").count()
+    assert wrong.count() == 20  # t counts from each panel's first day
+
+
+def test_computed_windows(spark, out, posts, tmp_path):
+    """All accounts of a panel but the excluded ones share the days of its window."""
+    exclude = [(*w[:2], "Outsider") for w in CONFIG.windows]
+    exclude += [tuple(x) for x in CONFIG.dropped + CONFIG.dropped_if_all]
+    run(spark, f"{out}/posts.csv", str(tmp_path / "out"), CONFIG, windows=COMPUTED, exclude=exclude, folder=str(tmp_path / "scratch"))
+    days = defaultdict(set)
+    left_out = set(exclude) | {tuple(x) for x in CONFIG.dropped_first}
+    for e, t, account, _, _, at, *_ in posts:
+        if (e, t, account) not in left_out:
+            days[e, t, account].add(date.fromisoformat(at[:10]))
+    want = {}
+    for e, t, _, _ in CONFIG.windows:
+        own = [d for (x, y, _), d in days.items() if (x, y) == (e, t)]
+        want[PANEL_OF[e, t]] = (max(map(min, own)), min(map(max, own)))
+    daily = spark.read.parquet(str(tmp_path / "out" / "daily"))
+    got = daily.groupBy("panel").agg({"created_at_seconds2": "min"}).toDF("panel", "lo").collect()
+    assert all(r.lo >= want[r.panel][0] for r in got)
+    last = daily.groupBy("panel").agg({"created_at_seconds2": "max"}).toDF("panel", "hi").collect()
+    assert all(r.hi <= want[r.panel][1] for r in last) and len(last) == 24
+    assert not list((tmp_path / "scratch").glob("run-*"))

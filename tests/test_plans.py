@@ -47,13 +47,20 @@ def test_daily_mean_shuffles_partial_sums_once(spark):
     assert "partial_sum" in text.split("Exchange")[1]
 
 
-def test_means_on_rows_aggregate_the_input_once(spark):
-    text = plan(mean_on_rows(events(spark, SF_DIR), EVENTS, hot_rows=2), run=True)
-    assert "ReusedExchange" in text
+def test_means_on_rows_are_joined_without_a_window(spark):
+    text = plan(mean_on_rows(events(spark, SF_DIR), EVENTS), run=True)
     assert "Window" not in text
     assert text.count("FileScan") == 2
 
 
+@pytest.mark.parametrize("name", ["daily_mean_strict", "loess_curve", "wide_spon"])
+def test_the_rows_are_scanned_once(spark, name):
+    """Windows and what is clipped to them come from the written daily table."""
+    text = plan(QUERIES[name](spark, SF_DIR), run=True)
+    scans = [x for x in text.splitlines() if "FileScan" in x]
+    assert scans and not any("lineitem" in x or "l_shipdate" in x for x in scans)
+
+
 def test_loess_sends_days_not_rows(spark):
     text = plan(loess_curve(lines(spark, SF_DIR), LINES))
     first_shuffle = text.splitlines()[max(i for i, l in enumerate(text.splitlines()) if "Exchange" in l) + 1]
