@@ -69,7 +69,8 @@ class WordEncoder(dict):
 
     @staticmethod
     def _plain(text: str) -> bool:
-        return text.isalpha() and (text.isascii() or max(text) < "ɐ")
+        """Letters whose lower case is one letter too."""
+        return text.isalpha() and (text.isascii() or max(text) < "Ā")
 
     def _merged(self, text: str) -> bytes:
         text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
