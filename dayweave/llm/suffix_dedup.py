@@ -87,7 +87,8 @@ class Anchors:
         part = np.searchsorted(ends, first, side="right")
         text = np.array([i for i, _, _ in parts])[part]
         shift = np.array([a for _, a, _ in parts])[part] - begins[part]
-        return text, anchor + shift, first + shift, last + shift, key[anchor]
+        # The smallest of many hashes is small; mixed again, they spread over all buckets.
+        return text, anchor + shift, first + shift, last + shift, mixed(key[anchor])
 
 
 def _texts(table: pa.Table) -> tuple[list, list[bytes]]:
@@ -389,7 +390,6 @@ def _remover(bits: int, buckets: int):
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         ids, data = _texts(texts)
-        starts = [[] for _ in ids]
         if answers.num_rows:
             _, _, entries = _known_texts(texts)
             replies = answers.filter(answers.column("bits").is_valid()).select(["bucket", "bits"])
@@ -399,17 +399,13 @@ def _remover(bits: int, buckets: int):
             for b, packed in zip(answers.column("bucket").to_pylist(), answers.column("masks").to_pylist()):
                 if packed is not None:
                     mask[cuts[b] : cuts[b + 1]] = np.frombuffer(packed, np.uint32)
-            whole = contexts.doc > contexts.least[contexts.which]
-            for text, first, last, late, bit in zip(
-                contexts.text.tolist(), contexts.first.tolist(), contexts.last.tolist(), whole.tolist(), mask[contexts.which].tolist()
-            ):
-                if late:
-                    starts[text].append((first, last))
-                elif bit:
-                    starts[text] += [(first + s, first + s) for s in range(last - first + 1) if bit >> s & 1]
-        rows = []
-        for doc, text, own in zip(ids, data, starts):
-            spans = _spans(own)
+            gone = _covered(contexts, mask, data)
+        else:
+            gone = np.zeros(sum(map(len, data)), dtype=bool)
+        rows, begin = [], 0
+        for doc, text in zip(ids, data):
+            spans = _spans(gone[begin : begin + len(text)])
+            begin += len(text)
             kept, at = [], 0
             for a, b in spans:
                 kept.append(text[at:a])
@@ -422,15 +418,28 @@ def _remover(bits: int, buckets: int):
     return remove
 
 
-def _spans(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal stretches covered by windows that start in the given ranges."""
-    spans: list[tuple[int, int]] = []
-    for first, last in sorted(starts):
-        if spans and first <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(spans[-1][1], last + SPAN))
-        else:
-            spans.append((first, last + SPAN))
-    return spans
+def _covered(contexts: Contexts, mask: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Which bytes of the texts, one after the other, lie in a window of a smaller document."""
+    begins = np.cumsum([0, *map(len, texts)])
+    first, last = begins[contexts.text] + contexts.first, begins[contexts.text] + contexts.last
+    whole = contexts.doc > contexts.least[contexts.which]
+    bits = np.where(whole, np.uint32(0), mask[contexts.which])
+    starts, ends = [first[whole]], [last[whole] + SPAN]
+    for s in range(REACH + 1):
+        late = first[(bits >> np.uint32(s) & np.uint32(1)).astype(bool)] + s
+        starts.append(late)
+        ends.append(late + SPAN)
+    size = int(begins[-1]) + 1
+    open_ = np.bincount(np.concatenate(starts), minlength=size) - np.bincount(np.concatenate(ends), minlength=size)
+    return (np.cumsum(open_) > 0)[:-1]
+
+
+def _spans(gone: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal stretches of marked bytes."""
+    if not gone.any():
+        return []
+    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
