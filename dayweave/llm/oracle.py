@@ -64,7 +64,7 @@ moments AS (
   SELECT m, CASE WHEN k >= 2 AND m * (1 - m) > 0 THEN (rates - docs * m * m) / (m * (1 - m)) - (k - 1) END AS excess,
          docs - squares / docs - (k - 1) AS scale FROM sums),
 prior AS (
-  SELECT m, CASE WHEN excess > 0 AND scale > 0 THEN greatest(1 / least(excess / scale, 1) - 1, 0) END AS weight
+  SELECT m, CASE WHEN excess > 0 AND scale > 0 THEN greatest(scale / excess - 1, 1) END AS weight
   FROM moments),
 bad AS (
   SELECT host FROM hosts CROSS JOIN prior

@@ -10,6 +10,8 @@ from dayweave.sources import materialize
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_HOST_RATE = 0.5
+# Documents that the prior of hosts counts for at least.
+LEAST_PRIOR = 1.0
 WINDOW = 3
 
 
@@ -124,7 +126,7 @@ def _prior_weight(s, mean: float) -> float | None:
     scale = s["docs"] - s["squares"] / s["docs"] - (s["hosts"] - 1)
     if excess <= 0 or scale <= 0:
         return None
-    return max(1 / min(excess / scale, 1.0) - 1, 0.0)
+    return max(scale / excess - 1, LEAST_PRIOR)
 
 
 def judge(docs: DataFrame, columns: list[str], host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:

@@ -168,6 +168,10 @@ def _members(rows):
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a folder; without rows no folder was written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "path string, content binary")
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
 
 

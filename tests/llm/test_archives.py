@@ -70,7 +70,7 @@ def test_streams_are_one_member_and_archives_one_a_record(spark, tmp_path):
         record = gzip.decompress(packed[row["offset"] : end])
         assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
         assert f"<urn:page:{'null' if row['page_id'] is None else row['page_id']}>".encode() in record
-    assert subprocess.run(["gzip", "-t", "-S", "", "-"], input=packed).returncode == 0
+    assert subprocess.run(["gzip", "-tc"], input=packed, stdout=subprocess.DEVNULL).returncode == 0
 
 
 def test_members_end_with_a_zero_byte():

@@ -131,9 +131,9 @@ def test_the_mix_is_in_the_order_of_finish_times(spark, sf_dir, none):
     by_source = defaultdict(list)
     for r in served:
         by_source[r["source"]].append(r["finish"])
-    # At any time every source has been served its share, up to one document.
+    # The last document of every source ends at the end of the budget or is cut there.
     for times in by_source.values():
-        assert min(times) < 0.5 and max(times) > 0.75
+        assert max(times) >= 0.999
     assert mixing.mix(none).count() == 0 and mixing.schedule(none).count() == 0
 
 
