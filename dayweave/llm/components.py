@@ -39,7 +39,7 @@ def _large_star(stars: DataFrame) -> DataFrame:
     both = both.select(F.col("high").alias("u"), F.col("low").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     larger = both.where(F.col("v") > F.col("u")).join(least, "u")
-    return larger.select(F.col("v").alias("high"), F.col("m").alias("low")).distinct()
+    return larger.select(F.col("v").alias("high"), F.col("m").alias("low"))
 
 
 def _small_star(stars: DataFrame) -> DataFrame:

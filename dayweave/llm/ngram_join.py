@@ -21,17 +21,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORDS, PERCENT = 5, 80
 # Shared prefix n-grams that a pair must have: the fewest and the most a document asks for, and
 # the expected chance partners per match above which it asks for twice as many.
-FEWEST, MOST, COST = 4, 16, 4.0
+FEWEST, MOST, COST = 8, 32, 4.0
 BUCKETS = 1 << 16
-SKETCHES = 3
-# Documents compared in one go while groups of copies are joined; larger groups take more goes.
-GROUP = 1000
+# Values of a signature, how many of them gather families, and how many must agree for that.
+VALUES, BANDS, AGREE = 16, 6, 6
+# Documents gathered, or compared with each other, in one go; larger groups take more goes.
+GROUP, TILE = 4096, 512
 BLOCK_BYTES = 1 << 20
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.arange(256, dtype=np.uint8) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
-_SEEDS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+_SEEDS = np.random.default_rng(5).integers(1 << 62, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Shingles:
@@ -134,36 +135,45 @@ def prefix_length(keys: np.ndarray, percent: int, total: float, words: int) -> t
     return n - r + m, m
 
 
+def signatures(keys: list[np.ndarray]) -> np.ndarray:
+    """For each set the smallest of its hashes, under several hash functions."""
+    out = np.zeros((len(keys), VALUES), dtype=np.int32)
+    full = np.flatnonzero([len(k) for k in keys])
+    if len(full):
+        flat = np.concatenate([keys[i] for i in full])
+        begins = np.cumsum([0, *(len(keys[i]) for i in full)])[:-1]
+        for v, seed in enumerate(_SEEDS):
+            least = np.minimum.reduceat(mixed(flat * seed), begins)
+            out[full, v] = (least >> np.uint64(33)).astype(np.int32)
+    return out
+
+
 def _profiler(n: int, percent: int, level: np.ndarray, total: float):
     def profile(batches):
         shingles = Shingles(n)
         for batch in batches:
-            sizes, digests, sketches, matches, prefixes = [], [], [], [], []
+            sizes, digests, signs, matches, prefixes = [], [], [], [], []
             for _, _, data, ends in blocks(batch.column("text"), BLOCK_BYTES):
-                for keys in shingles.keys(data, ends, level):
+                own = shingles.keys(data, ends, level)
+                signs.append(signatures(own))
+                for keys in own:
                     sizes.append(len(keys))
                     digests.append(hashlib.blake2b(keys.tobytes(), digest_size=16).digest())
-                    if not len(keys):
-                        sketches.append([0] * SKETCHES)
-                        matches.append(0)
-                        prefixes.append(keys.view(np.int64))
-                        continue
-                    sketches.append([(mixed(keys * s)).min().view(np.int64) for s in _SEEDS])
-                    length, m = prefix_length(keys, percent, total, n)
+                    length, m = prefix_length(keys, percent, total, n) if len(keys) else (0, 0)
                     matches.append(m)
                     prefixes.append(keys[:length].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+            sign = np.concatenate(signs).ravel() if signs else np.zeros(0, np.int32)
             columns = [
                 batch.column("doc_id"),
                 pa.array(sizes, pa.int64()),
                 pa.array(digests, pa.binary()),
-                *[pa.array([s[i] for s in sketches], pa.int64()) for i in range(SKETCHES)],
+                pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * VALUES, pa.int32()), pa.array(sign)),
                 pa.array(matches, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
             ]
-            names = ["doc_id", "n", "digest", *[f"sketch{i}" for i in range(SKETCHES)], "matches", "prefix"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "sign", "matches", "prefix"])
 
     return profile
 
@@ -182,30 +192,89 @@ def _all_keys(column: pa.Array, shingles: Shingles) -> list[np.ndarray]:
     return [k for _, _, data, ends in blocks(column, BLOCK_BYTES) for k in shingles.keys(data, ends)]
 
 
-def _gatherer(n: int, percent: int):
-    """Within runs of rows of one group, join each document to an earlier one that it is similar
-    to, if there is one among those that stand for themselves."""
+def _gather(batches):
+    """In runs of rows of one group, join each document to an earlier one with much the same
+    signature, if there is one among those that stand for themselves."""
+    group, signs, leaders = None, np.zeros((GROUP, VALUES), np.int32), []
+    for batch in batches:
+        docs, heads = [], []
+        own = np.asarray(batch.column("sign").flatten()).reshape(-1, VALUES)
+        keys = zip(*(batch.column(c).to_pylist() for c in ("band", "value", "part", "doc")))
+        for sign, (*key, doc) in zip(own, keys):
+            if key != group:
+                group, leaders = key, []
+            if len(leaders) == len(signs):
+                signs = np.concatenate([signs, np.zeros_like(signs)])
+            agree = (signs[: len(leaders)] == sign).sum(axis=1)
+            at = int(agree.argmax()) if len(agree) else 0
+            if len(agree) and agree[at] >= AGREE:
+                docs.append(doc)
+                heads.append(leaders[at])
+            else:
+                signs[len(leaders)] = sign
+                leaders.append(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(heads, pa.int64())], names=["a", "b"])
+
+
+def linked(keys: list[np.ndarray], side: np.ndarray, both: bool, percent: int) -> list[tuple[int, int]]:
+    """Links among sets that connect all that are connected, found by comparing them all: those of
+    the two sides with each other, or with `both` false all of them. Pairs that are connected
+    already are not compared."""
+    size = np.array([len(k) for k in keys])
+    owner = np.repeat(np.arange(len(keys)), size)
+    _, token, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    use = shared[token]
+    owner, token = owner[use], place[token[use]]
+    bits = np.zeros((len(keys), int(shared.sum()) // 64 + 1), dtype=np.uint64)
+    order = np.lexsort((token, owner))
+    owner, token = owner[order], token[order]
+    cell = owner * bits.shape[1] + token // 64
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    if len(first):
+        one = np.uint64(1) << (token % 64).astype(np.uint64)
+        bits.ravel()[cell[first]] = np.bitwise_or.reduceat(one, first)
+    root, out = np.arange(len(keys)), []
+    at = np.arange(len(keys))
+    for i in range(len(keys)):
+        fits = (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])) & (root != root[i])
+        fits &= (side != side[i]) & (at > i) if both else at > i
+        others = np.flatnonzero(fits)
+        if not len(others):
+            continue
+        common = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+        for j in others[100 * common >= percent * (size[others] + size[i] - common)]:
+            if root[j] != root[i]:
+                out.append((i, int(j)))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _comparer(n: int, percent: int):
+    """Compare the documents of two tiles of a family, or of one with each other."""
+
+    def compare(batches):
+        shingles, group, docs, tiles, keys = Shingles(n), None, [], [], []
+
+        def links():
+            side = np.array(tiles)
+            found = linked(keys, side, bool(group) and group[1] != group[2], percent) if len(keys) > 1 else []
+            columns = [pa.array([docs[p[k]] for p in found], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
-    def gather(batches):
-        shingles, group, leaders = Shingles(n), None, []
         for batch in batches:
-            docs, heads = [], []
-            keys = _all_keys(batch.column("text"), shingles)
-            rows = zip(*(batch.column(c).to_pylist() for c in ("sketch", "part", "doc")), keys)
-            for sketch, part, doc, own in rows:
-                if (sketch, part) != group:
-                    group, leaders = (sketch, part), []
-                few = frozenset(np.partition(own, min(15, len(own) - 1))[:16].tolist())
-                for leader, other, theirs in leaders:
-                    if len(few & theirs) >= min(len(few), 4) and similar(own, other, percent):
-                        docs.append(doc)
-                        heads.append(leader)
-                        break
-                else:
-                    leaders.append((doc, own, few))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(heads, pa.int64())], names=["a", "b"])
-
-    return gather
+            rows = zip(*(batch.column(c).to_pylist() for c in ("family", "x", "y", "doc", "tile")))
+            for (*key, doc, tile), own in zip(rows, _all_keys(batch.column("text"), shingles)):
+                if key != group:
+                    yield links()
+                    group, docs, tiles, keys = key, [], [], []
+                docs.append(doc)
+                tiles.append(tile)
+                keys.append(own)
+        yield links()
+
+    return compare
 
 
 def _verifier(n: int, percent: int):
@@ -219,22 +288,31 @@ def _verifier(n: int, percent: int):
     return verify
 
 
-def _gathered(active: DataFrame, texts: DataFrame, sketch: str, n: int, percent: int) -> tuple[DataFrame, bool]:
-    """Links found among documents with equal sketches, and whether a group took several goes."""
-    groups = active.groupBy(sketch).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    groups = groups.select(F.col(sketch).alias("sketch"), F.ceil(F.col("size") / GROUP).alias("parts"))
-    groups = materialize(groups, "groups")
-    parts = groups.agg(F.max("parts")).first()[0] or 0
-    members = active.select("doc", F.col(sketch).alias("sketch")).join(groups, "sketch")
-    members = members.withColumn("part", F.pmod(F.xxhash64("doc"), "parts"))
-    # A group is never more than about GROUP documents, however many share a sketch.
-    laid = (
-        members.join(texts, "doc")
-        .select("sketch", "part", "doc", "text")
-        .repartition("sketch", "part")
-        .sortWithinPartitions("sketch", "part", "doc")
-    )
-    return materialize(laid.mapInArrow(_gatherer(n, percent), "a long, b long"), "gathered"), parts > 1
+def _families(reps: DataFrame) -> DataFrame:
+    """doc, family and its size for documents that are much like some other, by signatures.
+
+    Families only decide how documents are compared: all within one, by prefixes across them.
+    """
+    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("sign")[i].alias("value")) for i in range(BANDS)]))
+    active = reps.select("doc", "sign", bands.alias("b")).select("doc", "sign", "b.band", "b.value")
+    coarse, key = [], ["band", "value"]
+    while True:
+        groups = active.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+        parts = F.ceil(F.col("size") / GROUP).alias("parts")
+        members = active.join(groups.select(*key, parts), key)
+        members = materialize(members.withColumn("part", F.pmod(F.xxhash64("doc"), "parts")), "bands")
+        # A group is never more than about GROUP documents, however many share a value.
+        laid = members.repartition(*key, "part").sortWithinPartitions(*key, "part", "doc")
+        found = laid.select("band", "value", "part", "doc", "sign").mapInArrow(_gather, "a long, b long")
+        coarse.append(materialize(found.distinct(), "gathered"))
+        # What is left of a group that took several goes is gathered again, while that helps.
+        rest = members.where(F.col("parts") > 1).select("doc", "sign", *key)
+        if rest.isEmpty() or coarse[-1].isEmpty():
+            break
+        active = materialize(rest.join(coarse[-1].select(F.col("a").alias("doc")).distinct(), "doc", "left_anti"), "active")
+    found = components(reduce(DataFrame.union, coarse)).select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    sizes = found.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    return materialize(found.join(sizes, "family"), "families")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -245,13 +323,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     smallest doc_id reachable by links. No link between different texts is lost:
 
     1. Documents with equal sets are one class with one representative.
-    2. N-grams are ordered by the frequency of their words over all texts, rare ones first. Each
-       representative has a prefix in that order, see `prefix_length`.
-    3. Representatives with an equal minimum hash are compared with those that stand for a group
-       already, in goes of bounded size. This only saves work: what it links is verified, and
-       what it misses is found below.
-    4. Pairs of documents from different groups that share as many prefix n-grams as the less
-       demanding of the two asks for are verified on their texts.
+    2. Representatives that are much alike by their signatures are a family. The members of a
+       family are compared with each other, in tiles, and only links that connect leave a task;
+       so a large group of near copies gives no more rows than it has members for each tile.
+    3. N-grams are ordered by the frequency of their words over all texts, rare ones first. Each
+       representative has a prefix in that order, see `prefix_length`. Pairs from different
+       families that share enough prefix n-grams are verified on their texts.
 
     A missing or empty text, or one without words, has an empty set and links with nothing; a
     text of fewer words has them all as one n-gram. Rows with the same doc_id are one document
@@ -260,47 +337,26 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     level, total = word_levels(rows)
-    sketches = [f"sketch{i}" for i in range(SKETCHES)]
-    schema = (
-        "doc_id long, n long, digest binary, "
-        + "".join(f"{s} long, " for s in sketches)
-        + "matches int, prefix array<long>"
-    )
+    schema = "doc_id long, n long, digest binary, sign array<int>, matches int, prefix array<long>"
     profile = materialize(rows.mapInArrow(_profiler(words, percent, level, total), schema), "profile")
     usable = profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
-    reps = usable.join(classes.select("digest", "rep"), "digest").where(F.col("doc_id") == F.col("rep"))
-    reps = reps.select(F.col("doc_id").alias("doc"), "n", "matches", *sketches, "prefix")
-
-    tokens = reps.select("doc", "n", "matches", F.explode("prefix").alias("token"))
-    twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    shared = materialize(tokens.join(twice.select("token"), "token"), "shared")
-    enough = _with_matches(shared)
-
-    narrow = materialize(reps.drop("prefix"), "sketches")
-    alike = [
-        narrow.select("doc", F.lit(i).alias("i"), F.col(s).alias("sketch")) for i, s in enumerate(sketches)
-    ]
-    alike = reduce(DataFrame.unionByName, alike)
-    repeated = alike.groupBy("i", "sketch").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    alike = alike.join(repeated, ["i", "sketch"]).select("doc").distinct()
-    wanted = materialize(alike.union(enough.select("doc")).distinct(), "wanted")
+    heads = classes.select("digest", "rep")
+
+    def reps(*columns):
+        own = usable.select("digest", "doc_id", *columns).join(heads, "digest").where(F.col("doc_id") == F.col("rep"))
+        return own.select(F.col("doc_id").alias("doc"), *columns)
+
+    families = _families(reps("sign"))
+    pairs = materialize(_candidates(reps("n", "matches", "prefix"), families, percent), "pairs")
+    wanted = families.select("doc").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = rows.join(wanted, rows["doc_id"] == wanted["doc"]).select("doc", "text")
     texts = materialize(texts, "texts")
 
-    links = [_copies(usable, classes)]
-    active = materialize(narrow.join(alike, "doc"), "active")
-    for sketch in sketches:
-        again = True
-        while again:
-            found, several = _gathered(active, texts, sketch, words, percent)
-            links.append(found)
-            active = materialize(active.join(found.select(F.col("a").alias("doc")), "doc", "left_anti"), "active")
-            # What is left of a group that took several goes is gathered again, while that helps.
-            again = several and not found.isEmpty()
-
-    groups = materialize(components(reduce(DataFrame.union, links)), "found")
-    links.append(_verified_pairs(shared, groups, texts, words, percent))
+    for s in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}")), s)
+    across = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(words, percent), "a long, b long")
+    links = [_copies(usable, classes), _compared(families, texts, words, percent), across]
     connected = components(reduce(DataFrame.union, links))
     out = profile.select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(connected, F.col("doc_id") == F.col("node"), "left").select(
@@ -313,40 +369,56 @@ def _copies(usable: DataFrame, classes: DataFrame) -> DataFrame:
     return usable.select("doc_id", "digest").join(several, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
-def _with_matches(shared: DataFrame) -> DataFrame:
-    """Documents with as many shared n-grams in their prefix as any partner can ask for."""
-    return (
-        shared.groupBy("doc")
-        .agg(F.count(F.lit(1)).alias("found"), F.first("matches").alias("matches"))
-        .where(F.col("found") >= F.least("matches", F.lit(FEWEST)))
-        .select("doc")
+def _compared(families: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links inside families. Each member goes to the comparisons of its tile with every tile."""
+    tiles = F.ceil(F.col("members") / TILE)
+    placed = families.withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("doc"), tiles)})
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
+    placed = placed.select("family", "doc", "tile", other)
+    laid = (
+        placed.select("family", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "doc", "tile")
+        .join(texts, "doc")
+        .repartition("family", "x", "y")
+        .sortWithinPartitions("family", "x", "y", "doc")
     )
+    return laid.mapInArrow(_comparer(words, percent), "a long, b long")
+
 
+def _candidates(reps: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents from different families with enough prefix n-grams in common.
 
-def _verified_pairs(shared: DataFrame, groups: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between documents of different groups."""
-    labelled = shared.join(groups, F.col("doc") == F.col("node"), "left").select(
-        "token", "doc", "n", "matches", F.coalesce("component", "doc").alias("group")
+    With prefixes cut at the earlier of their ends, what one has there and the other has not is
+    missing from the whole of the other. A pair can be similar only if the one whose prefix ends
+    first misses no more than its size less the n-grams that the pair must share.
+    """
+    last = F.element_at("prefix", -1)
+    # Order of unsigned values.
+    last = last.bitwiseXOR(F.lit(-(1 << 63))).alias("last")
+    labelled = reps.join(families.select("doc", "family"), "doc", "left").select(
+        "doc", "n", "matches", F.coalesce("family", "doc").alias("family"), last, F.size("prefix").alias("length"), F.explode("prefix").alias("token")
     )
-    mixed_ = labelled.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where(F.col("x") != F.col("y"))
-    across = materialize(labelled.join(mixed_.select("token"), "token"), "across")
-    across = materialize(across.join(_with_matches(across), "doc", "left_semi"), "across")
-    side = lambda s: across.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "matches", "group")])
+    several = labelled.groupBy("token").agg(F.min("family").alias("x"), F.max("family").alias("y")).where(F.col("x") != F.col("y"))
+    across = materialize(labelled.join(several.select("token"), "token"), "across")
+    enough = (
+        across.groupBy("doc")
+        .agg(F.count(F.lit(1)).alias("found"), F.first("matches").alias("matches"))
+        .where(F.col("found") >= F.least("matches", F.lit(FEWEST)))
+    )
+    across = across.join(enough.select("doc"), "doc", "left_semi")
+    names = ("doc", "n", "matches", "family", "last", "length")
+    side = lambda s: across.select("token", *[F.col(c).alias(f"{c}_{s}") for c in names])
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    pairs = (
+    must_share = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    asked = F.when(F.col("last_a") <= F.col("last_b"), F.col("length_a") - F.col("n_a")).otherwise(F.col("length_b") - F.col("n_b"))
+    return (
         side("a")
         .join(side("b"), "token")
-        .where((F.col("doc_a") < F.col("doc_b")) & (F.col("group_a") != F.col("group_b")) & (100 * small >= percent * large))
+        .where((F.col("doc_a") < F.col("doc_b")) & (F.col("family_a") != F.col("family_b")) & (100 * small >= percent * large))
         .groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("found"), F.first(F.least("matches_a", "matches_b")).alias("asked"))
+        .agg(F.count(F.lit(1)).alias("found"), F.first(must_share + asked).alias("asked"))
         .where(F.col("found") >= F.col("asked"))
         .select("a", "b")
     )
-    pairs = materialize(pairs, "pairs")
-    for s in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}")), s)
-    found = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(words, percent), "a long, b long")
-    return materialize(found, "verified")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -71,20 +71,36 @@ def _copies():
     return rows
 
 
-@pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
-@pytest.mark.parametrize("group", [1000, 3])
-def test_join(spark, monkeypatch, n, percent, group):
-    monkeypatch.setattr(ngram_join, "GROUP", group)
+@pytest.mark.parametrize(
+    "n, percent, group, tile, agree", [(4, 85, 4096, 512, 6), (4, 85, 3, 4, 6), (5, 80, 4096, 5, 2), (4, 85, 4096, 512, 17)]
+)
+def test_join(spark, monkeypatch, n, percent, group, tile, agree):
+    """With large and small goes; with large families, and with none, where prefixes find all."""
+    for name, value in (("GROUP", group), ("TILE", tile), ("AGREE", agree)):
+        monkeypatch.setattr(ngram_join, name, value)
     rows = _copies()
     got = join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n, percent).collect()
     assert sorted(map(tuple, got), key=repr) == _brute_join(rows, n, percent)
 
 
-def test_pairs_that_the_sketches_miss_are_found(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "_gathered", lambda active, *a: (active.select(active.doc.alias("a"), active.doc.alias("b")).limit(0), False))
-    rows = _copies()
-    got = join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()
-    assert sorted(map(tuple, got), key=repr) == _brute_join(rows, 4, 85)
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_sets_compared_at_once(percent):
+    rng = np.random.default_rng(percent)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 80)).astype(np.uint64)) for _ in range(60)]
+    sets += [np.unique(np.append(s, np.uint64(1000 + i))) for i, s in enumerate(sets[:20])]
+    side = np.arange(len(sets)) % 2
+    for both in (False, True):
+        pairs = [
+            (i, j)
+            for i in range(len(sets))
+            for j in range(i)
+            if (not both or side[i] != side[j])
+            and 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))
+        ]
+        found = ngram_join.linked(sets, side, both, percent)
+        assert _reach(range(len(sets)), found) == _reach(range(len(sets)), pairs)
+        assert len(found) < len(sets)
+        assert {tuple(sorted(p)) for p in found} <= {tuple(sorted(p)) for p in pairs}
 
 
 def test_odd_rows_are_joined(odd, odd_rows, none):
