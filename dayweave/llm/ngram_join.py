@@ -424,13 +424,17 @@ def _candidates(reps: DataFrame, families: DataFrame, percent: int) -> DataFrame
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents, one of each group of linked ones: that with the smallest doc_id.
 
-    Rows without doc_id stay; of rows with the same doc_id one stays.
+    Rows without doc_id stay; of rows with the same doc_id the one that is smallest in the order
+    of its other columns stays. Texts are shuffled once, repeated ids are reduced before that.
     """
-    found = materialize(join(docs, words, percent), "components")
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__dropped"))
-    kept = docs.join(dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
-    ids = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__repeated")).count()
-    repeated = materialize(ids.where(F.col("count") > 1).select("__repeated"), "repeated")
-    single = kept.join(repeated, kept["doc_id"] == F.col("__repeated"), "left_anti")
-    several = kept.join(repeated, kept["doc_id"] == F.col("__repeated"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    found = join(docs, words, percent)
+    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__dropped")).distinct()
+    dropped = materialize(dropped, "dropped")
+    others = [c for c in docs.columns if c != "doc_id"]
+    ordered = [c for c, t in docs.dtypes if c != "doc_id" and "map<" not in t]
+    named = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.min_by(F.struct(*others), F.struct(*ordered)).alias("__row")
+    )
+    kept = named.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    kept = kept.select(*["doc_id" if c == "doc_id" else F.col("__row")[c].alias(c) for c in docs.columns])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
