@@ -432,9 +432,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     dropped = materialize(dropped, "dropped")
     others = [c for c in docs.columns if c != "doc_id"]
     ordered = [c for c, t in docs.dtypes if c != "doc_id" and "map<" not in t]
-    named = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.min_by(F.struct(*others), F.struct(*ordered)).alias("__row")
-    )
+    # Maps have no order.
+    least = F.min(F.struct(*others)) if ordered == others else F.min_by(F.struct(*others), F.struct(*ordered))
+    named = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(least.alias("__row"))
     kept = named.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
     kept = kept.select(*["doc_id" if c == "doc_id" else F.col("__row")[c].alias(c) for c in docs.columns])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
