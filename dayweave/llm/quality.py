@@ -140,24 +140,23 @@ def judge(docs: DataFrame, columns: list[str], host: str = "source", max_rate: f
     wanted = list(dict.fromkeys([*columns, host]))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     base = materialize(base_rules(docs).select(*[c for c in wanted if c not in counts], *counts), "rules")
-    return _with_verdict(base, base, host, max_rate)
+    bad = _bad_hosts(base, host, max_rate, "base_failed")
+    joined = base.join(bad, base[host] == F.col("__host"), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.col("__bad").isNull()).drop("__host", "__bad")
 
 
-def _with_verdict(docs: DataFrame, judged: DataFrame, host: str, max_rate: float, failed: str = "base_failed", kept: str = "kept") -> DataFrame:
+def _bad_hosts(judged: DataFrame, host: str, max_rate: float, failed: str) -> DataFrame:
     bad = host_rates(judged, host, failed).where(F.col("rate") > max_rate)
-    bad = bad.select(F.col(host).alias("__host"), F.lit(True).alias("__bad"))
-    joined = docs.join(bad, docs[host] == F.col("__host"), "left")
-    return joined.withColumn(kept, ~F.col(failed) & F.col("__bad").isNull()).drop("__host", "__bad")
+    return bad.select(F.col(host).alias("__host"), F.lit(True).alias("__bad"))
 
 
 def keep_good(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The documents that the rules and their hosts' verdicts keep, with the columns of `docs`.
 
-    The rules run once over every text. Their flags are written with the documents; those that
-    fail go at once, and hosts are judged on the flags of all.
+    The rules run over every text twice, once for the hosts and once for the documents: texts are
+    neither written nor, unless the bad hosts are many, shuffled.
     """
     failed = _fails(word_count("text"), n_repeat_words(F.col("text")))
-    flagged = materialize(docs.withColumn("__failed", failed), "flagged")
-    passed = flagged.where(~F.col("__failed"))
-    kept = _with_verdict(passed, flagged.select(host, "__failed"), host, max_rate, "__failed", "__kept")
-    return kept.where("__kept").select(*docs.columns)
+    bad = _bad_hosts(docs.select(host, failed.alias("__failed")), host, max_rate, "__failed")
+    passed = docs.where(~failed)
+    return passed.join(bad, passed[host] == F.col("__host"), "left_anti")
