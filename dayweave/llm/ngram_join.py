@@ -10,7 +10,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from dayweave.llm.components import components
 from dayweave.llm.hashing import Hashed, Powers, blocks, mixed
@@ -397,28 +397,33 @@ def _candidates(reps: DataFrame, families: DataFrame, percent: int) -> DataFrame
     labelled = reps.join(families.select("doc", "family"), "doc", "left").select(
         "doc", "n", "matches", F.coalesce("family", "doc").alias("family"), last, F.size("prefix").alias("length"), F.explode("prefix").alias("token")
     )
-    several = labelled.groupBy("token").agg(F.min("family").alias("x"), F.max("family").alias("y")).where(F.col("x") != F.col("y"))
-    across = materialize(labelled.join(several.select("token"), "token"), "across")
-    enough = (
-        across.groupBy("doc")
-        .agg(F.count(F.lit(1)).alias("found"), F.first("matches").alias("matches"))
-        .where(F.col("found") >= F.least("matches", F.lit(FEWEST)))
-    )
-    across = across.join(enough.select("doc"), "doc", "left_semi")
-    names = ("doc", "n", "matches", "family", "last", "length")
-    side = lambda s: across.select("token", *[F.col(c).alias(f"{c}_{s}") for c in names])
+    several = labelled.groupBy("token").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count(F.lit(1)).alias("df"))
+    several = several.where(F.col("x") != F.col("y")).select("token", "df")
+    across = materialize(labelled.join(several, "token"), "across")
+    # No partner asks for less than this.
+    least = F.least("matches", F.lit(FEWEST))
+    enough = across.groupBy("doc").agg(F.count(F.lit(1)).alias("found"), F.first(least).alias("least"))
+    enough = enough.where(F.col("found") >= F.col("least")).select("doc", "least")
+    # A pair that shares so many n-grams shares the rarest of them also when each document leaves
+    # out its most frequent ones, one less than that.
+    by_df = Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("token"))
+    rare = across.join(enough, "doc").withColumn("place", F.row_number().over(by_df)).where(F.col("place") >= F.col("least"))
+    names = ("doc", "n", "family", "last", "length")
+    side = lambda s: rare.select("token", *[F.col(c).alias(f"{c}_{s}") for c in names])
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     must_share = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     asked = F.when(F.col("last_a") <= F.col("last_b"), F.col("length_a") - F.col("n_a")).otherwise(F.col("length_b") - F.col("n_b"))
-    return (
+    pairs = (
         side("a")
         .join(side("b"), "token")
         .where((F.col("doc_a") < F.col("doc_b")) & (F.col("family_a") != F.col("family_b")) & (100 * small >= percent * large))
         .groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("found"), F.first(must_share + asked).alias("asked"))
-        .where(F.col("found") >= F.col("asked"))
-        .select("a", "b")
+        .agg(F.first(must_share + asked).alias("asked"))
     )
+    tokens = across.join(enough.select("doc"), "doc").groupBy("doc").agg(F.collect_set("token").alias("tokens"))
+    for s in ("a", "b"):
+        pairs = pairs.join(tokens.select(F.col("doc").alias(s), F.col("tokens").alias(f"tokens_{s}")), s)
+    return pairs.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("asked")).select("a", "b")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
