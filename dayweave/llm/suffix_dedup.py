@@ -23,6 +23,10 @@ REACH = SPAN - GRAM
 UNIT_BYTES, MOST_UNITS, BLOCK_BYTES = 4 << 20, 300_000, 1 << 20
 BUCKET_BYTES, FEWEST_BUCKETS = 64 << 20, 64
 _WIDTH = SPAN + REACH
+# A gram is hot if the units that have it in at least FEW surroundings have more than HOT in all.
+# Its windows go to buckets one by one, each by its own hash and marked by the offset WHOLE.
+FEW, HOT = 4, 1 << 14
+WHOLE = 255
 
 
 class Anchors:
@@ -115,23 +119,47 @@ def _short(key: np.ndarray, bits: int) -> np.ndarray:
     return np.unique(key >> np.uint64(64 - bits))
 
 
+_SENT = "bucket long, unit long, start long, keys binary, often binary, counts binary"
+
+
+def _often(ids, texts, entries, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shortened hashes of the anchors that stand in at least FEW different surroundings in a
+    unit, and in how many."""
+    short = entries["key"] >> np.uint64(64 - bits)
+    _, which, count = np.unique(short, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[which] >= FEW)
+    if not len(several):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    contexts = Contexts(ids, texts, entries, several, np.zeros(len(several), dtype=bool))
+    keys, count = np.unique(contexts.key >> np.uint64(64 - bits), return_counts=True)
+    often = count >= FEW
+    return keys[often], count[often].astype(np.uint32)
+
+
 def _sender(bits: int, buckets: int):
-    """Tell each bucket which anchors a unit has: differences of sorted shortened hashes."""
+    """Tell each bucket which anchors a unit has: differences of sorted shortened hashes. Those
+    that the unit has often go along with their counts."""
 
     def send(table: pa.Table) -> pa.Table:
         unit = table.column("unit")[0].as_py()
-        _, _, entries = _known_texts(table)
+        ids, texts, entries = _known_texts(table)
         keys = _short(entries["key"], bits)
         cuts = np.searchsorted(_bucket(keys << np.uint64(64 - bits), buckets), np.arange(buckets + 1))
+        often, count = _often(ids, texts, entries, bits)
+        parts = np.searchsorted(_bucket(often << np.uint64(64 - bits), buckets), np.arange(buckets + 1))
         rows = []
         for b in np.flatnonzero(np.diff(cuts)):
             own = keys[cuts[b] : cuts[b + 1]]
             gaps = np.diff(own, prepend=np.uint64(0))
             narrow = len(gaps) < 2 or gaps[1:].max() < 1 << 32
-            rows.append((int(b), unit, int(own[0]) if narrow else None, gaps[1:].astype(np.uint32).tobytes() if narrow else own.tobytes()))
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "unit", "start", "keys"])
+            s = slice(parts[b], parts[b + 1])
+            rows.append(
+                (int(b), unit, int(own[0]) if narrow else None, gaps[1:].astype(np.uint32).tobytes() if narrow else own.tobytes(),
+                 often[s].tobytes(), count[s].tobytes())
+            )
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in _SENT.split(", ")])
 
     return send
 
@@ -152,7 +180,7 @@ def _within(own: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """For each unit one bit per anchor: whether another unit has it too."""
+    """For each unit one bit per anchor: whether another unit has it too; and its hot anchors."""
     units = table.column("unit").to_pylist()
     order = sorted(range(len(units)), key=units.__getitem__)
     starts, packed = table.column("start").to_pylist(), table.column("keys").to_pylist()
@@ -160,15 +188,18 @@ def _meet(table: pa.Table) -> pa.Table:
     merged = np.sort(np.concatenate(lists))
     twice = np.unique(merged[1:][merged[1:] == merged[:-1]])
     bits = [np.packbits(_within(own, twice)).tobytes() for own in lists]
+    often, which = np.unique(np.frombuffer(b"".join(table.column("often").to_pylist()), np.uint64), return_inverse=True)
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
+    hot = often[np.bincount(which, weights=counts, minlength=len(often)) > HOT]
+    hots = [hot[_within(hot, own)].tobytes() for own in lists]
     bucket = table.column("bucket")[0].as_py()
-    return pa.table(
-        [pa.array([units[i] for i in order], pa.int64()), pa.array([bucket] * len(order), pa.int64()), pa.array(bits, pa.binary())],
-        names=["unit", "bucket", "bits"],
-    )
+    columns = [[units[i] for i in order], [bucket] * len(order), bits, hots]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["unit", "bucket", "bits", "hot"])
 
 
-def _shared(entries, replies: pa.Table, bits: int, buckets: int) -> np.ndarray:
-    """Places of the entries whose anchor some other text has too."""
+def _shared(entries, replies: pa.Table, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries whose anchor some other text has too, and which of them are hot."""
     keys = _short(entries["key"], bits)
     cuts = np.searchsorted(_bucket(keys << np.uint64(64 - bits), buckets), np.arange(buckets + 1))
     found = np.zeros(len(keys), dtype=bool)
@@ -180,7 +211,9 @@ def _shared(entries, replies: pa.Table, bits: int, buckets: int) -> np.ndarray:
     lowest, highest = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), -1)
     np.minimum.at(lowest, at, entries["text"])
     np.maximum.at(highest, at, entries["text"])
-    return np.flatnonzero((found | (lowest < highest))[at])
+    places = np.flatnonzero((found | (lowest < highest))[at])
+    hot = np.sort(np.frombuffer(b"".join(replies.column("hot").to_pylist()), np.uint64))
+    return places, _within(keys[at[places]], hot)
 
 
 def _classes(rows: np.ndarray, tag: np.ndarray, top: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -211,21 +244,25 @@ def _classes(rows: np.ndarray, tag: np.ndarray, top: np.ndarray | None = None) -
 
 class Contexts:
     """What surrounds the shared anchors of a unit: the bytes that its windows cover. Equal
-    contexts are one, with the smallest document that has it."""
+    contexts are one, with the smallest document that has it. A hot anchor has a context for
+    each window, whose key is the window's own hash."""
 
-    def __init__(self, ids, texts, entries, shared):
+    def __init__(self, ids, texts, entries, shared, hot):
         chosen = {k: v[shared] for k, v in entries.items()}
-        order = np.argsort(chosen["key"], kind="stable")
-        chosen = {k: v[order] for k, v in chosen.items()}
         data = np.frombuffer(b"".join(texts) + b"\0" * _WIDTH, np.uint8)
         begins = np.cumsum([0, *map(len, texts)])[:-1]
+        if hot.any():
+            chosen, hot = self._alone(chosen, hot, data, begins)
+        order = np.argsort(chosen["key"], kind="stable")
+        chosen = {k: v[order] for k, v in chosen.items()}
+        hot = hot[order]
         self.text, self.first, self.last = chosen["text"], chosen["first"], chosen["last"]
         self.doc = np.array([-1 if i is None else i for i in ids], dtype=np.int64)[self.text] if len(ids) else np.zeros(0, np.int64)
         size = self.last - self.first + SPAN
         start = begins[self.text] + self.first if len(begins) else np.zeros(0, np.int64)
         rows = data[start[:, None] + np.arange(_WIDTH)]
         rows[np.arange(_WIDTH) >= size[:, None]] = 0
-        offset = chosen["anchor"] - self.first
+        offset = np.where(hot, WHOLE, chosen["anchor"] - self.first)
         # In the order of the anchors' hashes, so that those of a bucket stand together.
         place = (size * 256 + offset).astype(np.uint64)
         _, top = np.unique(chosen["key"], return_inverse=True)
@@ -234,6 +271,19 @@ class Contexts:
         np.minimum.at(self.least, self.which, self.doc)
         self.key, self.size, self.offset, self.rows = (x[self.one] for x in (chosen["key"], size, offset, rows))
 
+    @staticmethod
+    def _alone(chosen, hot, data, begins):
+        """Entries with those of hot anchors replaced by one for each of their windows."""
+        taken = {k: v[hot] for k, v in chosen.items()}
+        windows = taken["last"] - taken["first"] + 1
+        own = {k: np.repeat(v, windows) for k, v in taken.items()}
+        own["first"] = own["first"] + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        own["last"] = own["first"]
+        at = begins[own["text"]] + own["first"]
+        own["key"] = mixed(Hashed(data, Powers()).of(at, at + SPAN))
+        rest = np.count_nonzero(~hot)
+        return {k: np.concatenate([v[~hot], own[k]]) for k, v in chosen.items()}, np.arange(rest + len(at)) >= rest
+
 
 _MESSAGE = "bucket long, unit long, docs binary, sizes binary, offsets binary, bytes binary"
 
@@ -245,7 +295,7 @@ def _asker(bits: int, buckets: int):
         rows = []
         if texts.num_rows and replies.num_rows:
             ids, data, entries = _known_texts(texts)
-            contexts = Contexts(ids, data, entries, _shared(entries, replies, bits, buckets))
+            contexts = Contexts(ids, data, entries, *_shared(entries, replies, bits, buckets))
             cuts = np.searchsorted(_bucket(contexts.key, buckets), np.arange(buckets + 1))
             unit = texts.column("unit")[0].as_py()
             for b in np.flatnonzero(np.diff(cuts)):
@@ -365,6 +415,22 @@ def earlier_windows(rows, size, offset, doc) -> np.ndarray:
     return mask
 
 
+def _late(rows, size, offset, doc) -> np.ndarray:
+    """`earlier_windows` of contexts of many units, of which equal ones are sorted once; single
+    windows of hot grams have only equal ones to be compared with."""
+    if not len(size):
+        return np.zeros(0, np.uint32)
+    one, which = _classes(rows, (size * 256 + offset).astype(np.uint64))
+    least = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, doc)
+    mask = np.zeros(len(one), dtype=np.uint32)
+    sort = np.flatnonzero(offset[one] != WHOLE)
+    own = one[sort]
+    mask[sort] = earlier_windows(rows[own], size[own], offset[own], least[sort])
+    every = (np.uint32(1) << (size - SPAN + 1).astype(np.uint32)) - np.uint32(1)
+    return np.where(least[which] < doc, every, mask[which])
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """For each unit the windows of its contexts that a smaller document has."""
     units = table.column("unit").to_pylist()
@@ -375,7 +441,7 @@ def _answer(table: pa.Table) -> pa.Table:
     offset = np.frombuffer(b"".join(columns[2][i] for i in order), np.uint8).astype(np.int64)
     rows = np.zeros((len(size), _WIDTH), np.uint8)
     rows[np.arange(_WIDTH) < size[:, None]] = np.frombuffer(b"".join(columns[3][i] for i in order), np.uint8)
-    mask = earlier_windows(rows, size, offset, doc)
+    mask = _late(rows, size, offset, doc)
     out, at, bucket = [], 0, table.column("bucket")[0].as_py()
     for i in order:
         n = len(columns[1][i])
@@ -392,8 +458,8 @@ def _remover(bits: int, buckets: int):
         ids, data = _texts(texts)
         if answers.num_rows:
             _, _, entries = _known_texts(texts)
-            replies = answers.filter(answers.column("bits").is_valid()).select(["bucket", "bits"])
-            contexts = Contexts(ids, data, entries, _shared(entries, replies, bits, buckets))
+            replies = answers.filter(answers.column("bits").is_valid()).select(["bucket", "bits", "hot"])
+            contexts = Contexts(ids, data, entries, *_shared(entries, replies, bits, buckets))
             cuts = np.searchsorted(_bucket(contexts.key, buckets), np.arange(buckets + 1))
             mask = np.zeros(len(contexts.one), dtype=np.uint32)
             for b, packed in zip(answers.column("bucket").to_pylist(), answers.column("masks").to_pylist()):
@@ -450,7 +516,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Texts are taken as UTF-8 bytes in units. Each unit tells buckets of hashes which anchors it
     has, and hears which of them other units have; it then sends what surrounds those to the
     same buckets, where suffixes are sorted and compared, and hears which windows a smaller
-    document has. Texts themselves are shuffled once, by unit, and never to a bucket.
+    document has. Texts themselves are shuffled once, by unit, and never to a bucket. Of one gram
+    a bucket sorts at most HOT contexts and FEW - 1 of each unit: the windows of commoner grams
+    are spread over all buckets by their own hashes, and only equal ones meet.
 
     A missing text is empty. Rows with equal doc_id do not remove each other's bytes; a row
     without doc_id loses nothing and removes nothing. An empty table gives no rows. Other
@@ -465,8 +533,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)).alias("unit")
     laid = rows.select(unit, "doc_id", "text")
-    sent = laid.groupBy("unit").applyInArrow(_sender(bits, buckets), "bucket long, unit long, start long, keys binary")
-    heard = sent.groupBy("bucket").applyInArrow(_meet, "unit long, bucket long, bits binary")
+    sent = laid.groupBy("unit").applyInArrow(_sender(bits, buckets), _SENT)
+    heard = sent.groupBy("bucket").applyInArrow(_meet, "unit long, bucket long, bits binary, hot binary")
     asked = laid.groupBy("unit").cogroup(heard.groupBy("unit")).applyInArrow(_asker(bits, buckets), _MESSAGE)
     masks = asked.groupBy("bucket").applyInArrow(_answer, "unit long, bucket long, masks binary")
     answers = heard.unionByName(masks, allowMissingColumns=True)

@@ -77,3 +77,39 @@ def test_colliding_hashes_are_noticed(spark, monkeypatch):
 def test_odd_rows(odd, odd_rows, none):
     assert _digests(remove_repeats(odd)) == _brute([r[:2] for r in odd_rows])
     assert remove_repeats(none).count() == 0
+
+
+def test_hot_grams_are_removed_alike(spark, monkeypatch):
+    """The same bytes go when all windows, or those of some grams, meet one by one."""
+    rows = _rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(suffix_dedup, "UNIT_BYTES", 2000)
+    for few, hot in ((1, 0), (2, 4)):
+        monkeypatch.setattr(suffix_dedup, "FEW", few)
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        assert _digests(remove_repeats(docs)) == _brute(rows)
+
+
+def test_no_gram_is_one_task(spark, monkeypatch, tmp_path):
+    """A passage in a third of 3,000 documents, each time between other words."""
+    random.seed(4)
+    some = lambda n: " ".join(f"{random.getrandbits(30):x}" for _ in range(n))
+    passage = some(20)
+    rows = [(i, f"{some(12)} {passage} {some(12)}" if i % 3 == 0 else some(30)) for i in range(3000)]
+    sort, folder = suffix_dedup.sorted_suffixes, str(tmp_path)
+
+    def counted(group, rows, size):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4()}", "w") as f:
+            f.write(str(np.bincount(group).max()))
+        return sort(group, rows, size)
+
+    monkeypatch.setattr(suffix_dedup, "sorted_suffixes", counted)
+    monkeypatch.setattr(suffix_dedup, "HOT", 100, raising=False)
+    monkeypatch.setattr(suffix_dedup, "UNIT_BYTES", 100_000)
+    assert _digests(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == _brute(rows)
+    largest = max([int(p.read_text()) for p in tmp_path.iterdir()], default=0)
+    print("largest group of one gram:", largest)
+    # 1,000 contexts stand at either edge of the passage.
+    assert largest <= 150
