@@ -134,31 +134,42 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document cut at the end of the budget is used whole if at least half of it is taken, and
     else not; this moves a source by less than half a document. Rows that are equal in source,
     id and size have places of their own in the queue; where they differ in other columns,
-    which of them takes which place is fixed by the order of those columns' hash.
+    which of them takes which place is fixed by the order of those columns' hash. The group
+    gets its number of uses exactly, also when its rows are all equal.
     """
     names = docs.columns
     use = F.aggregate(
         F.transform("words", lambda w: ((w > 0) & (2 * w >= F.col("size"))).cast("int")), F.lit(0), lambda a, b: a + b
     )
+    group = [F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("size")]
     uses = (
         schedule(docs)
         .withColumn("uses", use)
         .groupBy("source", "doc_id", "size")
         .agg(F.count(F.lit(1)).alias("rows"), F.sum("uses").alias("total"))
     )
-    uses = uses.select(
-        F.col("source").alias("__source"), F.col("doc_id").alias("__doc_id"), F.col("size").alias("__size"), "rows", "total"
-    ).withColumnsRenamed({"rows": "__rows", "total": "__total"})
+    extra = F.pmod("total", "rows")
+    uses = uses.withColumns({"share": F.floor(F.col("total") / F.col("rows")).cast("int"), "extra": extra})
+    uses = materialize(uses, "uses")
+    uneven = running_totals(uses.where(F.col("extra") > 0), group, {"up_to": F.col("rows")}, "uneven-groups")
+    uneven = materialize(uneven.withColumn("before", F.col("up_to") - F.col("rows")).drop("up_to"), "uneven")
     sized = docs.withColumn("__own_size", word_count("text"))
-    joined = sized.join(
-        uses,
-        sized["source"].eqNullSafe(F.col("__source"))
-        & sized["doc_id"].eqNullSafe(F.col("__doc_id"))
-        & (F.col("__own_size") == F.col("__size")),
-    )
-    # Equal rows share their group's uses evenly; what does not divide goes by a hash of the row.
-    share = F.floor(F.col("__total") / F.col("__rows"))
-    extra = F.col("__total") - share * F.col("__rows")
-    lucky = F.pmod(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]), F.col("__rows")) < extra
-    times = (share + lucky.cast("int")).cast("int")
-    return joined.where(times > 0).withColumn("__use", F.explode(F.sequence(F.lit(1), times))).select(*names)
+
+    def joined(groups):
+        groups = groups.withColumnsRenamed({c: f"__{c}" for c in groups.columns})
+        same = sized["source"].eqNullSafe(F.col("__source")) & sized["doc_id"].eqNullSafe(F.col("__doc_id"))
+        return sized.join(groups, same & (F.col("__own_size") == F.col("__size")))
+
+    even = joined(uses.where((F.col("extra") == 0) & (F.col("share") > 0))).withColumn("__times", F.col("__share"))
+    # What does not divide goes to the first rows of the group, in the order of the rows' hash
+    # and then of a number, which equal rows have too.
+    row = F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")])
+    rows = materialize(joined(uneven).withColumn("__hash", row), "uneven-rows")
+    rows = rows.withColumn("__number", F.monotonically_increasing_id())
+    order = [F.col("__source").asc_nulls_last(), F.col("__doc_id").asc_nulls_last(), *map(F.col, ("__size", "__hash", "__number"))]
+    ranked = running_totals(rows, order, {"__rank": F.lit(1)}, "uneven-ranks")
+    more = (F.col("__rank") - F.col("__before") <= F.col("__extra")).cast("int")
+    served = even.select(*names, "__times").union(ranked.select(*names, (F.col("__share") + more).alias("__times")))
+    # A sequence from 1 to 0 would run down.
+    served = served.where(F.col("__times") > 0)
+    return served.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)

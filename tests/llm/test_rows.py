@@ -149,6 +149,20 @@ def test_mixed_documents_are_whole(spark, sf_dir, odd, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_equal_rows_without_id_get_their_uses(spark):
+    """Many rows that are alike, and some that differ only in another column."""
+    rows = [(None, "one two three", "a", 0)] * 50 + [(None, "one two three", "a", i) for i in range(20)]
+    rows += [(i, "w " * 100, "b", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other long").repartition(6)
+    planned = Counter()
+    for r in mixing.schedule(docs).collect():
+        planned[r["source"]] += sum(2 * w >= r["size"] > 0 and w > 0 for w in r["words"])
+    assert planned["a"] % 70
+    got = Counter(tuple(r) for r in mixing.mixed_documents(docs).collect())
+    assert Counter({s: sum(n for r, n in got.items() if r[2] == s) for s in ("a", "b")}) == planned
+    assert got == Counter(tuple(r) for r in mixing.mixed_documents(docs.repartition(3)).collect())
+
+
 def _luhn(digits):
     return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
