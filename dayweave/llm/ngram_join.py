@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from dayweave.llm.components import components
 from dayweave.llm.hashing import Hashed, Powers, blocks, mixed
+from dayweave.llm.text import running_totals
 from dayweave.sources import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -426,20 +427,60 @@ def _candidates(reps: DataFrame, families: DataFrame, percent: int) -> DataFrame
     return pairs.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("asked")).select("a", "b")
 
 
+def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`docs` with a node, `__node`, for each doc_id and text, and the nodes that are no doc_id.
+
+    Usually a node is the doc_id. Where rows with one doc_id have different texts, the text with
+    the smallest hash has that node, and the others have numbers that no doc_id has.
+    """
+    named = docs.withColumns(
+        {"__id": F.col("doc_id").cast("long"), "__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit("text"), "text")}
+    )
+    some = named.where(F.col("__id").isNotNull()).select("__id", "__h1", "__h2")
+    differ = [F.min(c) != F.max(c) for c in ("__h1", "__h2")]
+    torn = some.groupBy("__id").agg((differ[0] | differ[1]).alias("differ")).where("differ").select("__id")
+    texts = some.join(materialize(torn, "torn"), "__id").distinct()
+    by_hash = Window.partitionBy("__id").orderBy("__h1", "__h2")
+    others = texts.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") > 1).drop("place")
+    ranked = materialize(running_totals(others, [F.col(c) for c in ("__id", "__h1", "__h2")], {"rank": F.lit(1)}, "texts-of-ids"), "ranks")
+    count = ranked.count()
+    if not count:
+        return docs.withColumn("__node", F.col("doc_id").cast("long")), ranked.select(F.col("rank").alias("__other"), "__id")
+    low, high = some.agg(F.min("__id"), F.max("__id")).first()
+    if high + count < 1 << 63:
+        node = F.lit(high) + F.col("rank")
+    elif low - count >= -(1 << 63):
+        node = F.lit(low) - F.col("rank")
+    else:
+        raise ValueError("no numbers are left for texts with the same doc_id")
+    extra = materialize(ranked.select("__id", "__h1", "__h2", node.cast("long").alias("__other")), "nodes")
+    noded = named.join(extra, ["__id", "__h1", "__h2"], "left").withColumn("__node", F.coalesce("__other", "__id"))
+    return noded.select(*docs.columns, "__node"), extra.select(F.col("__other"), "__id")
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents, one of each group of linked ones: that with the smallest doc_id.
 
-    Rows without doc_id stay; of rows with the same doc_id the one that is smallest in the order
-    of its other columns stays. Texts are shuffled once, repeated ids are reduced before that.
+    Rows without doc_id stay. Rows with the same doc_id are linked by their texts like any
+    others: of those with equal texts the one that is smallest in the order of its other columns
+    stays, those whose texts are not linked all stay. Texts are shuffled once, repeated rows are
+    reduced before that.
     """
-    found = join(docs, words, percent)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__dropped")).distinct()
+    noded, others = _nodes(docs)
+    found = join(noded.select(F.col("__node").alias("doc_id"), "text"), words, percent)
+    found = found.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__dropped"), F.col("component_id").alias("group")).distinct()
+    found = materialize(found.join(others, F.col("__dropped") == F.col("__other"), "left"), "found")
+    # The numbers of further texts do not tell which doc_id is smallest.
+    own = F.struct(F.coalesce("__id", "__dropped").alias("id"), F.col("__dropped").alias("node"))
+    first = found.groupBy("group").agg(F.min(own).alias("first"))
+    dropped = found.join(first, "group").where(F.col("__dropped") != F.col("first.node")).select("__dropped")
     dropped = materialize(dropped, "dropped")
-    others = [c for c in docs.columns if c != "doc_id"]
-    ordered = [c for c, t in docs.dtypes if c != "doc_id" and "map<" not in t]
-    # Maps have no order.
-    least = F.min(F.struct(*others)) if ordered == others else F.min_by(F.struct(*others), F.struct(*ordered))
-    named = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(least.alias("__row"))
-    kept = named.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
-    kept = kept.select(*["doc_id" if c == "doc_id" else F.col("__row")[c].alias(c) for c in docs.columns])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    columns = [c for c in docs.columns if c != "text"]
+    ordered = [c for c, t in docs.dtypes if c != "text" and "map<" not in t]
+    # Maps have no order. Rows of a node have the same text.
+    row = F.struct(*docs.columns)
+    least = F.min(row) if len(ordered) == len(columns) else F.min_by(row, F.struct(*ordered))
+    named = noded.where(F.col("__node").isNotNull()).groupBy("__node").agg(least.alias("__row"))
+    kept = named.join(dropped, F.col("__node") == F.col("__dropped"), "left_anti")
+    kept = kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    return kept.unionByName(noded.where(F.col("__node").isNull()).select(*docs.columns))

@@ -118,6 +118,20 @@ def test_one_of_each_group_stays(odd, odd_rows, none):
     assert keep_one(none).count() == 0
 
 
+def test_different_texts_of_one_id_stay(spark):
+    """Rows with one doc_id are one only where their texts are linked."""
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+    rows = [(1, one, 0), (5, one, 0), (5, two, 0), (5, two + " more", 0), (5, two, 3), (9, two, 0), (4, three, 0), (4, four, 0), (7, four, 1), (7, three, 1)]
+    rows += [((1 << 63) - 1, "the end of the numbers is near", 0), (None, one, 0)]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string, other long").repartition(3))
+    got = sorted((tuple(r) for r in kept.collect()), key=repr)
+    # Of the texts like `two` one stays, with the smallest id that has it.
+    assert [r for r in got if r[0] == 5 and r[1].startswith("b0")] and sum(bool(r[1].startswith("b0")) for r in got) == 1
+    assert sorted((r for r in got if not r[1].startswith("b0")), key=repr) == sorted(
+        [rows[0], rows[6], rows[7], rows[10], rows[11]], key=repr
+    )
+
+
 def _brute_link(rows):
     def unit(e):
         if not e or any(x is None or not np.isfinite(x) for x in e) or not any(e):
