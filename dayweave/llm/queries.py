@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from dayweave.llm import (
+    alignment,
     embedding_dedup,
+    fingerprints,
+    hard_negatives,
     mixing,
     ngram_join,
     packing,
@@ -60,6 +65,21 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, anchors=F.col("vec_id") % 100 == 0)
+
+
+def op12_token_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return alignment.align(docs, ["doc_id"])
+
+
+def op13_fingerprints(spark, sf_dir):
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_toxicity": op2_toxicity,
@@ -71,4 +91,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_fingerprints": op13_fingerprints,
 }
