@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from dayweave.functions import day_of
 from dayweave.operators.tables import as_table, key_schema
+from dayweave.operators.totals import running_totals
 from dayweave.spec import PanelSpec
 
 
@@ -29,6 +30,33 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
+def first_seen(
+    df: DataFrame, columns: Sequence[str], position: Sequence[str], place: str = "place", folder: str | None = None
+) -> DataFrame:
+    """The distinct values of `columns` with their `place`, from 1, in the order in which they first occur.
+
+    `position` names the columns that tell where a row stands, such as file and row; rows are
+    ordered by them. A missing value is a value. The first position of each value is a partial
+    aggregate, and places come from range partitions, so neither a frequent value nor the
+    ranking of many values is one task.
+    """
+    firsts = df.groupBy(*columns).agg(F.min(F.struct(*position)).alias("__first"))
+    return running_totals(firsts, [F.col("__first")], {place: F.lit(1)}, "first-seen", folder).drop("__first")
+
+
+def panel_numbers(df: DataFrame, spec: PanelSpec, position: Sequence[str], number: str = "number") -> DataFrame:
+    """The panels with the number they have when panels are listed by first-seen values of the
+    panel keys, the last key running fastest; combinations without rows have numbers too."""
+    panels = df.select(*spec.panel).distinct()
+    count = F.lit(0).cast("long")
+    for i, key in enumerate(spec.panel):
+        ranked = first_seen(df, [key], position, f"__place{i}").withColumnRenamed(key, f"__key{i}")
+        n = ranked.agg(F.max(f"__place{i}").alias("n")).scalar()
+        panels = panels.join(ranked, F.col(key).eqNullSafe(F.col(f"__key{i}"))).drop(f"__key{i}")
+        count = count * n + F.col(f"__place{i}") - 1
+    return panels.select(*spec.panel, (count + 1).alias(number))
+
+
 def panel_sizes(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.groupBy(*spec.panel).agg(F.count(F.lit(1)).alias("n"))
 

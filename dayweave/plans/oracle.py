@@ -162,6 +162,9 @@ _CSV = """SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey,
        NULLIF(l_quantity, 13) AS an, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate,
        CAST(l_shipdate AS DATE) AS day
 FROM lineitem"""
+_CSV_TEXT = """SELECT lang, CAST(doc_id AS VARCHAR) AS doc_id,
+       CAST(n_chars AS DOUBLE) AS n_chars, source, text FROM documents"""
+_STORED = "stored AS (SELECT *, row_number() OVER () AS pos FROM lineitem)"
 _UNEVEN = """NOT (pos % 2 = 0 AND t < 40) AND NOT (pos % 3 = 0 AND t > 500) AND NOT (pos % 5 = 0 AND t BETWEEN 100 AND 120)"""
 _CHAIN = f"""{_LI}, {_daily("li", _PANEL + ", l_suppkey")}, late(f, s, a) AS ({_values(q.LATE)}),
 spans AS (
@@ -288,8 +291,19 @@ FROM completed""",
     "loess_events": _loess(_EV, "ev", "event_type, user_id", [("Spon", "spon")], _EVENT_MONTH),
     "csv_round_trip": _CSV,
     "csv_round_trip_split": _CSV,
-    "csv_text_round_trip": """SELECT lang, CAST(doc_id AS VARCHAR) AS doc_id,
-       CAST(n_chars AS DOUBLE) AS n_chars, source, text FROM documents""",
+    "csv_text_round_trip": _CSV_TEXT,
+    "csv_text_by_ranges": _CSV_TEXT,
+    "csv_first_seen": """SELECT lang, coalesce(source, 'NA') AS source, row_number() OVER (ORDER BY min(doc_id)) AS place
+FROM documents GROUP BY lang, source""",
+    "first_seen_values": f"""WITH {_STORED}
+SELECT l_returnflag, row_number() OVER (ORDER BY min(pos)) AS place FROM stored GROUP BY l_returnflag""",
+    "first_seen_accounts": f"""WITH {_STORED}, named AS (SELECT * REPLACE (NULLIF(l_suppkey, {q.UNNAMED}) AS l_suppkey) FROM stored)
+SELECT {_PANEL}, l_suppkey, row_number() OVER (ORDER BY min(pos)) AS place FROM named GROUP BY {_PANEL}, l_suppkey""",
+    "panel_numbers": f"""WITH {_STORED},
+flags AS (SELECT l_returnflag, row_number() OVER (ORDER BY min(pos)) AS f FROM stored GROUP BY l_returnflag),
+states AS (SELECT l_linestatus, row_number() OVER (ORDER BY min(pos)) AS s FROM stored GROUP BY l_linestatus)
+SELECT DISTINCT {_PANEL}, (f - 1) * (SELECT count(*) FROM states) + s AS number
+FROM stored JOIN flags USING (l_returnflag) JOIN states USING (l_linestatus)""",
     "wide_csv_sink": f"""WITH {_NATION_SERIES}
 SELECT t + 1 AS row, 'VARdf_' || l_returnflag || l_linestatus || '_' || measure AS name, {_NATION_CELLS}
 FROM series GROUP BY t, l_returnflag, l_linestatus, measure""",

@@ -35,8 +35,10 @@ from dayweave.operators.daily import (
 )
 from dayweave.operators.panels import (
     distinct_values,
+    first_seen,
     frequency_table,
     one_panel,
+    panel_numbers,
     panel_sizes,
     with_day,
     with_panel_code,
@@ -46,7 +48,9 @@ from dayweave.operators.windows import account_span, clip_to_window, common_wind
 from dayweave.functions import day_of, month_label
 from dayweave.sources import (
     materialize,
+    read_in_order,
     read_scored_csv,
+    read_with_position,
     scratch_path,
     write_scored_csv,
     write_sorted,
@@ -91,6 +95,7 @@ BOUNDS = [
     ("signup", date(2024, 1, 20), date(2024, 2, 5)),
 ]
 UNNAMED = 4
+STORED = ["file", "row"]
 CHAIN_PICKS = [(*p, a, f"account {a}") for p in PANELS for a in (2, 4, 6)]
 DROPPED_NAME = 5
 TWO_NAMES = (3, 7)
@@ -177,6 +182,24 @@ def panel_values(spark, sf_dir):
     return distinct_values(lines(spark, sf_dir), "l_returnflag")
 
 
+def _stored_lines(spark, sf_dir):
+    return read_in_order(spark, f"{sf_dir}/lineitem.parquet").select(*LINES.series, *STORED)
+
+
+def first_seen_values(spark, sf_dir):
+    return first_seen(_stored_lines(spark, sf_dir), ["l_returnflag"], STORED)
+
+
+def first_seen_accounts(spark, sf_dir):
+    """Some accounts have no name; that is a value too."""
+    rows = _stored_lines(spark, sf_dir).withColumn("l_suppkey", F.nullif("l_suppkey", F.lit(UNNAMED)))
+    return first_seen(rows, LINES.series, STORED)
+
+
+def panel_numbers_query(spark, sf_dir):
+    return panel_numbers(_stored_lines(spark, sf_dir), LINES, STORED)
+
+
 def panel_sizes_query(spark, sf_dir):
     return panel_sizes(lines(spark, sf_dir), LINES)
 
@@ -404,6 +427,20 @@ def csv_text_round_trip(spark, sf_dir):
     return read_scored_csv(spark, path, DOCUMENTS, extra=("text",))
 
 
+def csv_text_by_ranges(spark, sf_dir):
+    """As many tasks as the files have ranges, though texts have line breaks."""
+    path = scratch_path(spark, "documents")
+    write_scored_csv(_table(spark, sf_dir, "documents"), path)
+    return read_scored_csv(spark, path, DOCUMENTS, extra=("text",), by_ranges=True)
+
+
+def csv_first_seen(spark, sf_dir):
+    """Files hold ascending ids, so the order of files and rows is that of ids."""
+    path = scratch_path(spark, "documents")
+    write_scored_csv(_table(spark, sf_dir, "documents").orderBy("doc_id"), path)
+    return first_seen(read_with_position(spark, path), ["lang", "source"], STORED)
+
+
 def _wide_csv(spark, sf_dir, rows_kept=None):
     path = scratch_path(spark, "wide")
     daily = daily_mean(nation_lines(spark, sf_dir), NATIONS)
@@ -469,6 +506,9 @@ QUERIES = {
     "project_fields": project_fields,
     "day_from_text": day_from_text,
     "panel_values": panel_values,
+    "first_seen_values": first_seen_values,
+    "first_seen_accounts": first_seen_accounts,
+    "panel_numbers": panel_numbers_query,
     "panel_sizes": panel_sizes_query,
     "one_panel": one_panel_query,
     "panel_codes": panel_codes,
@@ -507,6 +547,8 @@ QUERIES = {
     "csv_round_trip": csv_round_trip,
     "csv_round_trip_split": csv_round_trip_split,
     "csv_text_round_trip": csv_text_round_trip,
+    "csv_text_by_ranges": csv_text_by_ranges,
+    "csv_first_seen": csv_first_seen,
     "wide_csv_sink": wide_csv_sink,
     "wide_csv_uneven": wide_csv_uneven,
     "panel_pipeline": panel_pipeline,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_sorted(df: DataFrame, path: str, folder: str, order: Sequence[str]) -> None:
@@ -15,3 +15,9 @@ def write_sorted(df: DataFrame, path: str, folder: str, order: Sequence[str]) ->
     """
     keys = [folder, *order]
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(folder).parquet(path)
+
+
+def read_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table with the `file` and `row` of each row, which give the order it is stored in."""
+    read = spark.read.parquet(path)
+    return read.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))

@@ -1,0 +1,102 @@
+"""Quoted CSV by byte ranges against the reader that takes a file as one task; positions of rows."""
+
+import csv
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from dayweave import Measure, PanelSpec
+from dayweave.operators.panels import first_seen, panel_numbers
+from dayweave.sources import csv_records, read_scored_csv, read_with_position
+
+SPEC = PanelSpec(("lang",), "doc", "at", (Measure("n", "mean_n", "N"),))
+PIECES = ["a", "b,", "\n", '"', "\r\n", "é", " ", "x" * 40, "NA", "\n\n\n", '""', ","]
+
+
+@pytest.fixture
+def small_ranges(spark):
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(n) for n in names]
+
+    def use(size):
+        spark.conf.set(names[0], str(size))
+        spark.conf.set(names[1], "0")
+
+    yield use
+    for n, value in zip(names, before):
+        spark.conf.set(n, value)
+
+
+def write(path, seed, ends="\n", rows=250, blank=False):
+    rng = random.Random(seed)
+    with open(path, "w", newline="", encoding="utf-8") as out:
+        writer = csv.writer(out, lineterminator=ends)
+        writer.writerow(["id", "n", "lang", "text", "doc", "at"])
+        for i in range(rows):
+            # Some texts are longer than several ranges, and all of them may be line breaks.
+            n = 4000 if i % 90 == 45 else rng.randint(0, 8)
+            if blank and i % 30 == 0:
+                out.write(ends)
+            text = "".join(rng.choice(PIECES) for _ in range(n))
+            writer.writerow([f"{seed}-{i}", i, "en", text, "d", "t"])
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("size", [700, 5000])
+def test_ranges_give_the_rows_of_one_task(spark, tmp_path, small_ranges, size):
+    write(tmp_path / "a.csv", 1)
+    write(tmp_path / "b.csv", 2, ends="\r\n")
+    write(tmp_path / "c.csv", 3, rows=0)
+    read = lambda **how: read_scored_csv(spark, str(tmp_path), SPEC, extra=("id", "text"), **how)
+    want = rows_of(read())
+    small_ranges(size)
+    assert csv_records(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+    assert len(want) == 500 and rows_of(read(by_ranges=True)) == want
+
+
+def test_records_are_numbered_as_they_stand(spark, tmp_path, small_ranges):
+    write(tmp_path / "a.csv", 4, blank=True)
+    small_ranges(900)
+    got = read_with_position(spark, str(tmp_path / "a.csv")).select("file", "row", "id").collect()
+    assert {r.row: r.id for r in got} == {i + 1: f"4-{i}" for i in range(250)} and len(got) == 250
+
+
+def test_last_record_without_line_end_and_empty_files(spark, tmp_path, small_ranges):
+    (tmp_path / "a.csv").write_text('id,n,lang,text,doc,at\n1,2,en,"x\ny",d,t')
+    small_ranges(10)
+    [row] = read_scored_csv(spark, str(tmp_path), SPEC, extra=("text",), by_ranges=True).collect()
+    assert (row.n, row.text) == (2.0, "x\ny")
+    (tmp_path / "a.csv").write_text("id,n,lang,text,doc,at\n")
+    assert read_scored_csv(spark, str(tmp_path), SPEC, by_ranges=True).count() == 0
+
+
+def test_files_must_agree_on_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,n,lang,text,doc,at\n1,2,en,x,d,t\n")
+    (tmp_path / "b.csv").write_text("n,id,lang,text,doc,at\n1,2,en,x,d,t\n")
+    with pytest.raises(Exception, match="header differs"):
+        read_scored_csv(spark, str(tmp_path), SPEC, by_ranges=True).collect()
+
+
+def test_first_seen_keeps_the_order_of_rows(spark):
+    seen = [("f1", 0, "z", None), ("f0", 9, "b", 1), ("f0", 2, "m", 1), ("f1", 1, "b", 2), ("f2", 0, None, 2), ("f2", 1, "z", 1)]
+    df = spark.createDataFrame(seen, "file string, row long, value string, other int").repartition(4)
+    got = {r.value: r.place for r in first_seen(df, ["value"], ["file", "row"]).collect()}
+    assert got == {"m": 1, "b": 2, "z": 3, None: 4}
+    assert first_seen(df.limit(0), ["value"], ["file", "row"]).count() == 0
+    # Many values, ranked by several tasks.
+    many = spark.range(20_000).select(F.lit("f").alias("file"), F.col("id").alias("row"), F.pmod(F.col("id") * 7919, F.lit(5003)).alias("value"))
+    got = {r.value: r.place for r in first_seen(many, ["value"], ["file", "row"]).collect()}
+    assert got == {i * 7919 % 5003: i + 1 for i in range(5003)}
+
+
+def test_panels_are_numbered_by_first_seen_keys(spark):
+    rows = [("f", 0, "B", "c"), ("f", 1, "A", "c"), ("f", 2, "B", "p"), ("f", 3, "C", "p")]
+    df = spark.createDataFrame(rows, "file string, row long, election string, kind string")
+    spec = PanelSpec(("election", "kind"), "x", "t", ())
+    got = {(r.election, r.kind): r.number for r in panel_numbers(df, spec, ["file", "row"]).collect()}
+    # Elections B, A, C; kinds c, p; (A, p) and (C, c) have no rows but keep their numbers.
+    assert got == {("B", "c"): 1, ("B", "p"): 2, ("A", "c"): 3, ("C", "p"): 6}
