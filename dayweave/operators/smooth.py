@@ -16,6 +16,11 @@ from dayweave.spec import PanelSpec
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GRID = 80
+# Ways to get from local fits to a curve, and what to do where a fit is not determined.
+DIRECT, INTERPOLATE = "direct", "interpolate"
+NULL, LEAST = "null", "least"
+# A cell of the interpolated surface is split while it has more than this share of the rows of a fit.
+CELL = 0.2
 # Relative weight below which the quadratic term counts as undetermined.
 SINGULAR = 1e-9
 
@@ -26,6 +31,9 @@ def loess_curve(
     labels: tuple[str, ...] | None = None,
     span: float = 0.7,
     grid: int = GRID,
+    surface: str = DIRECT,
+    singular: str = NULL,
+    cell: float = CELL,
 ) -> DataFrame:
     """Local quadratic fit of each score against the day, per account.
 
@@ -36,9 +44,18 @@ def loess_curve(
 
     Each curve has `grid` evenly spaced points between the account's own first and last
     day. Rows without a day or with a missing or infinite score are left out; accounts with
-    a single day give no curve; where fewer than three days have weight, `fit` is NULL.
+    a single day give no curve.
+
+    `surface="direct"` fits at every point. `"interpolate"` fits at the ends of cells and blends
+    values and slopes between them by cubics: the days' range, a little widened, is cut at the
+    middle of a cell's rows, between two different days, while the cell has more than
+    `cell * span` of all rows.
+
+    Where fewer than three days have weight the quadratic is not determined: `fit` is NULL, or
+    with `singular="least"` the smallest of all coefficients that fit best, columns scaled to
+    length 1. Where all rows of a fit lie at one distance there is no weight, and `fit` is NULL.
     """
-    return fit_curves(daily_sums(rows, spec, labels), spec, labels, span, grid)
+    return fit_curves(daily_sums(rows, spec, labels), spec, labels, span, grid, surface, singular, cell)
 
 
 def daily_sums(rows: DataFrame, spec: PanelSpec, labels: tuple[str, ...] | None = None) -> DataFrame:
@@ -67,8 +84,13 @@ def fit_curves(
     labels: tuple[str, ...] | None = None,
     span: float = 0.7,
     grid: int = GRID,
+    surface: str = DIRECT,
+    singular: str = NULL,
+    cell: float = CELL,
 ) -> DataFrame:
     """The curves of `loess_curve` from `daily_sums`."""
+    if surface not in (DIRECT, INTERPOLATE) or singular not in (NULL, LEAST):
+        raise ValueError(f"no such surface or way of singular fits: {surface}, {singular}")
     measures = _measures(spec, labels)
     per_measure = per_day.select(
         *spec.series,
@@ -100,7 +122,7 @@ def fit_curves(
         )
         .where(F.col("lo") < F.col("hi"))
     )
-    fits = _fitter(span, grid)(F.col("days.x"), F.col("days.n"), F.col("days.total"))
+    fits = _fitter(span, grid, surface, singular, cell)(F.col("days.x"), F.col("days.n"), F.col("days.total"))
     # The outer form keeps Spark from calling the function a second time to test for emptiness.
     return (
         series.select(*spec.series, "measure", "lo", "hi", fits.alias("fits"))
@@ -121,13 +143,13 @@ def with_month_label(curve: DataFrame) -> DataFrame:
     return curve.withColumn("month", month_label(day))
 
 
-def _fitter(span: float, grid: int):
+def _fitter(span: float, grid: int, surface: str, singular: str, cell: float):
     @F.arrow_udf("array<double>")
     def fit(x: pa.Array, n: pa.Array, total: pa.Array) -> pa.Array:
         ends = np.cumsum(np.asarray(x.value_lengths()))[:-1]
         columns = [np.split(np.asarray(c.flatten(), dtype=float), ends) for c in (x, n, total)]
         return pa.array(
-            [_local_quadratic(*series, span, grid) for series in zip(*columns)],
+            [_curve(*series, span, grid, surface, singular, cell) for series in zip(*columns)],
             pa.list_(pa.float64()),
             from_pandas=True,
         )
@@ -135,18 +157,57 @@ def _fitter(span: float, grid: int):
     return fit
 
 
-def _local_quadratic(x, n, total, span: float, grid: int) -> np.ndarray:
-    """Fits at `grid` points for days `x` with `n` rows summing to `total` on each."""
+def _curve(x, n, total, span: float, grid: int, surface: str, singular: str, cell: float) -> np.ndarray:
+    """The curve at `grid` points through days `x` with `n` rows summing to `total` on each."""
     order = np.argsort(x)
     x, n, total = x[order], n[order], total[order]
     lo, hi = x[0], x[-1]
     at = lo + np.arange(grid) * (hi - lo) / (grid - 1.0)
+    if surface == DIRECT:
+        return _local_quadratic(x, n, total, at, span, singular)[0]
+    vertices = cell_ends(x, n, np.floor(n.sum() * span * cell))
+    return _blended(vertices, *_local_quadratic(x, n, total, vertices, span, singular), at)
+
+
+def cell_ends(x, n, most: float) -> np.ndarray:
+    """Ends of the cells that sorted days `x` with `n` rows each are cut into, in order."""
+    reached = np.cumsum(n).astype(np.int64)
+    spread = max(x[-1] - x[0], max(abs(x[0]), abs(x[-1])) * 1e-3 + 1e-30)
+    ends = [x[0] - 0.005 * spread, x[-1] + 0.005 * spread]
+    # Runs of days: the rows of a cell are those of the days from `first` up to `last`.
+    cells = [(0, len(x) - 1)]
+    while cells:
+        first, last = cells.pop()
+        start = reached[first] - int(n[first]) + 1
+        if first == last or reached[last] - start + 1 <= most:
+            continue
+        middle = (start + reached[last]) // 2
+        # The change of days next to the middle row, of two the later one.
+        away = reached[first:last] - middle
+        cut = first + int(np.argmin(2 * np.abs(away) + (away < 0)))
+        ends.append((x[cut] + x[cut + 1]) / 2)
+        cells += [(first, cut), (cut + 1, last)]
+    return np.sort(np.array(ends))
+
+
+def _blended(ends, value, slope, at) -> np.ndarray:
+    """Cubics between the ends of cells with the values and slopes there."""
+    i = np.clip(np.searchsorted(ends, at, side="right") - 1, 0, len(ends) - 2)
+    width = ends[i + 1] - ends[i]
+    t = (at - ends[i]) / width
+    rest = 1 - t
+    values = rest * rest * (1 + 2 * t) * value[i] + t * t * (1 + 2 * rest) * value[i + 1]
+    return values + (t * rest * rest * slope[i] - t * t * rest * slope[i + 1]) * width
+
+
+def _local_quadratic(x, n, total, at, span: float, singular: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values and slopes at some points of the fits to sorted days with `n` rows summing to `total` each."""
     away = x - at[:, None]
     distance = np.abs(away)
 
     # Bandwidth: distance to the q-th nearest row, where a day counts n times. The q nearest
     # rows fill a run of days, so it is the radius that reaches both ends of the best run
-    # with at least q rows; the runs are the same for every grid point.
+    # with at least q rows; the runs are the same for every point.
     reached = np.cumsum(n)
     q = min(reached[-1], np.floor(span * reached[-1] + 1e-5))
     ends = np.searchsorted(reached, reached - n + q)
@@ -169,9 +230,30 @@ def _local_quadratic(x, n, total, span: float, grid: int) -> np.ndarray:
         q2 = _sum(wn * p2 * p2)
         at_zero = mean_u * mean_u + skew * mean_u - var
         rest = w * (total - n * level)
-        fits = level - _sum(rest * d) / m2 * mean_u + _sum(rest * p2) / q2 * at_zero
+        linear, quadratic = _sum(rest * d) / m2, _sum(rest * p2) / q2
+        fits = level - linear * mean_u + quadratic * at_zero
+        slopes = (linear - quadratic * (2 * mean_u + skew)) / h
         solvable = (_sum(w > 0) >= 3) & (q2 > SINGULAR * s0)
-    return np.where(solvable, fits, np.nan)[:, 0]
+    fits, slopes = (np.where(solvable, v, np.nan)[:, 0] for v in (fits, slopes))
+    if singular == LEAST:
+        for i in np.flatnonzero(~solvable[:, 0] & (s0[:, 0] > 0)):
+            near = w[i] > 0
+            fits[i], slopes[i] = _least(u[i, near], wn[i, near], (total / n)[near])
+            slopes[i] /= h[i, 0]
+    return fits, slopes
+
+
+def _least(u, weight, mean) -> tuple[float, float]:
+    """Value and slope at 0 of the best quadratic with the smallest coefficients, columns scaled to length 1.
+
+    Singular values that are zero but for rounding are left out.
+    """
+    root = np.sqrt(weight)
+    design = np.stack([np.ones_like(u), u, u * u], axis=1) * root[:, None]
+    length = np.linalg.norm(design, axis=0)
+    scale = np.where(length > 0, length, 1.0)
+    best = np.linalg.lstsq(design / scale, root * mean, rcond=1e-10)[0] / scale
+    return best[0], best[1]
 
 
 def _sum(terms) -> np.ndarray:

@@ -95,34 +95,31 @@ FROM calendar LEFT JOIN daily USING ({_PANEL}, day) {where}
 GROUP BY {_PANEL}, day, lo"""
 
 
-def _loess(before: str, source: str, keys: str, labels: list[tuple[str, str]], month: str) -> str:
+def _loess_days(source: str, keys: str, labels: list[tuple[str, str]]) -> str:
     days = "\n  UNION ALL\n  ".join(
         f"SELECT {keys}, '{label}' AS measure, CAST(date_diff('day', DATE '1970-01-01', day) AS INTEGER) AS x,\n"
         f"         count({column}) AS n, fsum({column}) AS total\n"
         f"  FROM {source} WHERE {column} IS NOT NULL GROUP BY {keys}, day"
         for label, column in labels
     )
-    # fsum is DuckDB's compensated sum; the plain one is off in the 14th digit here.
-    group = f"{keys}, measure"
-    return f"""WITH {before},
-days AS (
-  {days}),
-grid AS (
-  SELECT {group}, lo, hi, rows_all, grid_idx, lo + grid_idx * (hi - lo) / 79.0::DOUBLE AS g
-  FROM (SELECT {group}, min(x) AS lo, max(x) AS hi, sum(n) AS rows_all FROM days GROUP BY {group})
-  CROSS JOIN (SELECT unnest(range(80)) AS grid_idx)
-  WHERE lo < hi),
-near AS (
+    return f"""days AS (
+  {days})"""
+
+
+# From points `g` of a curve, numbered `grid_idx`, to values and slopes there. fsum is DuckDB's
+# compensated sum; the plain one is off in the 14th digit here.
+def _loess_fits(points: str, group: str) -> str:
+    return f"""near AS (
   SELECT {group}, grid_idx, g, rows_all, x - g AS away, abs(x - g) AS distance, n, total,
          sum(n) OVER (PARTITION BY {group}, grid_idx ORDER BY abs(x - g)
                       RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reached
-  FROM grid JOIN days USING ({group})),
+  FROM {points} JOIN days USING ({group})),
 scaled AS (
   SELECT *, min(CASE WHEN reached >= least(rows_all, floor(0.7::DOUBLE * rows_all + 1e-5::DOUBLE)) THEN distance END)
             OVER (PARTITION BY {group}, grid_idx) AS h
   FROM near),
 units AS (
-  SELECT {group}, grid_idx, g, n, total,
+  SELECT {group}, grid_idx, g, h, n, total,
          CASE WHEN distance < h THEN away / h ELSE 1 END AS u FROM scaled),
 weighted AS (
   SELECT *, (1 - abs(u * u * u)) * (1 - abs(u * u * u)) * (1 - abs(u * u * u)) AS w FROM units),
@@ -141,13 +138,77 @@ solved AS (
          fsum(w * n * p2 * p2) AS q2,
          level - fsum(rest * d) / m2 * mean_u
            + fsum(rest * p2) / fsum(w * n * p2 * p2)
-             * (mean_u * mean_u + m3 / m2 * mean_u - m2 / s0) AS top
-  FROM orthogonal GROUP BY {group}, grid_idx, g, s0, m2, m3, mean_u, level)
+             * (mean_u * mean_u + m3 / m2 * mean_u - m2 / s0) AS top,
+         (fsum(rest * d) / m2 - fsum(rest * p2) / fsum(w * n * p2 * p2) * (2 * mean_u + m3 / m2)) / h AS slope
+  FROM orthogonal GROUP BY {group}, grid_idx, g, h, s0, m2, m3, mean_u, level)"""
+
+
+_SOLVABLE = "m >= 3 AND q2 > 1e-9::DOUBLE * s0"
+
+
+def _grid(group: str) -> str:
+    return f"""grid AS (
+  SELECT {group}, lo, hi, rows_all, grid_idx, lo + grid_idx * (hi - lo) / 79.0::DOUBLE AS g
+  FROM (SELECT {group}, min(x) AS lo, max(x) AS hi, sum(n) AS rows_all FROM days GROUP BY {group})
+  CROSS JOIN (SELECT unnest(range(80)) AS grid_idx)
+  WHERE lo < hi)"""
+
+
+def _loess(before: str, source: str, keys: str, labels: list[tuple[str, str]], month: str) -> str:
+    group = f"{keys}, measure"
+    return f"""WITH {before},
+{_loess_days(source, keys, labels)},
+{_grid(group)},
+{_loess_fits("grid", group)}
 SELECT {group}, CAST(grid_idx AS INTEGER) AS grid_idx, floor(g * 1e4 + 501e-3) / 1e4 AS x_day,
-       floor((CASE WHEN m >= 3 AND q2 > 1e-9::DOUBLE * s0 THEN top END) * 1e4 + 501e-3) / 1e4 AS fit{month}
+       floor((CASE WHEN {_SOLVABLE} THEN top END) * 1e4 + 501e-3) / 1e4 AS fit{month}
 FROM solved"""
 
 
+def _loess_interpolated(before: str, source: str, keys: str, labels: list[tuple[str, str]]) -> str:
+    group = f"{keys}, measure"
+    return f"""WITH RECURSIVE {before},
+{_loess_days(source, keys, labels)},
+{_grid(group)},
+stretched AS (
+  SELECT {group}, flatten(list(repeat([x], n) ORDER BY x)) AS xs FROM days GROUP BY {group} HAVING min(x) < max(x)),
+cells AS (
+  SELECT {group}, xs, floor(len(xs) * 0.7::DOUBLE * 0.2::DOUBLE) AS most, 1::BIGINT AS l, len(xs)::BIGINT AS u, NULL::DOUBLE AS cut
+  FROM stretched
+  UNION ALL
+  SELECT {group}, xs, most, unnest([l, s + 1]), unnest([s, u]), (xs[s] + xs[s + 1]) / 2
+  FROM (
+    SELECT *, CASE WHEN k % 2 = 0 THEN mid + k // 2 ELSE mid - k // 2 END AS s
+    FROM (
+      SELECT *, (l + u) // 2 AS mid,
+             list_min(list_transform(list_filter(range(l, u), lambda i: xs[i] <> xs[i + 1]),
+                                     lambda i: 2 * abs(i - (l + u) // 2) + CASE WHEN i < (l + u) // 2 THEN 1 ELSE 0 END)) AS k
+      FROM cells WHERE u - l + 1 > most)
+    WHERE k IS NOT NULL)),
+boxes AS (
+  SELECT {group}, xs[1] AS lo, xs[-1] AS hi, len(xs) AS rows_all,
+         greatest(xs[-1] - xs[1], greatest(abs(xs[1]), abs(xs[-1])) * 1e-3::DOUBLE + 1e-30::DOUBLE) AS spread FROM stretched),
+ends AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY g) AS grid_idx
+  FROM (
+    SELECT DISTINCT {group}, cut AS g, rows_all FROM cells JOIN boxes USING ({group}) WHERE cut IS NOT NULL
+    UNION ALL SELECT {group}, lo - 0.005::DOUBLE * spread, rows_all FROM boxes
+    UNION ALL SELECT {group}, hi + 0.005::DOUBLE * spread, rows_all FROM boxes)),
+{_loess_fits("ends", group)},
+fitted AS MATERIALIZED (
+  SELECT {group}, g, CASE WHEN {_SOLVABLE} THEN top END AS top, CASE WHEN {_SOLVABLE} THEN slope END AS slope FROM solved),
+between_ends AS (
+  SELECT {group}, g AS a, top AS top_a, slope AS slope_a, lead(g) OVER e AS b, lead(top) OVER e AS top_b, lead(slope) OVER e AS slope_b
+  FROM fitted WINDOW e AS (PARTITION BY {group} ORDER BY g)),
+placed AS (
+  SELECT {group}, grid.grid_idx, grid.g, between_ends.* EXCLUDE ({group}), (grid.g - a) / (b - a) AS p
+  FROM grid JOIN between_ends USING ({group}) WHERE a <= grid.g AND grid.g < b)
+SELECT {group}, CAST(grid_idx AS INTEGER) AS grid_idx, floor(g * 1e4 + 501e-3) / 1e4 AS x_day,
+       floor(((1 - p) * (1 - p) * (1 + 2 * p) * top_a + p * p * (3 - 2 * p) * top_b
+              + (b - a) * (p * (1 - p) * (1 - p) * slope_a - p * p * (1 - p) * slope_b)) * 1e4 + 501e-3) / 1e4 AS fit
+FROM placed"""
+
+
 _EVENT_MONTH = ",\n       strftime(DATE '1970-01-01' + CAST(floor(g) AS INTEGER), '%b-%y') AS month"
 _NATION_COLUMNS = [(n, n) for n in q.NATION_NAMES]
 _NATION_CELLS = ", ".join(
@@ -288,6 +349,12 @@ FROM completed""",
         [("Spon", "spon"), ("An", "an")],
         "",
     ),
+    "loess_interpolated": _loess_interpolated(
+        f"{_LI}, {_clip('li', 'l_suppkey')}",
+        "clip",
+        f"{_PANEL}, l_suppkey",
+        [("Spon", "spon"), ("An", "an")],
+    ),
     "loess_events": _loess(_EV, "ev", "event_type, user_id", [("Spon", "spon")], _EVENT_MONTH),
     "csv_round_trip": _CSV,
     "csv_round_trip_split": _CSV,

@@ -43,7 +43,7 @@ from dayweave.operators.panels import (
     with_day,
     with_panel_code,
 )
-from dayweave.operators.smooth import daily_sums, fit_curves, loess_curve, with_month_label
+from dayweave.operators.smooth import INTERPOLATE, daily_sums, fit_curves, loess_curve, with_month_label
 from dayweave.operators.windows import account_span, clip_to_window, common_window
 from dayweave.functions import day_of, month_label
 from dayweave.sources import (
@@ -387,6 +387,11 @@ def loess_curve_query(spark, sf_dir):
     return rounded(curve, "x_day", "fit", digits=4)
 
 
+def loess_interpolated(spark, sf_dir):
+    days = clipped(daily_sums(lines(spark, sf_dir), LINES), LINES)
+    return rounded(fit_curves(days, LINES, surface=INTERPOLATE), "x_day", "fit", digits=4)
+
+
 def loess_events(spark, sf_dir):
     curve = with_month_label(loess_curve(events(spark, sf_dir), EVENTS, labels=("Spon",)))
     return rounded(curve, "x_day", "fit", digits=4)
@@ -543,6 +548,7 @@ QUERIES = {
     "wide_an": wide_an,
     "wide_one_panel": wide_one_panel,
     "loess_curve": loess_curve_query,
+    "loess_interpolated": loess_interpolated,
     "loess_events": loess_events,
     "csv_round_trip": csv_round_trip,
     "csv_round_trip_split": csv_round_trip_split,
