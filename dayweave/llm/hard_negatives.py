@@ -116,8 +116,9 @@ class Block:
 def _whole(scores) -> np.ndarray:
     """Scores as 64-bit integers; those that do not fit are taken as the nearest that does."""
     scores = np.asarray(scores)
-    if scores.dtype == object:
-        scores = np.clip(scores, -(1 << 63) + 1, (1 << 63) - 1)
+    if scores.dtype.kind in "Ou":
+        most = (1 << 63) - 1
+        return np.array(np.clip(scores.astype(object), -most, most), dtype=np.int64)
     return scores.astype(np.int64)
 
 

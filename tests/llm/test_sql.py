@@ -21,5 +21,5 @@ def test_query_matches_sql(spark, db, sf_dir, name):
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert set(ORACLE) <= set(oracle_sql())
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "pseudonyms", "mixture", "packing"]
