@@ -46,5 +46,10 @@ def scratch_space(spark: SparkSession, name: str, folder: str | None = None) ->
     try:
         yield path
     finally:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
