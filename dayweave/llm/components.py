@@ -4,25 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from dayweave.sources import materialize
+from dayweave.sources import delete, materialize, scratch_path
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """(node, component) of every node on an edge (a, b); a component is its smallest node.
 
     Alternating stars: every node links its larger neighbours, then its smaller ones, to the
     smallest node it knows, until nothing changes. That takes about log n rounds, each a grouped
     minimum and a join, so a node with very many edges is spread like any other join key. Loops
-    and repeated edges do not matter; edges with a missing end are left out.
+    and repeated edges do not matter; edges with a missing end are left out. The tables of the
+    rounds go as soon as they are read.
     """
+    spark = edges.sparkSession
     clean = edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")
     )
-    stars = materialize(clean.distinct(), "edges")
-    seen = None
+    space = scratch_path(spark, "components", folder)
+    stars = materialize(clean.distinct(), "stars", f"{space}/0")
+    seen, rounds = None, 0
     while (now := _state(stars)) != seen:
-        seen = now
-        stars = materialize(_small_star(_large_star(stars)), "stars")
+        seen, rounds = now, rounds + 1
+        stars = materialize(_small_star(_large_star(stars)), "stars", f"{space}/{rounds}")
+        delete(spark, f"{space}/{rounds - 1}")
     members = stars.select(F.col("high").alias("node"), F.col("low").alias("component"))
     roots = stars.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
     return members.unionByName(roots)

@@ -59,6 +59,20 @@ def _shuffle_key(seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
 
 
+def _queues(docs: DataFrame, seed: str, epochs: int) -> DataFrame:
+    """Groups of equal (source, doc_id, size) with `up_to`, the size served in all queues up to
+    their end, and what is known of their source."""
+    rows = docs.select("source", "doc_id", word_count("text").alias("size"))
+    grouped = materialize(rows.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies")), "sizes")
+    used = F.col("size") * F.col("copies")
+    targets = source_targets(grouped.groupBy("source").agg(F.sum(used).alias("source_size")), epochs=epochs)
+    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("size")]
+    queue = running_totals(grouped.withColumn("key", _shuffle_key(seed)), order, {"up_to": used}, "queue")
+    return queue.join(
+        targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))
+    ).drop("__source")
+
+
 def schedule(docs: DataFrame, seed: str = SEED, epochs: int = EPOCHS) -> DataFrame:
     """Every document with its place in the queue of its source and what the mix takes of it.
 
@@ -74,15 +88,8 @@ def schedule(docs: DataFrame, seed: str = SEED, epochs: int = EPOCHS) -> DataFra
     size 0, a missing source is a source of its own, a missing id is an id. Empty input gives
     no rows. Other columns of `docs` are not used.
     """
-    rows = docs.select("source", "doc_id", word_count("text").alias("size"))
-    grouped = materialize(rows.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies")), "sizes")
+    placed = _queues(docs, seed, epochs)
     used = F.col("size") * F.col("copies")
-    targets = source_targets(grouped.groupBy("source").agg(F.sum(used).alias("source_size")), epochs=epochs)
-    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("size")]
-    queue = running_totals(grouped.withColumn("key", _shuffle_key(seed)), order, {"up_to": used}, "queue")
-    placed = queue.join(
-        targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))
-    ).drop("__source")
     first = F.col("up_to") - used - F.col("before")
     each = placed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).withColumn(
         "start", first + (F.col("copy") - 1) * F.col("size")
@@ -135,41 +142,47 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     else not; this moves a source by less than half a document. Rows that are equal in source,
     id and size have places of their own in the queue; where they differ in other columns,
     which of them takes which place is fixed by the order of those columns' hash. The group
-    gets its number of uses exactly, also when its rows are all equal.
+    gets its number of uses exactly, also when its rows are all equal. Documents without words,
+    missing and empty texts among them, are not used; a missing source is a source of its own;
+    an empty table gives no rows.
     """
     names = docs.columns
-    use = F.aggregate(
-        F.transform("words", lambda w: ((w > 0) & (2 * w >= F.col("size"))).cast("int")), F.lit(0), lambda a, b: a + b
-    )
-    group = [F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("size")]
-    uses = (
-        schedule(docs)
-        .withColumn("uses", use)
-        .groupBy("source", "doc_id", "size")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum("uses").alias("total"))
-    )
-    extra = F.pmod("total", "rows")
-    uses = uses.withColumns({"share": F.floor(F.col("total") / F.col("rows")).cast("int"), "extra": extra})
-    uses = materialize(uses, "uses")
-    uneven = running_totals(uses.where(F.col("extra") > 0), group, {"up_to": F.col("rows")}, "uneven-groups")
-    uneven = materialize(uneven.withColumn("before", F.col("up_to") - F.col("rows")).drop("up_to"), "uneven")
-    sized = docs.withColumn("__own_size", word_count("text"))
-
-    def joined(groups):
-        groups = groups.withColumnsRenamed({c: f"__{c}" for c in groups.columns})
-        same = sized["source"].eqNullSafe(F.col("__source")) & sized["doc_id"].eqNullSafe(F.col("__doc_id"))
-        return sized.join(groups, same & (F.col("__own_size") == F.col("__size")))
-
-    even = joined(uses.where((F.col("extra") == 0) & (F.col("share") > 0))).withColumn("__times", F.col("__share"))
-    # What does not divide goes to the first rows of the group, in the order of the rows' hash
+    cuts = materialize(_cuts(docs), "cuts").withColumnsRenamed({"source": "__source", "key": "__cut_key", "size": "__cut_size"})
+    own = docs.withColumns({"__size": word_count("text"), "__key": _shuffle_key(SEED)})
+    # One row per source, so texts stay where they are.
+    joined = own.where(F.col("__size") > 0).join(cuts, F.col("source").eqNullSafe(F.col("__source")))
+    ahead = (F.col("__key") < F.col("__cut_key")) | (F.col("__key") == F.col("__cut_key")) & (F.col("__size") < F.col("__cut_size"))
+    at_cut = (F.col("__key") == F.col("__cut_key")) & (F.col("__size") == F.col("__cut_size"))
+    even = joined.where(~at_cut).withColumn("__times", F.col("full") + ahead.cast("int")).select(*names, "__times")
+    # Of the rows at the cut the first ones are used once more, in the order of the rows' hash
     # and then of a number, which equal rows have too.
     row = F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")])
-    rows = materialize(joined(uneven).withColumn("__hash", row), "uneven-rows")
+    rows = materialize(joined.where(at_cut).withColumn("__hash", row), "rows-at-cuts")
     rows = rows.withColumn("__number", F.monotonically_increasing_id())
-    order = [F.col("__source").asc_nulls_last(), F.col("__doc_id").asc_nulls_last(), *map(F.col, ("__size", "__hash", "__number"))]
-    ranked = running_totals(rows, order, {"__rank": F.lit(1)}, "uneven-ranks")
-    more = (F.col("__rank") - F.col("__before") <= F.col("__extra")).cast("int")
-    served = even.select(*names, "__times").union(ranked.select(*names, (F.col("__share") + more).alias("__times")))
+    order = [F.col("__source").asc_nulls_last(), F.col("__hash"), F.col("__number")]
+    ranked = running_totals(rows, order, {"__rank": F.lit(1)}, "ranks-at-cuts")
+    before = ranked.groupBy("__source").agg(F.min("__rank").alias("__first")).withColumnRenamed("__source", "__of")
+    ranked = ranked.join(before, F.col("__source").eqNullSafe(F.col("__of")))
+    more = (F.col("__rank") - F.col("__first") < F.col("extra")).cast("int")
     # A sequence from 1 to 0 would run down.
-    served = served.where(F.col("__times") > 0)
+    served = even.union(ranked.select(*names, (F.col("full") + more).alias("__times"))).where(F.col("__times") > 0)
     return served.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)
+
+
+def _cuts(docs: DataFrame) -> DataFrame:
+    """One row per source with words: where its queue is cut.
+
+    Documents are used `full` times, and those before the group (key, size) once more; of that
+    group `extra` rows are used once more, the last of them if at least half of it is taken.
+    """
+    used = F.col("size") * F.col("copies")
+    first = F.col("up_to") - used - F.col("before")
+    quota = F.floor("target")
+    full = F.floor(quota / F.col("source_size"))
+    left = quota - full * F.col("source_size")
+    groups = _queues(docs, SEED, EPOCHS).where(used > 0).withColumns({"full": full.cast("int"), "into": left - first})
+    over = F.pmod("into", "size")
+    taken_half = (over > 0) & (2 * over >= F.col("size"))
+    return groups.where((F.col("into") >= 0) & (F.col("into") < used)).select(
+        "source", "key", "size", "full", (F.floor(F.col("into") / F.col("size")) + taken_half.cast("int")).alias("extra")
+    )

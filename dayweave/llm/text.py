@@ -1,10 +1,12 @@
-"""What several operators share: the definition of a word, and running totals over many tasks."""
+"""What several operators share: tables, the definition of a word, and running totals."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from dayweave.sources import materialize
+from dayweave.operators.totals import running_totals
+
+__all__ = ["SPACES", "WORD", "let", "running_totals", "table", "word_count"]
 
 # A word is a run of characters other than space, tab, line feed, vertical tab,
 # form feed and carriage return.
@@ -24,32 +26,3 @@ def word_count(text: str) -> Column:
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once, however often `body` uses it."""
     return F.transform(F.array(value), body)[0]
-
-
-def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column], name: str) -> DataFrame:
-    """`df` with inclusive running sums in a total order, without sorting in one task.
-
-    Rows are range-partitioned in that order and written, so that the partition of a row is
-    fixed; the sums of the partitions, one row each, give what lies before each partition, and
-    the rest is a window inside it. `order` must tell rows apart: equal ones stay together.
-    """
-    values = {f"__v_{out}": value for out, value in totals.items()}
-    ranged = (
-        df.withColumns(values)
-        .repartitionByRange(*order)
-        .withColumn("__part", F.spark_partition_id())
-    )
-    ranged = materialize(ranged, name)
-    up_to = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        ranged.groupBy("__part")
-        .agg(*[F.sum(v).alias(v) for v in values])
-        .select("__part", *[F.coalesce(F.sum(v).over(up_to), F.lit(0)).alias(f"__before{v}") for v in values])
-    )
-    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # As many rows as partitions, so the side is small whatever the data.
-    return (
-        ranged.join(F.broadcast(before), "__part")
-        .withColumns({out: F.col(f"__before__v_{out}") + F.sum(f"__v_{out}").over(within) for out in totals})
-        .drop("__part", *values, *[f"__before{v}" for v in values])
-    )

@@ -71,36 +71,64 @@ def _copies():
     return rows
 
 
-@pytest.mark.parametrize(
-    "n, percent, group, tile, agree", [(4, 85, 4096, 512, 6), (4, 85, 3, 4, 6), (5, 80, 4096, 5, 2), (4, 85, 4096, 512, 17)]
-)
-def test_join(spark, monkeypatch, n, percent, group, tile, agree):
-    """With large and small goes; with large families, and with none, where prefixes find all."""
-    for name, value in (("GROUP", group), ("TILE", tile), ("AGREE", agree)):
-        monkeypatch.setattr(ngram_join, name, value)
+@pytest.mark.parametrize("n, percent, rounds, small", [(4, 85, 2, False), (4, 85, 2, True), (5, 80, 1, True), (4, 85, 0, True), (5, 60, 0, False)])
+def test_join(spark, monkeypatch, n, percent, rounds, small):
+    """With leaders, and without any, where the pairs of all components are found by prefixes."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    if small:
+        for name, value in (("UNIT_BYTES", 2000), ("BUCKET_TOKENS", 50), ("TILE", 3), ("BLOCK_BYTES", 500)):
+            monkeypatch.setattr(ngram_join, name, value)
     rows = _copies()
     got = join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n, percent).collect()
     assert sorted(map(tuple, got), key=repr) == _brute_join(rows, n, percent)
 
 
-@pytest.mark.parametrize("percent", [60, 80, 95])
-def test_sets_compared_at_once(percent):
-    rng = np.random.default_rng(percent)
-    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 80)).astype(np.uint64)) for _ in range(60)]
-    sets += [np.unique(np.append(s, np.uint64(1000 + i))) for i, s in enumerate(sets[:20])]
-    side = np.arange(len(sets)) % 2
-    for both in (False, True):
-        pairs = [
-            (i, j)
-            for i in range(len(sets))
-            for j in range(i)
-            if (not both or side[i] != side[j])
-            and 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))
-        ]
-        found = ngram_join.linked(sets, side, both, percent)
-        assert _reach(range(len(sets)), found) == _reach(range(len(sets)), pairs)
-        assert len(found) < len(sets)
-        assert {tuple(sorted(p)) for p in found} <= {tuple(sorted(p)) for p in pairs}
+def test_matches_follow_what_others_hold():
+    """A document asks for more matches where its first n-grams are held by many and further ones are not."""
+    unique = np.ones(60, np.int64)
+    assert ngram_join.prefix_matches(unique, 10, 50) == ngram_join.FEWEST
+    passage = np.concatenate([np.full(15, 200), np.ones(45, np.int64)])
+    assert ngram_join.prefix_matches(passage, 10, 50) == ngram_join.MOST
+    # Where further ones are held by more, asking for them costs more than it saves.
+    assert ngram_join.prefix_matches(np.concatenate([np.full(18, 2), np.full(42, 100)]), 10, 50) == ngram_join.FEWEST
+    assert ngram_join.prefix_matches(np.ones(1, np.int64), 0, 1) == 1
+
+
+def test_shared_passages_lengthen_prefixes(spark):
+    """Different documents with one passage in common ask for more matches, and none are linked."""
+    random.seed(3)
+    passage = [f"p{i}" for i in range(60)]
+    # The words of the passage are rare, those around it frequent, so it comes first in the order.
+    rows = [(i, " ".join([random.choice("abcdefgh") * random.randint(1, 9) for _ in range(140)] + passage)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    units = docs.mapInArrow(ngram_join._profiler(4, 85, ngram_join.word_levels(docs)), ngram_join._UNITS)
+    prefixes = ngram_join._prefixes(units.cache(), 85).collect()
+    assert len(prefixes) == 80 and all(r.matches == ngram_join.MOST for r in prefixes)
+    assert {r.component_id for r in join(docs, 4, 85).collect()} == set(range(80))
+
+
+def test_work_grows_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Of near copies, leaders leave next to no pairs, however many there are."""
+    left = []
+    plain = ngram_join._candidates
+
+    def counted(*args):
+        found = plain(*args)
+        left.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_candidates", counted)
+    random.seed(1)
+    base = [f"w{i}" for i in range(200)]
+    for size in (60, 600):
+        rows = []
+        for i in range(size):
+            words = list(base)
+            words[random.randrange(200)] = f"x{random.randrange(10**6)}"
+            rows.append((i, " ".join(words)))
+        got = join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+        assert {r.component_id for r in got.collect()} == {0}
+    assert left[1] <= 600
 
 
 def test_odd_rows_are_joined(odd, odd_rows, none):
