@@ -1,4 +1,6 @@
 from dayweave.functions.columns import (
+    bin_of,
+    bin_start,
     csv_number,
     day_of,
     finite,
@@ -8,4 +10,14 @@ from dayweave.functions.columns import (
     strict_mean,
 )
 
-__all__ = ["csv_number", "day_of", "finite", "month_label", "series_name", "strict", "strict_mean"]
+__all__ = [
+    "bin_of",
+    "bin_start",
+    "csv_number",
+    "day_of",
+    "finite",
+    "month_label",
+    "series_name",
+    "strict",
+    "strict_mean",
+]

@@ -18,6 +18,33 @@ def day_of(time: Column | str, from_text: bool) -> Column:
     return written.try_cast("date")
 
 
+ORIGIN = "1970-01-01 00:00:00"
+
+
+def bin_of(time: Column | str, from_text: bool, seconds: int, origin: str = ORIGIN) -> Column:
+    """Number of the bin of `seconds` that a time falls in, counted from `origin`; earlier ones are negative.
+
+    Text is taken as written, like a day: no time zone is applied, a missing time of day is
+    midnight, and text that does not start with a valid date and time gives NULL.
+    """
+    time = F.col(time) if isinstance(time, str) else time
+    if from_text:
+        time = F.regexp_extract(time, r"^\s*(\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?)", 1)
+        time = time.try_cast("timestamp_ntz")
+    else:
+        time = time.cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", F.lit(origin).cast("timestamp_ntz"), time)
+    width = F.lit(seconds * 1_000_000)
+    # A multiple of the width, so that the division is exact.
+    return ((micros - F.pmod(micros, width)) / width).cast("long")
+
+
+def bin_start(number: Column | str, seconds: int, origin: str = ORIGIN) -> Column:
+    """Time at which a bin starts, without a zone."""
+    number = F.col(number) if isinstance(number, str) else number
+    return F.timestamp_add("SECOND", number * seconds, F.lit(origin).cast("timestamp_ntz"))
+
+
 def strict(aggregate, column: Column | str) -> Column:
     """`aggregate` over a group, NULL as soon as one member of the group is NULL.
 

@@ -1,10 +1,10 @@
-"""Gap-free daily series: calendar, completion, zero fill, offset and wide tables."""
+"""Gap-free series of days or bins: calendar, completion, zero fill, offset and wide tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from dayweave.functions import series_name
 from dayweave.operators.accounts import pick_accounts
@@ -26,13 +26,19 @@ def panel_bounds(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def calendar(bounds: DataFrame, spec: PanelSpec) -> DataFrame:
     """Every day of each panel from its first to its last."""
-    return bounds.select(*spec.panel, _each_day("lo", "hi").alias(spec.day))
+    return bounds.select(*spec.panel, _each(bounds.schema["lo"].dataType, "lo", "hi").alias(spec.day))
 
 
-def _each_day(start: str, end: str) -> Column:
-    """One row per day; needs start <= end. The outer form avoids an emptiness test that
-    would build every sequence twice."""
-    return F.explode_outer(F.sequence(start, end, F.expr("interval 1 day")))
+def _each(day: T.DataType, start: str, end: str) -> Column:
+    """One row per day, or per bin; needs start <= end. The outer form avoids an emptiness test
+    that would build every sequence twice."""
+    step = F.lit(1).cast("long") if isinstance(day, T.LongType) else F.expr("interval 1 day")
+    return F.explode_outer(F.sequence(start, end, step))
+
+
+def _since(day: T.DataType, column: str, start: str) -> Column:
+    """Days, or bins, from `start` on."""
+    return (F.col(column) - F.col(start)).cast("int") if isinstance(day, T.LongType) else F.datediff(column, start)
 
 
 def complete_days(
@@ -50,6 +56,7 @@ def complete_days(
     account, alias) keeps only those accounts, and gives a full empty series to those without
     any row.
     """
+    day = daily.schema[spec.day].dataType
     rows = daily.where(F.col(spec.day).isNotNull())
     names = list(spec.series)
     if accounts is not None:
@@ -62,6 +69,7 @@ def complete_days(
 
     by_day = Window.partitionBy(*names).orderBy(F.col(spec.day).asc_nulls_first())
     own, following = F.col(spec.day), F.lead(spec.day).over(by_day)
+    before = F.col("__next") - 1 if isinstance(day, T.LongType) else F.date_sub("__next", 1)
     means = [F.when(F.col("__day") == own, F.col(m)).alias(m) for m in spec.means]
     return (
         rows.withColumns(
@@ -76,22 +84,23 @@ def complete_days(
         .withColumns(
             {
                 "__from": F.when(own.isNull() | F.col("__first"), F.col("lo")).otherwise(own),
-                "__to": F.coalesce(F.date_sub("__next", 1), F.col("hi")),
+                "__to": F.coalesce(before, F.col("hi")),
             }
         )
         .where(F.col("__from") <= F.col("__to"))
-        .withColumn("__day", _each_day("__from", "__to"))
+        .withColumn("__day", _each(day, "__from", "__to"))
         .select(
             *names,
             F.col("__day").alias(spec.day),
-            F.datediff("__day", "lo").alias("t"),
+            _since(day, "__day", "lo").alias("t"),
             *means,
         )
     )
 
 
 def _bounds_schema(df: DataFrame, spec: PanelSpec):
-    return key_schema(df, spec.panel).add("lo", "date").add("hi", "date")
+    day = df.schema[spec.day].dataType
+    return key_schema(df, spec.panel).add("lo", day).add("hi", day)
 
 
 def zero_fill(completed: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -152,10 +161,10 @@ def wide_table(
     panels = list(dict.fromkeys(tuple(p[: len(spec.panel)]) for p in picks))
     wanted = as_table(daily, panels, key_schema(daily, spec.panel))
     days = lo_hi.join(wanted, list(spec.panel), "left_semi").select(
-        *spec.panel, "lo", _each_day("lo", "hi").alias(spec.day)
+        *spec.panel, "lo", _each(daily.schema[spec.day].dataType, "lo", "hi").alias(spec.day)
     )
     return (
         days.join(by_day, day_keys, "left")
-        .select(*day_keys, F.datediff(spec.day, "lo").alias("t"), *names)
+        .select(*day_keys, _since(daily.schema[spec.day].dataType, spec.day, "lo").alias("t"), *names)
         .na.fill(0.0, names)
     )

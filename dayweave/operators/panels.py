@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from dayweave.functions import day_of
+from dayweave.functions import bin_of, day_of
 from dayweave.operators.tables import as_table, key_schema
 from dayweave.operators.totals import running_totals
 from dayweave.spec import PanelSpec
@@ -19,6 +19,16 @@ def with_day(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.withColumn(spec.day, day_of(spec.time, from_text))
 
 
+def with_bin(df: DataFrame, spec: PanelSpec, seconds: int) -> DataFrame:
+    """Add the number of the bin of the time column, in the place of the day.
+
+    Bins are whole numbers, one for every `seconds`. Spans, windows, means, calendars and
+    completion take them like days; `bin_start` gives their times.
+    """
+    from_text = isinstance(df.schema[spec.time].dataType, T.StringType)
+    return df.withColumn(spec.day, bin_of(spec.time, from_text, seconds))
+
+
 def one_panel(df: DataFrame, spec: PanelSpec, *values) -> DataFrame:
     """The rows of one panel; rows with a missing key belong to none."""
     for key, value in zip(spec.panel, values, strict=True):

@@ -5,13 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from dayweave.functions import strict
 from dayweave.operators.tables import as_table, key_schema
 from dayweave.spec import PanelSpec
 
-_BOUNDS = [T.StructField("lo", T.DateType()), T.StructField("hi", T.DateType())]
 
 def account_span(df: DataFrame, spec: PanelSpec, skip_missing: bool = False) -> DataFrame:
     """First and last day of every account; missing if any of its days is, unless skipped."""
@@ -55,7 +54,8 @@ def clip_to_window(
     be clipped to a computed window, `broadcast` says that the caller knows the panels to be
     few, and keeps Spark from shuffling the rows before it has seen that.
     """
-    schema = T.StructType([*key_schema(df, spec.panel).fields, *_BOUNDS])
+    day = df.schema[spec.day].dataType
+    schema = key_schema(df, spec.panel).add("lo", day).add("hi", day)
     if not isinstance(windows, DataFrame):
         windows = [w for w in windows if None not in w[-2:]]
         if not windows:

@@ -71,6 +71,24 @@ completed AS (
   FROM calendar JOIN accounts USING (event_type)
   LEFT JOIN daily USING (event_type, user_id, day))"""
 
+_HOURS = f"""timed AS (
+  SELECT *, date_trunc('hour', moment) AS hour
+  FROM (SELECT event_id, event_type, user_id % {q.GROUPS} AS users, value AS spon,
+               CASE WHEN event_id % 50 <> 7 THEN date_trunc('second', ts::TIMESTAMP) END AS moment FROM events)),
+win AS (
+  SELECT event_type, max(first_hour) AS lo, min(last_hour) AS hi
+  FROM (SELECT event_type, users, min(hour) AS first_hour, max(hour) AS last_hour FROM timed GROUP BY event_type, users)
+  GROUP BY event_type HAVING max(first_hour) <= min(last_hour))"""
+
+_HOURLY_MEANS = f"""{_HOURS}, means AS (
+  SELECT event_type, users, hour, avg(spon) AS mean FROM timed WHERE hour IS NOT NULL GROUP BY event_type, users, hour),
+hours AS (
+  SELECT event_type, a, CAST(unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS TIMESTAMP) AS hour
+  FROM (SELECT event_type, min(hour) AS a, max(hour) AS b FROM means GROUP BY event_type)),
+hourly AS (
+  SELECT event_type, users, hour, date_diff('hour', a, hour) AS t, coalesce(mean, 0) AS x
+  FROM hours JOIN (SELECT DISTINCT event_type, users FROM means) USING (event_type) LEFT JOIN means USING (event_type, users, hour))"""
+
 _NATION_SERIES = f"""{_NA}, {_daily("na", _PANEL + ", n_name")}, {_bounds("na", _PANEL)},
 filled AS (
   SELECT {_PANEL}, nation.n_name, day, CAST(date_diff('day', lo, day) AS INTEGER) AS t,
@@ -320,6 +338,83 @@ calendar AS (
 accounts AS (SELECT DISTINCT event_type, user_id FROM ev)
 SELECT event_type, user_id, day, CAST(date_diff('day', lo, day) AS INTEGER) AS t, {_ROUNDED}
 FROM calendar JOIN accounts USING (event_type) LEFT JOIN daily USING (event_type, user_id, day)""",
+    "bins_from_text": f"""WITH {_HOURS}
+SELECT event_id, CAST(floor(epoch(moment) / {q.QUARTER}) AS BIGINT) AS number,
+       strftime(time_bucket(INTERVAL 15 MINUTE, moment), '%Y-%m-%d %H:%M:%S') AS starts FROM timed""",
+    "hourly_window": f"""WITH {_HOURS}
+SELECT event_type, strftime(lo, '%Y-%m-%d %H:%M:%S') AS lo, strftime(hi, '%Y-%m-%d %H:%M:%S') AS hi FROM win""",
+    "hourly_completed": f"""WITH {_HOURS}, inside AS (
+  SELECT event_type, users, hour, avg(spon) AS mean FROM timed JOIN win USING (event_type)
+  WHERE hour BETWEEN lo AND hi GROUP BY event_type, users, hour),
+hours AS (
+  SELECT event_type, a, CAST(unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS TIMESTAMP) AS hour
+  FROM (SELECT event_type, min(hour) AS a, max(hour) AS b FROM inside GROUP BY event_type))
+SELECT event_type, users, strftime(hour, '%Y-%m-%d %H:%M:%S') AS starts, CAST(date_diff('hour', a, hour) AS INTEGER) AS t,
+       floor(coalesce(mean, 0) * 1e6 + 501e-3) / 1e6 AS mean_spon, mean IS NULL AS "was_filled_Spon"
+FROM hours JOIN (SELECT DISTINCT event_type, users FROM inside) USING (event_type) LEFT JOIN inside USING (event_type, users, hour)""",
+    "autocorrelations": f"""WITH RECURSIVE {_HOURLY_MEANS}, series AS (
+  SELECT event_type, users, hour,
+         CASE WHEN event_type = 'signup' THEN 1 WHEN NOT (event_type = 'click' AND users = 3 AND t = 5) THEN x END AS x
+  FROM hourly),
+centred AS (
+  SELECT *, CASE WHEN count(*) OVER s = count(x) OVER s THEN x - avg(x) OVER s END AS d,
+         row_number() OVER (PARTITION BY event_type, users ORDER BY hour) AS i
+  FROM series WINDOW s AS (PARTITION BY event_type, users)),
+products AS (
+  SELECT a.event_type, a.users, lag, sum(a.d * b.d) AS c
+  FROM centred a CROSS JOIN (SELECT unnest(range({q.LAGS + 1})) AS lag) JOIN centred b
+    ON a.event_type = b.event_type AND a.users = b.users AND b.i = a.i + lag
+  GROUP BY a.event_type, a.users, lag),
+ratios AS (
+  SELECT event_type, users, lag, CASE WHEN first_value(c) OVER s > 0 THEN c / first_value(c) OVER s END AS r
+  FROM products WINDOW s AS (PARTITION BY event_type, users ORDER BY lag)),
+listed AS (SELECT event_type, users, list(r ORDER BY lag) AS r FROM ratios GROUP BY event_type, users),
+levinson AS (
+  SELECT event_type, users, r, 1 AS k, [r[2]] AS phi FROM listed
+  UNION ALL
+  SELECT event_type, users, r, k + 1, list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - new * phi[k + 1 - j]), [new])
+  FROM (
+    SELECT *, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])))
+              / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1]))) AS new
+    FROM levinson WHERE k < {q.LAGS}))
+SELECT event_type, users, n, CAST(lag AS INTEGER) AS lag, floor(r * 1e6 + 501e-3) / 1e6 AS acf, floor(p * 1e6 + 501e-3) / 1e6 AS pacf
+FROM (SELECT event_type, users, lag, ratios.r, phi[k] AS p
+      FROM ratios LEFT JOIN levinson USING (event_type, users) WHERE k = greatest(lag, 1) AND lag > 0
+      UNION ALL SELECT event_type, users, lag, r, NULL FROM ratios WHERE lag = 0)
+JOIN (SELECT event_type, users, count(*) AS n FROM centred GROUP BY event_type, users) USING (event_type, users)""",
+    "var_coefficients": f"""WITH RECURSIVE {_HOURLY_MEANS},
+centred AS (SELECT *, avg(x) OVER (PARTITION BY event_type, users) AS mean FROM hourly),
+vectors AS (
+  SELECT event_type, t, list(x - mean ORDER BY users) AS y, list(mean ORDER BY users) AS means, list(users ORDER BY users) AS names
+  FROM centred GROUP BY event_type, t),
+lagged AS (
+  SELECT event_type, means, names, len(y) AS k, list_concat([1.0::DOUBLE], y1, y2, y) AS z
+  FROM (SELECT *, lag(y) OVER o AS y1, lag(y, 2) OVER o AS y2 FROM vectors WINDOW o AS (PARTITION BY event_type ORDER BY t))
+  WHERE y2 IS NOT NULL),
+products AS (
+  SELECT event_type, i, j, fsum(z[i] * z[j]) AS s
+  FROM (SELECT event_type, z, i, unnest(range(1, len(z) + 1)) AS j FROM (SELECT event_type, z, unnest(range(1, len(z) + 1)) AS i FROM lagged))
+  GROUP BY event_type, i, j),
+sizes AS (SELECT event_type, any_value(k) AS k, any_value(means) AS means, any_value(names) AS names FROM lagged GROUP BY event_type),
+matrix AS (
+  SELECT event_type, list(r ORDER BY i) AS m FROM (SELECT event_type, i, list(s ORDER BY j) AS r FROM products GROUP BY event_type, i)
+  JOIN sizes USING (event_type) WHERE i <= 2 * k + 1 GROUP BY event_type),
+solved AS (
+  SELECT event_type, m, 1 AS p FROM matrix
+  UNION ALL
+  SELECT event_type, list_transform(range(1, len(m) + 1), lambda i: CASE
+           WHEN i = p THEN list_transform(m[p], lambda v: v / m[p][p])
+           ELSE list_transform(range(1, len(m[p]) + 1), lambda j: m[i][j] - m[i][p] / m[p][p] * m[p][j]) END), p + 1
+  FROM solved WHERE p <= len(m)),
+b AS (
+  SELECT event_type, k, means, names, e, list_transform(m, lambda r: r[2 * k + 1 + e]) AS c
+  FROM (SELECT *, unnest(range(1, k + 1)) AS e FROM solved JOIN sizes USING (event_type) WHERE p = len(m) + 1)),
+rows AS (
+  SELECT event_type, names[e] AS equation, names[e] AS account, 0::BIGINT AS lag,
+         c[1] + means[e] - list_sum(list_transform(range(1, 2 * k + 1), lambda i: c[i + 1] * means[(i - 1) % k + 1])) AS v FROM b
+  UNION ALL
+  SELECT event_type, names[e], names[(i - 1) % k + 1], (i - 1) // k + 1, c[i + 1] FROM (SELECT *, unnest(range(1, 2 * k + 1)) AS i FROM b))
+SELECT event_type, equation, account, lag, floor(v * 1e6 + 501e-3) / 1e6 AS coefficient FROM rows""",
     "zero_filled": f"""WITH {_COMPLETE_EVENTS.replace("value AS spon,", "CASE WHEN floor(value) % 5 = 0 THEN 'nan'::DOUBLE ELSE value END AS spon,")}
 SELECT event_type, user_id, day, t,
        floor((CASE WHEN isnan(mean_spon) THEN 0 ELSE coalesce(mean_spon, 0) END) * 1e6 + 501e-3) / 1e6 AS mean_spon,

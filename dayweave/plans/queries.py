@@ -26,6 +26,7 @@ from dayweave.operators.calendar import (
     with_series_name,
     zero_fill,
 )
+from dayweave.operators.correlation import autocorrelation
 from dayweave.operators.daily import (
     active_days,
     daily_mean,
@@ -40,12 +41,14 @@ from dayweave.operators.panels import (
     one_panel,
     panel_numbers,
     panel_sizes,
+    with_bin,
     with_day,
     with_panel_code,
 )
 from dayweave.operators.smooth import INTERPOLATE, daily_sums, fit_curves, loess_curve, with_month_label
+from dayweave.operators.vector_models import coefficients, granger_tests, impulse_responses, lagged_products
 from dayweave.operators.windows import account_span, clip_to_window, common_window
-from dayweave.functions import day_of, month_label
+from dayweave.functions import bin_of, bin_start, day_of, month_label
 from dayweave.sources import (
     materialize,
     read_in_order,
@@ -66,6 +69,7 @@ LINES = PanelSpec(
 )
 NATIONS = PanelSpec(LINES.panel, "n_name", LINES.time, LINES.measures)
 EVENTS = PanelSpec(("event_type",), "user_id", "ts", LINES.measures)
+HOURLY = PanelSpec(("event_type",), "users", "at", LINES.measures[:1], day="hour")
 DOCUMENTS = PanelSpec(("lang",), "doc_id", "source", (Measure("n_chars", "mean_chars", "Chars"),))
 
 PANELS = [("A", "F"), ("A", "O"), ("N", "F"), ("N", "O"), ("R", "F"), ("R", "O")]
@@ -94,6 +98,8 @@ BOUNDS = [
     ("purchase", date(2023, 11, 1), date(2023, 11, 3)),
     ("signup", date(2024, 1, 20), date(2024, 2, 5)),
 ]
+HOUR, QUARTER, GROUPS, LAGS = 3600, 900, 8, 24
+VAR_LAGS, HORIZON = 2, 12
 UNNAMED = 4
 STORED = ["file", "row"]
 CHAIN_PICKS = [(*p, a, f"account {a}") for p in PANELS for a in (2, 4, 6)]
@@ -323,9 +329,14 @@ def month_label_query(spark, sf_dir):
     return calendar_query(spark, sf_dir).withColumn("month", month_label("day"))
 
 
+def _completed(rows):
+    """Written once, the daily table gives the bounds too, and the rows are scanned once."""
+    daily = materialize(daily_mean(rows, EVENTS), "daily")
+    return complete_days(daily, EVENTS, panel_bounds(daily, EVENTS))
+
+
 def _completed_events(spark, sf_dir):
-    rows = events(spark, sf_dir)
-    return complete_days(daily_mean(rows, EVENTS), EVENTS, panel_bounds(rows, EVENTS))
+    return _completed(events(spark, sf_dir))
 
 
 def complete_days_query(spark, sf_dir):
@@ -342,8 +353,7 @@ def zero_filled(spark, sf_dir):
     rows = events(spark, sf_dir)
     broken = F.pmod(F.floor("spon"), F.lit(5)) == 0
     rows = rows.withColumn("spon", F.when(broken, F.lit(float("nan"))).otherwise(F.col("spon")))
-    completed = complete_days(daily_mean(rows, EVENTS), EVENTS, panel_bounds(rows, EVENTS))
-    return _rounded_means(zero_fill(completed, EVENTS), EVENTS)
+    return _rounded_means(zero_fill(_completed(rows), EVENTS), EVENTS)
 
 
 def series_offset_query(spark, sf_dir):
@@ -379,6 +389,77 @@ def wide_one_panel(spark, sf_dir):
     return _wide(rows, "Spon", ONE_PANEL_PICKS, prefix="AF_")
 
 
+# Bins of other widths than a day
+
+
+def _hourly(spark, sf_dir):
+    """Scores by type of event, group of users and hour; times are text, some of it no time."""
+    rows = _table(spark, sf_dir, "events").select(
+        "event_id",
+        "event_type",
+        F.pmod("user_id", F.lit(GROUPS)).alias("users"),
+        F.when(F.col("event_id") % 50 == 7, F.col("props")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("at"),
+        F.col("value").alias("spon"),
+    )
+    return with_bin(rows, HOURLY, HOUR)
+
+
+def bins_from_text(spark, sf_dir):
+    """Bins of a quarter of an hour."""
+    rows = _hourly(spark, sf_dir).select("event_id", bin_of("at", True, QUARTER).alias("number"))
+    return rows.select("event_id", "number", F.date_format(bin_start("number", QUARTER), "yyyy-MM-dd HH:mm:ss").alias("starts"))
+
+
+def hourly_window(spark, sf_dir):
+    window = common_window(_hourly(spark, sf_dir), HOURLY)
+    return window.select("event_type", *[F.date_format(bin_start(c, HOUR), "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("lo", "hi")])
+
+
+def hourly_completed(spark, sf_dir):
+    """The hours in which all groups are active, each group with every hour."""
+    hourly = materialize(daily_mean(_hourly(spark, sf_dir), HOURLY), "hourly")
+    inside = clip_to_window(hourly, HOURLY, common_window(hourly, HOURLY))
+    filled = zero_fill(complete_days(inside, HOURLY, panel_bounds(inside, HOURLY)), HOURLY)
+    starts = F.date_format(bin_start("hour", HOUR), "yyyy-MM-dd HH:mm:ss").alias("starts")
+    return rounded(filled.select("event_type", "users", starts, "t", "mean_spon", "was_filled_Spon"), "mean_spon")
+
+
+# Structure in time
+
+
+def _hourly_series(spark, sf_dir):
+    hourly = materialize(daily_mean(_hourly(spark, sf_dir), HOURLY), "hourly")
+    dated = hourly.where(F.col("hour").isNotNull())
+    return zero_fill(complete_days(dated, HOURLY, panel_bounds(dated, HOURLY)), HOURLY)
+
+
+def autocorrelations(spark, sf_dir):
+    """Of hourly means, lags of up to a day. Some series have a missing value, one type of event no variation."""
+    kind = F.col("event_type")
+    gap = (kind == "click") & (F.col("users") == 3) & (F.col("t") == 5)
+    value = F.when(kind == "signup", 1.0).when(~gap, F.col("mean_spon"))
+    series = _hourly_series(spark, sf_dir).withColumn("mean_spon", value)
+    return rounded(autocorrelation(series, HOURLY.series, "t", "mean_spon", LAGS), "acf", "pacf")
+
+
+def _hourly_products(spark, sf_dir):
+    return lagged_products(_hourly_series(spark, sf_dir), HOURLY.panel, "users", "t", "mean_spon", VAR_LAGS)
+
+
+def var_coefficients(spark, sf_dir):
+    """Each group's hourly mean from those of all groups in the hours before."""
+    found = coefficients(_hourly_products(spark, sf_dir), HOURLY.panel).drop("std_error")
+    return rounded(found, "coefficient")
+
+
+def var_granger(spark, sf_dir):
+    return rounded(granger_tests(_hourly_products(spark, sf_dir), HOURLY.panel), "f", "p")
+
+
+def var_responses(spark, sf_dir):
+    return rounded(impulse_responses(_hourly_products(spark, sf_dir), HOURLY.panel, HORIZON), "response")
+
+
 # Curves
 
 
@@ -544,6 +625,13 @@ QUERIES = {
     "zero_filled": zero_filled,
     "series_offset": series_offset_query,
     "series_names": series_names,
+    "bins_from_text": bins_from_text,
+    "hourly_window": hourly_window,
+    "hourly_completed": hourly_completed,
+    "autocorrelations": autocorrelations,
+    "var_coefficients": var_coefficients,
+    "var_granger": var_granger,
+    "var_responses": var_responses,
     "wide_spon": wide_spon,
     "wide_an": wide_an,
     "wide_one_panel": wide_one_panel,

@@ -38,7 +38,11 @@ def _rows(columns, rows):
     return sorted(plain, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# Tests and responses of vector models are compared with plain code in test_series.py.
+NO_SQL = {"var_granger", "var_responses"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, db, name):
     got = QUERIES[name](spark, SF_DIR)
     want = db.execute(ORACLE[name])
@@ -52,7 +56,7 @@ def test_query_matches_sql(spark, db, name):
 
 
 def test_every_query_has_sql():
-    assert set(ORACLE) == set(QUERIES)
+    assert set(ORACLE) == set(QUERIES) - NO_SQL
 
 
 def test_entry_has_rows(spark):
