@@ -41,28 +41,31 @@ def lagged_products(
     lagged = [F.lag("__y", i).over(before) for i in range(1, lags + 1)]
     consecutive = F.col(order) - F.lag(order, lags).over(before) == lags
     used = at.withColumn("__z", F.when(consecutive, F.concat(F.array(F.lit(1.0)), *lagged, F.col("__y")))).where(F.col("__z").isNotNull())
+    products = summed_products(used, panel)
+    named = used.groupBy(*panel).agg(F.any_value(F.col("__row.account")).alias("accounts"), F.any_value(F.col("__row.mean")).alias("means"))
+    return products.join(named, list(panel)).select(*panel, "accounts", "means", "n", "products", F.lit(lags).alias("lags"))
+
+
+def summed_products(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group the sums of z z' over its rows, `products`, upper half row by row, and their number `n`;
+    z is the array `__z`, of one length in a group."""
     m = F.size("__z")
     upper = F.flatten(
         F.transform(
             F.sequence(F.lit(1), m), lambda i: F.transform(F.slice("__z", i, m - i + 1), lambda x: x * F.element_at("__z", i))
         )
     )
-    sums = used.select(*panel, F.posexplode(upper).alias("__pos", "__x")).groupBy(*panel, "__pos").agg(F.sum("__x").alias("__s"), F.count("__x").alias("__n"))
-    products = sums.groupBy(*panel).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__s"))), lambda x: x["__s"]).alias("products"), F.max("__n").alias("n")
-    )
-    named = used.groupBy(*panel).agg(F.any_value(F.col("__row.account")).alias("accounts"), F.any_value(F.col("__row.mean")).alias("means"))
-    return products.join(named, list(panel)).select(*panel, "accounts", "means", "n", "products", F.lit(lags).alias("lags"))
+    sums = rows.select(*keys, F.posexplode(upper).alias("__pos", "__x")).groupBy(*keys, "__pos")
+    sums = sums.agg(F.sum("__x").alias("__s"), F.count("__x").alias("__n"))
+    listed = F.array_sort(F.collect_list(F.struct("__pos", "__s")))
+    return sums.groupBy(*keys).agg(F.transform(listed, lambda x: x["__s"]).alias("products"), F.max("__n").alias("n"))
 
 
 class Model:
     """The autoregression of one panel by least squares, from its sums of products."""
 
     def __init__(self, k: int, lags: int, n: int, products, means):
-        m = k * (lags + 1) + 1
-        full = np.zeros((m, m))
-        full[np.triu_indices(m)] = products
-        full += np.triu(full, 1).T
+        full = symmetric(products)
         self.k, self.lags, self.n, q = k, lags, n, k * lags + 1
         zz, zy, yy = full[:q, :q], full[:q, q:], full[q:, q:]
         self.free = n - q
@@ -103,6 +106,14 @@ class Model:
         return np.array(out)
 
 
+def symmetric(products) -> np.ndarray:
+    """The whole matrix from its upper half, row by row."""
+    m = math.isqrt(2 * len(products))
+    full = np.zeros((m, m))
+    full[np.triu_indices(m)] = products
+    return full + np.triu(full, 1).T
+
+
 def f_tail(f: float, a: int, b: int) -> float:
     """Probability that an F variable with a and b degrees of freedom is larger than f."""
     return _beta_share(b / (b + a * f), b / 2, a / 2) if f > 0 else 1.0

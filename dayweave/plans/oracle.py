@@ -382,6 +382,46 @@ FROM (SELECT event_type, users, lag, ratios.r, phi[k] AS p
       FROM ratios LEFT JOIN levinson USING (event_type, users) WHERE k = greatest(lag, 1) AND lag > 0
       UNION ALL SELECT event_type, users, lag, r, NULL FROM ratios WHERE lag = 0)
 JOIN (SELECT event_type, users, count(*) AS n FROM centred GROUP BY event_type, users) USING (event_type, users)""",
+    "unit_roots": f"""WITH RECURSIVE {_HOURLY_MEANS},
+moved AS (SELECT event_type, users, t, x - avg(x) OVER (PARTITION BY event_type, users) AS y FROM hourly),
+steps AS (SELECT *, lag(y) OVER o AS b, y - lag(y) OVER o AS d FROM moved WINDOW o AS (PARTITION BY event_type, users ORDER BY t)),
+vectors AS (
+  SELECT event_type, users, z FROM (
+    SELECT event_type, users, t, [1.0::DOUBLE, t::DOUBLE, b, {", ".join(f"lag(d, {i}) OVER o" for i in range(1, q.DF_LAGS + 1))}, d] AS z
+    FROM steps WINDOW o AS (PARTITION BY event_type, users ORDER BY t))
+  WHERE t > {q.DF_LAGS}),
+products AS (
+  SELECT event_type, users, i, j, fsum(z[i] * z[j]) AS s, count(*) AS n
+  FROM (SELECT *, unnest(range(1, {q.DF_LAGS + 5})) AS j FROM (SELECT *, unnest(range(1, {q.DF_LAGS + 5})) AS i FROM vectors))
+  GROUP BY event_type, users, i, j),
+lines AS (
+  SELECT event_type, users, lag, i,
+         list_concat(list(s ORDER BY j) FILTER (WHERE j <= 3 + lag), list(s) FILTER (WHERE j = {q.DF_LAGS + 4}),
+                     list_transform(range(1, 4 + lag), lambda c: CASE WHEN c = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS r
+  FROM products CROSS JOIN (SELECT unnest(range({q.DF_LAGS + 1})) AS lag) WHERE i <= 3 + lag GROUP BY event_type, users, lag, i),
+matrix AS (
+  SELECT event_type, users, lag, list(r ORDER BY i) AS m, list(r[4 + lag] ORDER BY i) AS zy FROM lines GROUP BY event_type, users, lag),
+solved AS (
+  SELECT *, 1 AS p FROM matrix
+  UNION ALL
+  SELECT event_type, users, lag, list_transform(range(1, len(m) + 1), lambda i: CASE
+           WHEN i = p THEN list_transform(m[p], lambda v: v / m[p][p])
+           ELSE list_transform(range(1, len(m[p]) + 1), lambda j: m[i][j] - m[i][p] / m[p][p] * m[p][j]) END), zy, p + 1
+  FROM solved WHERE p <= len(m)),
+fitted AS (
+  SELECT event_type, users, lag, n, m[3][4 + lag] AS b, m[3][7 + lag] AS v,
+         s - list_sum(list_transform(range(1, 4 + lag), lambda i: m[i][4 + lag] * zy[i])) AS rest
+  FROM solved JOIN products USING (event_type, users) WHERE p = len(m) + 1 AND i = {q.DF_LAGS + 4} AND j = {q.DF_LAGS + 4}),
+best AS (
+  SELECT event_type, users, n, lag, b / sqrt(v * rest / (n - 3 - lag)) AS statistic FROM fitted
+  QUALIFY row_number() OVER (PARTITION BY event_type, users ORDER BY n * ln(rest / n) + 2 * (3 + lag), lag) = 1),
+rows AS (
+  SELECT *, -3.95877::DOUBLE - 9.0531::DOUBLE / n - 28.428::DOUBLE / n**2 - 134.155::DOUBLE / n**3 AS c1,
+         -3.41049::DOUBLE - 4.3904::DOUBLE / n - 9.036::DOUBLE / n**2 - 45.374::DOUBLE / n**3 AS c5,
+         -3.12705::DOUBLE - 2.5856::DOUBLE / n - 3.925::DOUBLE / n**2 - 22.380::DOUBLE / n**3 AS c10
+  FROM best)
+SELECT event_type, users, n, lag, {", ".join(f"floor({c} * 1e6 + 501e-3) / 1e6 AS {name}" for c, name in (("statistic", "statistic"), ("c1", "critical_1"), ("c5", "critical_5"), ("c10", "critical_10")))}
+FROM rows""",
     "var_coefficients": f"""WITH RECURSIVE {_HOURLY_MEANS},
 centred AS (SELECT *, avg(x) OVER (PARTITION BY event_type, users) AS mean FROM hourly),
 vectors AS (

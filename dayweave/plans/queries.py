@@ -46,6 +46,7 @@ from dayweave.operators.panels import (
     with_panel_code,
 )
 from dayweave.operators.smooth import INTERPOLATE, daily_sums, fit_curves, loess_curve, with_month_label
+from dayweave.operators.stationarity import dickey_fuller
 from dayweave.operators.vector_models import coefficients, granger_tests, impulse_responses, lagged_products
 from dayweave.operators.windows import account_span, clip_to_window, common_window
 from dayweave.functions import bin_of, bin_start, day_of, month_label
@@ -99,7 +100,7 @@ BOUNDS = [
     ("signup", date(2024, 1, 20), date(2024, 2, 5)),
 ]
 HOUR, QUARTER, GROUPS, LAGS = 3600, 900, 8, 24
-VAR_LAGS, HORIZON = 2, 12
+VAR_LAGS, HORIZON, DF_LAGS = 2, 12, 6
 UNNAMED = 4
 STORED = ["file", "row"]
 CHAIN_PICKS = [(*p, a, f"account {a}") for p in PANELS for a in (2, 4, 6)]
@@ -442,6 +443,12 @@ def autocorrelations(spark, sf_dir):
     return rounded(autocorrelation(series, HOURLY.series, "t", "mean_spon", LAGS), "acf", "pacf")
 
 
+def unit_roots(spark, sf_dir):
+    """Of hourly means, whether each series is likely to wander."""
+    found = dickey_fuller(_hourly_series(spark, sf_dir), HOURLY.series, "t", "mean_spon", DF_LAGS, trend=True)
+    return rounded(found, *found.columns[4:])
+
+
 def _hourly_products(spark, sf_dir):
     return lagged_products(_hourly_series(spark, sf_dir), HOURLY.panel, "users", "t", "mean_spon", VAR_LAGS)
 
@@ -629,6 +636,7 @@ QUERIES = {
     "hourly_window": hourly_window,
     "hourly_completed": hourly_completed,
     "autocorrelations": autocorrelations,
+    "unit_roots": unit_roots,
     "var_coefficients": var_coefficients,
     "var_granger": var_granger,
     "var_responses": var_responses,

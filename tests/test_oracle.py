@@ -38,7 +38,7 @@ def _rows(columns, rows):
     return sorted(plain, key=repr)
 
 
-# Tests and responses of vector models are compared with plain code in test_series.py.
+# Statistics of these models are compared with plain code in test_series.py.
 NO_SQL = {"var_granger", "var_responses"}
 
 

@@ -14,6 +14,7 @@ from dayweave.operators.calendar import calendar, complete_days, panel_bounds, w
 from dayweave.operators.correlation import autocorrelation
 from dayweave.operators.daily import daily_mean
 from dayweave.operators.panels import with_bin
+from dayweave.operators.stationarity import dickey_fuller
 from dayweave.operators.vector_models import coefficients, f_tail, granger_tests, impulse_responses, lagged_products
 from dayweave.operators.windows import clip_to_window, common_window
 
@@ -227,3 +228,49 @@ def test_tail_of_the_f_distribution():
         assert f_tail(f, 1, 1) == pytest.approx(1 - 2 / math.pi * math.atan(math.sqrt(f)), rel=1e-9)
         assert f_tail(f, 7, 11) == pytest.approx(1 - f_tail(1 / f, 11, 7), rel=1e-9)
     assert f_tail(0.0, 3, 3) == 1.0
+
+
+# Dickey-Fuller test
+
+
+def plain_test(x, lags, trend):
+    """Every lag fitted on the rows themselves."""
+    d = np.diff(x)
+    times = range(lags + 1, len(x))
+    y = np.array([d[t - 1] for t in times])
+    best = (math.inf, None, None)
+    for lag in range(lags + 1):
+        z = np.array([[1.0, *([t] if trend else []), x[t - 1], *(d[t - 1 - i] for i in range(1, lag + 1))] for t in times])
+        b = np.linalg.lstsq(z, y, rcond=None)[0]
+        rest = ((y - z @ b) ** 2).sum()
+        at = 2 if trend else 1
+        error = math.sqrt(np.linalg.inv(z.T @ z)[at, at] * rest / (len(y) - z.shape[1]))
+        best = min(best, (len(y) * math.log(rest / len(y)) + 2 * z.shape[1], lag, b[at] / error))
+    return len(y), *best[1:]
+
+
+@pytest.mark.parametrize("trend", [False, True])
+def test_dickey_fuller_matches_fits_on_rows(spark, trend):
+    rng = np.random.default_rng(9)
+    xs = {"noise": rng.normal(size=200), "walk": np.cumsum(rng.normal(size=300)), "high": 1e3 + rng.normal(size=80)}
+    ar = [0.0, 0.0]
+    for e in rng.normal(size=250):
+        ar.append(0.6 * ar[-1] - 0.3 * ar[-2] + e)
+    xs["ar"] = np.array(ar)
+    rows = [(who, t + 17, float(v)) for who, x in xs.items() for t, v in enumerate(x)]
+    rows += [("flat", t, 3.0) for t in range(40)] + [("short", t, float(t % 3)) for t in range(8)] + [("one", 1, 1.0)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "who string, t int, x double").repartition(4)
+    got = {r.who: r for r in dickey_fuller(df, ["who"], "t", "x", 5, trend).collect()}
+    assert set(got) == {*xs, "flat", "short"}
+    for who, x in xs.items():
+        n, lag, statistic = plain_test(x, 5, trend)
+        r = got[who]
+        assert (r.n, r.lag, r.statistic) == (n, lag, pytest.approx(statistic, rel=1e-5)), who
+        assert r.critical_1 < r.critical_5 < r.critical_10 < (-3 if trend else -2.5)
+    assert (got["flat"].lag, got["flat"].statistic, got["short"].statistic) == (None, None, None)
+    assert got["noise"].statistic < got["noise"].critical_1 and got["ar"].statistic < got["ar"].critical_1
+    assert got["walk"].statistic > got["walk"].critical_10
+    # With a gap, only times with all values before them are used.
+    gap = df.where("who = 'noise' AND t <> 100")
+    assert dickey_fuller(gap, ["who"], "t", "x", 5, trend).first().n == 194 - 7
