@@ -11,11 +11,15 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dayweave.sources import materialize, scratch_space
+
 # Executors get the functions themselves and need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
+# Digests, of 32 bytes each, that may be broadcast.
+FEW_DIGESTS = 100_000
 # Words that a task remembers, and the longest of them in bytes: about 150 MB at most.
 WORDS_KEPT, WORD_KEPT = 500_000, 64
 # ASCII marks that the tokenizer never joins with a letter before them.
@@ -119,9 +123,13 @@ def count_tokens(
     """`columns` of every document with `n_bytes`, `n_tokens` and `over_limit`.
 
     Counts are kept in the table at `cache` by the digests of the tokenizer's file and of the
-    normalised text. Texts not counted before by this tokenizer are encoded once each, whatever
-    the number of their copies, and appended. A missing text is an empty one with 0 tokens;
-    repeated rows and equal texts share one entry; a clashing column of `docs` not named in
+    normalised text. Digests go first: those the cache does not know are found among digests
+    alone, and only texts that have one of them are shuffled, once for all their copies, encoded
+    and appended. A cache that knows all texts moves none of them. Jobs may append at the same
+    time: a digest that is there several times counts once.
+
+    A missing text is an empty one with 0 tokens; repeated rows and equal texts share one entry;
+    a text of any length is encoded whole; a clashing column of `docs` not named in
     `columns` is not used. With no documents nothing is encoded.
     """
     spark = docs.sparkSession
@@ -131,22 +139,31 @@ def count_tokens(
     spark.createDataFrame([], schema).write.mode("append").parquet(cache)
 
     def known():
-        return spark.read.schema(schema).parquet(cache).where(F.col("version") == version).select("digest", "n_tokens")
-
-    contents = docs.select(normalised("text").alias("content"))
-    digest = F.unhex(F.sha2("content", 256)).alias("digest")
-    missing = contents.select(digest, "content").dropDuplicates(["digest"]).join(known(), "digest", "left_anti")
-    counted = missing.mapInArrow(_counter(path), "digest binary, n_tokens long")
-    counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+        rows = spark.read.schema(schema).parquet(cache).where(F.col("version") == version)
+        return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
+    digest = F.unhex(F.sha2("content", 256))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    keys = docs.select(*columns, n_bytes.alias("__bytes"), normalised("text").alias("content")).select(
-        *columns, "__bytes", digest.alias("__digest")
-    )
-    counts = known().select(F.col("digest").alias("__digest"), F.col("n_tokens").alias("__tokens"))
-    return keys.join(counts, "__digest").select(
-        *columns,
-        F.col("__bytes").alias("n_bytes"),
-        F.col("__tokens").alias("n_tokens"),
-        (F.col("__tokens") > limit).alias("over_limit"),
-    )
+    keys = docs.select(*columns, n_bytes.alias("__bytes"), normalised("text").alias("content"))
+    with scratch_space(spark, "token-counts") as folder:
+        keys = materialize(keys.select(*columns, "__bytes", digest.alias("__digest")), "keys", folder)
+        missing = keys.select(F.col("__digest").alias("digest")).distinct().join(known(), "digest", "left_anti")
+        missing = materialize(missing, "missing", folder)
+        n_missing = missing.count()
+        contents = docs.select(normalised("text").alias("content")).select(digest.alias("digest"), "content")
+        if n_missing <= FEW_DIGESTS:
+            # Of a size that any task can hold.
+            contents = contents.join(F.broadcast(missing), "digest", "left_semi").dropDuplicates(["digest"])
+        else:
+            contents = contents.dropDuplicates(["digest"]).join(missing, "digest", "left_semi")
+        if n_missing:
+            counted = contents.mapInArrow(_counter(path), "digest binary, n_tokens long")
+            counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+        counts = known().select(F.col("digest").alias("__digest"), F.col("n_tokens").alias("__tokens"))
+        out = keys.join(counts, "__digest").select(
+            *columns,
+            F.col("__bytes").alias("n_bytes"),
+            F.col("__tokens").alias("n_tokens"),
+            (F.col("__tokens") > limit).alias("over_limit"),
+        )
+        return materialize(out, "token-counts")

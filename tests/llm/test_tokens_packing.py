@@ -64,6 +64,43 @@ def test_odd_rows_are_counted_and_only_misses_encoded(spark, library, odd, odd_r
     assert spark.read.parquet(cache).count() == distinct
 
 
+def test_repeated_entries_count_once(spark, odd, odd_rows, tmp_path):
+    """Two jobs that append to one cache at once leave every digest in it twice."""
+    caches = [str(tmp_path / c) for c in "abc"]
+    want = sorted(map(tuple, count_tokens(odd, ["doc_id"], caches[0]).collect()), key=repr)
+    count_tokens(odd, ["doc_id"], caches[1])
+    for cache in caches[:2]:
+        spark.read.parquet(cache).write.mode("append").parquet(caches[2])
+    assert spark.read.parquet(caches[2]).count() == 2 * spark.read.parquet(caches[0]).count()
+    got = count_tokens(odd, ["doc_id"], caches[2]).collect()
+    assert len(got) == len(odd_rows) and sorted(map(tuple, got), key=repr) == want
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_only_texts_not_in_the_cache_are_encoded(spark, odd, none, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(tokens, "FEW_DIGESTS", few)
+    cache, encoded = str(tmp_path / "cache"), spark.sparkContext.accumulator(0)
+    plain = tokens._counter
+
+    def watched(path):
+        def count(batches):
+            for batch in plain(path)(batches):
+                encoded.add(batch.num_rows)
+                yield batch
+
+        return count
+
+    monkeypatch.setattr(tokens, "_counter", watched)
+    first = sorted(map(tuple, count_tokens(odd, ["doc_id"], cache).collect()), key=repr)
+    held = spark.read.parquet(cache).count()
+    assert encoded.value == held
+    assert sorted(map(tuple, count_tokens(odd, ["doc_id"], cache).collect()), key=repr) == first
+    assert encoded.value == held
+    more = spark.createDataFrame([(50, "a text that is new"), (51, "a text that is  new"), (52, "short")], "doc_id long, text string")
+    assert count_tokens(more, ["doc_id"], cache).count() == 3
+    assert encoded.value == held + 1 == spark.read.parquet(cache).count()
+
+
 def _check_packed(rows, texts, library):
     """Pieces of every document in full, in sequences without gaps, overlaps or overflow."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
