@@ -244,7 +244,8 @@ def pseudonymise(df: DataFrame, column: str = "text", key: str = KEY, count: str
     numbers, dates, network addresses, mail names and secrets are permuted within their own
     format by a Feistel network under `key`, so equal values stay equal in every document and
     a valid value stays valid. Candidates that fail their check stay as they are. A missing
-    text stays missing; an empty one, and one without candidates, is unchanged. Every row is
+    text stays missing; an empty one, and one without candidates, is unchanged; one of any length is
+    rewritten whole. Every row is
     treated alone: ties and repeated rows give equal results, other columns are kept. The number
     of values replaced goes to the column `count`, in place of one of that name; with None it is
     left out.

@@ -155,6 +155,10 @@ def keep_good(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_
 
     The rules run over every text twice, once for the hosts and once for the documents: texts are
     neither written nor, unless the bad hosts are many, shuffled.
+
+    A missing or empty text has no words and goes; a text of any length is judged whole. A row
+    without a host is judged alone. Repeated rows are judged each, alike, and a rate of exactly
+    `max_rate` keeps the host. An empty table gives none; all columns are kept, whatever their names.
     """
     failed = _fails(word_count("text"), n_repeat_words(F.col("text")))
     bad = _bad_hosts(docs.select(host, failed.alias("__failed")), host, max_rate, "__failed")

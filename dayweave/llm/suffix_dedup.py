@@ -520,7 +520,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     a bucket sorts at most HOT contexts and FEW - 1 of each unit: the windows of commoner grams
     are spread over all buckets by their own hashes, and only equal ones meet.
 
-    A missing text is empty. Rows with equal doc_id do not remove each other's bytes; a row
+    A missing text is empty; a very long one is a unit of its own, taken whole. Rows with equal doc_id do not remove each other's bytes; a row
     without doc_id loses nothing and removes nothing. An empty table gives no rows. Other
     columns are not used.
     """

@@ -178,7 +178,8 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 def normalise(spark: SparkSession, folder: str, out: str) -> None:
     """Rewrite gzip archives so that each record is a member of its own, with an offset index.
 
-    Each file is inflated once, as a stream. `out/kind=warc/archive=<name>` has the members and
+    Each file is inflated once, as a stream; its compressed bytes come as one row, so a file must be
+    smaller than 2 GB. `out/kind=warc/archive=<name>` has the members and
     `out/kind=index/archive=<name>` their record ids, offsets and lengths, gzipped lines. Both
     go through Spark's text writer, so they reach any file system and a lost task leaves nothing
     behind: the zero byte that ends each member is the writer's line separator.

@@ -1,10 +1,14 @@
 """The classifier on labelled rows it has not seen."""
 
+import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
+import xxhash
 
+from dayweave.llm import toxicity
 from dayweave.llm.toxicity import Features, ftrl, score
 
 
@@ -71,3 +75,54 @@ def test_weights_without_evidence_stay_zero():
     weights, _ = ftrl(examples, bits=16, epochs=2)
     assert weights[7] == weights.max() > 1
     assert (weights != 0).mean() < 0.05
+
+
+def plain_ftrl(examples):
+    """FTRL-proximal one coordinate at a time, in plain Python: weights from z and n as they are needed."""
+    z, n, bias, bias_n = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for places, label in examples:
+            own = {i: weight(i) for i in places}
+            p = 1 / (1 + math.exp(-(bias + sum(own.values()))))
+            g = p - label
+            for i, w in own.items():
+                rate = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - rate * w
+                n[i] = n.get(i, 0.0) + g * g
+            bias_n += g * g
+            bias -= toxicity.ALPHA / (toxicity.BETA + math.sqrt(bias_n)) * g
+    return {i: w for i in z if (w := weight(i))}, bias
+
+
+def plain_places(text):
+    """Hashed words, pairs and skip-pairs of a text, by their definition."""
+    words = "".join(chr(c + 32) if 65 <= c <= 90 else chr(c) if c >= 128 or chr(c).isalnum() else " " for c in (text or "").encode()).encode("latin-1").split()
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    one, two, three = map(int, toxicity._STEP)
+    found = h + [a * two + b for a, b in zip(h, h[1:])] + [a * three + b for a, b in zip(h, h[2:])]
+    return {(x * one % 2**64) >> (64 - toxicity.BITS) for x in found}
+
+
+def test_weights_and_scores_match_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 2.0)
+    random.seed(5)
+    words = [f"w{i}" for i in range(60)] + ["Vile", "foul!"]
+    rows = [(i, " ".join(random.choice(words[:60] if i % 3 else words) for _ in range(random.randint(0, 40)))) for i in range(250)]
+    rows = [(i, t + " vile foul" if i % 4 == 0 else t) for i, t in rows] + [(900, None), (901, ""), (902, "é İ vile")]
+    labels = [(i, int(i % 4 == 0)) for i, _ in rows[:250]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in score(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    texts = dict(rows)
+    learned = sorted((hashlib.md5(str(i).encode()).hexdigest(), label, i) for i, label in labels if zlib.crc32(str(i).encode()) % 5)
+    weights, bias = plain_ftrl([(plain_places(texts[i]), label) for _, label, i in learned])
+    assert len(weights) > 5
+    for i, text in rows:
+        total = bias + sum(weights.get(p, 0.0) for p in plain_places(text))
+        assert abs(got[i] - 1 / (1 + math.exp(-total))) < 1e-9, i
