@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import sys
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from dayweave.llm.components import components
@@ -18,19 +20,22 @@ from dayweave.sources import materialize, scratch_space
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS, PERCENT = 5, 80
-# Shared prefix n-grams that a pair must have: the fewest and the most a document asks for.
-FEWEST, MOST = 8, 32
+# Shared prefix n-grams that a pair must have: the fewest and the most a document asks for, and
+# the expected chance partners per match above which it asks for twice as many.
+FEWEST, MOST, COST = 8, 32, 4.0
 BUCKETS = 1 << 16
-# Text of one unit, and tokens that one bucket counts. They decide memory and speed only.
-UNIT_BYTES, BUCKET_TOKENS = 4 << 20, 1 << 20
-# Rounds in which documents are compared with one leader each, the n-grams that choose it, and
-# documents compared with a leader in one go.
-ROUNDS, VOTES, TILE = 2, 8, 512
+# Values of a signature, how many of them gather families, and how many must agree for that.
+VALUES, BANDS, AGREE = 16, 6, 6
+# Documents gathered, or compared with each other, in one go; larger groups take more goes.
+GROUP, TILE = 4096, 512
 BLOCK_BYTES = 1 << 20
+# Ids, of 8 bytes each, that may be broadcast.
+FEW_IDS = 1_000_000
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.arange(256, dtype=np.uint8) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
+_SEEDS = np.random.default_rng(5).integers(1 << 62, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Shingles:
@@ -101,15 +106,15 @@ def _word_counter(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
 
 
-def word_levels(docs: DataFrame) -> np.ndarray:
-    """The logarithm of the count of each of a fixed number of buckets of words, over all texts.
-    The table has the same size whatever the input."""
+def word_levels(docs: DataFrame) -> tuple[np.ndarray, float]:
+    """The logarithm of the count of each of a fixed number of buckets of words, over all texts,
+    and of all words. The table has the same size whatever the input."""
     counted = docs.select("text").mapInArrow(_word_counter, "bucket long, n long")
     rows = counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(BUCKETS)
     for row in rows:
         counts[row["bucket"]] = row["n"]
-    return np.round(np.log2(counts + 1)).astype(np.int64)
+    return np.round(np.log2(counts + 1)).astype(np.int64), math.log2(counts.sum() + 1)
 
 
 def _required(n: int, percent: int) -> int:
@@ -117,149 +122,65 @@ def _required(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def prefix_matches(held: np.ndarray, base: int, required: int) -> int:
-    """How many matches a document asks for in its prefix, from how many documents hold each n-gram.
+def prefix_length(keys: np.ndarray, percent: int, total: float, words: int) -> tuple[int, int]:
+    """Length of a document's prefix, and how many matches in it a partner must have.
 
-    Sets that share r of n n-grams share at least m of the first n - r + m in any common order, so
-    a prefix of n - r + m n-grams is enough if partners must share m. The documents that share
-    m of them are at most the matches there are, divided by m: that estimate of the candidates
-    is taken for each m, and the m with the least is taken.
+    Sets that share r of n n-grams share at least m of the first n - r + m in any common order.
+    The more chance partners the n-grams of the prefix are expected to have, by the frequency of
+    their words, the longer the prefix and the more matches are asked for.
     """
-    low, high = min(FEWEST, required), min(MOST, required)
-    matches = np.arange(low, high + 1)
-    others = np.cumsum(held - 1)
-    return int(matches[np.argmin(others[base + matches - 1] / matches)])
-
-
-class Unit:
-    """Documents of one part of a task, and the longest prefix of each distinct set."""
-
-    def __init__(self):
-        self.docs, self.sets, self.bytes = [], {}, 0
-
-    def add(self, doc: int | None, keys: np.ndarray, percent: int):
-        n = len(keys)
-        digest = hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
-        self.docs.append({"doc_id": doc, "n": n, "digest": digest})
-        if not n or doc is None:
-            return
-        if digest in self.sets:
-            self.sets[digest][0] = min(doc, self.sets[digest][0])
-        else:
-            r = _required(n, percent)
-            # A copy, so that the whole set can go.
-            self.sets[digest] = [doc, n, keys[: n - r + min(MOST, r)].copy()]
-
-    def row(self, number: int) -> pa.RecordBatch:
-        owner, size, tokens = zip(*self.sets.values()) if self.sets else ((), (), ())
-        binary = lambda x, kind: pa.array([np.array(x, kind).tobytes()], pa.binary())
-        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        kind = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
-        columns = [
-            pa.array([number]), pa.array([self.docs], pa.list_(kind)), binary(owner, np.int64), binary(size, np.int64),
-            binary([len(t) for t in tokens], np.int64), binary(flat, np.uint64), pa.array([len(flat)]),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["unit", "docs", "owner", "size", "length", "tokens", "n_tokens"])
-
-
-_UNITS = "unit long, docs array<struct<doc_id:long,n:long,digest:binary>>, owner binary, size binary, length binary, tokens binary, n_tokens long"
-
-
-def _profiler(n: int, percent: int, level: np.ndarray):
+    n = len(keys)
+    r = _required(n, percent)
+    m = min(FEWEST, r)
+    expected = np.cumsum(np.exp2((keys >> np.uint64(56)).astype(np.float64) - (words - 1) * total))
+    while m < min(MOST, r) and expected[min(n - r + m, n) - 1] > COST * m:
+        m = min(2 * m, r)
+    return n - r + m, m
+
+
+def signatures(keys: list[np.ndarray]) -> np.ndarray:
+    """For each set the smallest of its hashes, under several hash functions."""
+    out = np.zeros((len(keys), VALUES), dtype=np.int32)
+    full = np.flatnonzero([len(k) for k in keys])
+    if len(full):
+        flat = np.concatenate([keys[i] for i in full])
+        begins = np.cumsum([0, *(len(keys[i]) for i in full)])[:-1]
+        for v, seed in enumerate(_SEEDS):
+            least = np.minimum.reduceat(mixed(flat * seed), begins)
+            out[full, v] = (least >> np.uint64(33)).astype(np.int32)
+    return out
+
+
+def _profiler(n: int, percent: int, level: np.ndarray, total: float):
     def profile(batches):
-        shingles, unit, number = Shingles(n), Unit(), TaskContext.get().partitionId() << 32
+        shingles = Shingles(n)
         for batch in batches:
-            docs = batch.column("doc_id").to_pylist()
-            for first, last, data, ends in blocks(batch.column("text"), BLOCK_BYTES):
-                for doc, keys in zip(docs[first:last], shingles.keys(data, ends, level)):
-                    unit.add(doc, keys, percent)
-                unit.bytes += len(data)
-                if unit.bytes >= UNIT_BYTES:
-                    yield unit.row(number)
-                    unit, number = Unit(), number + 1
-        if unit.docs:
-            yield unit.row(number)
+            sizes, digests, signs, matches, prefixes = [], [], [], [], []
+            for _, _, data, ends in blocks(batch.column("text"), BLOCK_BYTES):
+                own = shingles.keys(data, ends, level)
+                signs.append(signatures(own))
+                for keys in own:
+                    sizes.append(len(keys))
+                    digests.append(hashlib.blake2b(keys.tobytes(), digest_size=16).digest())
+                    length, m = prefix_length(keys, percent, total, n) if len(keys) else (0, 0)
+                    matches.append(m)
+                    prefixes.append(keys[:length].view(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+            sign = np.concatenate(signs).ravel() if signs else np.zeros(0, np.int32)
+            columns = [
+                batch.column("doc_id"),
+                pa.array(sizes, pa.int64()),
+                pa.array(digests, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * VALUES, pa.int32()), pa.array(sign)),
+                pa.array(matches, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "sign", "matches", "prefix"])
 
     return profile
 
 
-class Dealt:
-    """The distinct tokens of a unit as shortened hashes, by bucket."""
-
-    def __init__(self, tokens: bytes, buckets: int):
-        flat = np.frombuffer(tokens, np.uint64)
-        unique, self.at, count = np.unique(flat, return_inverse=True, return_counts=True)
-        h = mixed(unique)
-        bucket, short = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), h.astype(np.uint32)
-        self.order = np.lexsort((short, bucket))
-        self.bucket, self.short = bucket[self.order], short[self.order]
-        self.count = np.minimum(count[self.order], 255).astype(np.uint8)
-
-    def held(self, answers: bytes) -> np.ndarray:
-        """How many documents hold each token, from the answers of all buckets in order."""
-        out = np.empty(len(self.order), np.int64)
-        out[self.order] = np.frombuffer(answers, np.uint8)
-        return out[self.at]
-
-
-def _sender(buckets: int):
-    def send(batches):
-        for batch in batches:
-            for unit, tokens in zip(batch.column("unit").to_pylist(), batch.column("tokens")):
-                dealt = Dealt(tokens.as_py(), buckets)
-                used, start = np.unique(dealt.bucket, return_index=True)
-                edges = [*start.tolist(), len(dealt.bucket)]
-                parts = [[x[a:b].tobytes() for a, b in zip(edges, edges[1:])] for x in (dealt.short, dealt.count)]
-                columns = [pa.array(used), pa.array(np.full(len(used), unit)), *(pa.array(p, pa.binary()) for p in parts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "unit", "short", "count"])
-
-    return send
-
-
-def _count(rows: pa.Table) -> pa.Table:
-    """How many documents hold each token of a bucket, 255 for more, for every unit that asks."""
-    short, count = (b"".join(rows.column(c).to_pylist()) for c in ("short", "count"))
-    _, at = np.unique(np.frombuffer(short, np.uint32), return_inverse=True)
-    held = np.minimum(np.bincount(at, np.frombuffer(count, np.uint8)), 255).astype(np.uint8)[at].tobytes()
-    edges = np.cumsum([0, *(len(c) for c in rows.column("count").to_pylist())]).tolist()
-    answers = [held[a:b] for a, b in zip(edges, edges[1:])]
-    return pa.table([rows.column("bucket"), rows.column("unit"), pa.array(answers, pa.binary())], names=["bucket", "unit", "held"])
-
-
-_PREFIXES = "doc long, n long, matches int, last long, length int, tokens array<long>, held array<int>, votes array<long>"
-
-
-def _chooser(percent: int, buckets: int):
-    def choose(units: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = []
-        for unit in units.to_pylist():
-            answers = answers.sort_by("bucket")
-            tokens = np.frombuffer(unit["tokens"], np.uint64)
-            held = Dealt(unit["tokens"], buckets).held(b"".join(answers.column("held").to_pylist()))
-            owner, size, length = (np.frombuffer(unit[c], np.int64).tolist() for c in ("owner", "size", "length"))
-            end = 0
-            for doc, n, longest in zip(owner, size, length):
-                start, end = end, end + longest
-                own, by = tokens[start:end], held[start:end]
-                r = _required(n, percent)
-                m = prefix_matches(by, n - r, r)
-                used = n - r + m
-                shared = np.flatnonzero(by[:used] > 1)
-                # No partner asks for less than this.
-                if len(shared) < min(m, FEWEST):
-                    continue
-                few = own[shared][np.argsort(mixed(own[shared]), kind="stable")[:VOTES]]
-                # The last one in the order of unsigned values.
-                last = int((own[used - 1] ^ np.uint64(1 << 63)).view(np.int64))
-                rows.append((doc, n, m, last, used, own[shared].view(np.int64), by[shared], few.view(np.int64)))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        columns = list(zip(*rows)) or [()] * len(kinds)
-        names = [c.split()[0] for c in _PREFIXES.split(", ")]
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
-
-    return choose
-
-
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     low, high = sorted((len(a), len(b)))
     if 100 * low < percent * high:
@@ -274,25 +195,89 @@ def _all_keys(column: pa.Array, shingles: Shingles) -> list[np.ndarray]:
     return [k for _, _, data, ends in blocks(column, BLOCK_BYTES) for k in shingles.keys(data, ends)]
 
 
-def _follower(n: int, percent: int):
-    """Compare the documents that follow a leader with it; a leader's rows come first."""
+def _gather(batches):
+    """In runs of rows of one group, join each document to an earlier one with much the same
+    signature, if there is one among those that stand for themselves."""
+    group, signs, leaders = None, np.zeros((GROUP, VALUES), np.int32), []
+    for batch in batches:
+        docs, heads = [], []
+        own = np.asarray(batch.column("sign").flatten()).reshape(-1, VALUES)
+        keys = zip(*(batch.column(c).to_pylist() for c in ("band", "value", "part", "doc")))
+        for sign, (*key, doc) in zip(own, keys):
+            if key != group:
+                group, leaders = key, []
+            if len(leaders) == len(signs):
+                signs = np.concatenate([signs, np.zeros_like(signs)])
+            agree = (signs[: len(leaders)] == sign).sum(axis=1)
+            at = int(agree.argmax()) if len(agree) else 0
+            if len(agree) and agree[at] >= AGREE:
+                docs.append(doc)
+                heads.append(leaders[at])
+            else:
+                signs[len(leaders)] = sign
+                leaders.append(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(heads, pa.int64())], names=["a", "b"])
+
+
+def linked(keys: list[np.ndarray], side: np.ndarray, both: bool, percent: int) -> list[tuple[int, int]]:
+    """Links among sets that connect all that are connected, found by comparing them all: those of
+    the two sides with each other, or with `both` false all of them. Pairs that are connected
+    already are not compared."""
+    size = np.array([len(k) for k in keys])
+    owner = np.repeat(np.arange(len(keys)), size)
+    _, token, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    use = shared[token]
+    owner, token = owner[use], place[token[use]]
+    bits = np.zeros((len(keys), int(shared.sum()) // 64 + 1), dtype=np.uint64)
+    order = np.lexsort((token, owner))
+    owner, token = owner[order], token[order]
+    cell = owner * bits.shape[1] + token // 64
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    if len(first):
+        one = np.uint64(1) << (token % 64).astype(np.uint64)
+        bits.ravel()[cell[first]] = np.bitwise_or.reduceat(one, first)
+    root, out = np.arange(len(keys)), []
+    at = np.arange(len(keys))
+    for i in range(len(keys)):
+        fits = (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])) & (root != root[i])
+        fits &= (side != side[i]) & (at > i) if both else at > i
+        others = np.flatnonzero(fits)
+        if not len(others):
+            continue
+        common = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+        for j in others[100 * common >= percent * (size[others] + size[i] - common)]:
+            if root[j] != root[i]:
+                out.append((i, int(j)))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _comparer(n: int, percent: int):
+    """Compare the documents of two tiles of a family, or of one with each other."""
+
+    def compare(batches):
+        shingles, group, docs, tiles, keys = Shingles(n), None, [], [], []
+
+        def links():
+            side = np.array(tiles)
+            found = linked(keys, side, bool(group) and group[1] != group[2], percent) if len(keys) > 1 else []
+            columns = [pa.array([docs[p[k]] for p in found], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
-    def follow(batches):
-        shingles, group, heads = Shingles(n), None, []
         for batch in batches:
-            docs, leaders = [], []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("leader", "part", "follows", "doc")))
-            for (*key, follows, doc), keys in zip(rows, _all_keys(batch.column("text"), shingles)):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("family", "x", "y", "doc", "tile")))
+            for (*key, doc, tile), own in zip(rows, _all_keys(batch.column("text"), shingles)):
                 if key != group:
-                    group, heads = key, []
-                if not follows:
-                    heads.append(keys)
-                elif any(similar(keys, head, percent) for head in heads):
-                    docs.append(doc)
-                    leaders.append(key[0])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(leaders, pa.int64())], names=["a", "b"])
+                    yield links()
+                    group, docs, tiles, keys = key, [], [], []
+                docs.append(doc)
+                tiles.append(tile)
+                keys.append(own)
+        yield links()
 
-    return follow
+    return compare
 
 
 def _verifier(n: int, percent: int):
@@ -306,6 +291,33 @@ def _verifier(n: int, percent: int):
     return verify
 
 
+def _families(reps: DataFrame, folder: str) -> DataFrame:
+    """doc, family and its size for documents that are much like some other, by signatures.
+
+    Families only decide how documents are compared: all within one, by prefixes across them.
+    """
+    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("sign")[i].alias("value")) for i in range(BANDS)]))
+    active = reps.select("doc", "sign", bands.alias("b")).select("doc", "sign", "b.band", "b.value")
+    coarse, key = [], ["band", "value"]
+    while True:
+        groups = active.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+        parts = F.ceil(F.col("size") / GROUP).alias("parts")
+        members = active.join(groups.select(*key, parts), key)
+        members = materialize(members.withColumn("part", F.pmod(F.xxhash64("doc"), "parts")), "bands", folder)
+        # A group is never more than about GROUP documents, however many share a value.
+        laid = members.repartition(*key, "part").sortWithinPartitions(*key, "part", "doc")
+        found = laid.select("band", "value", "part", "doc", "sign").mapInArrow(_gather, "a long, b long")
+        coarse.append(materialize(found.distinct(), "gathered", folder))
+        # What is left of a group that took several goes is gathered again, while that helps.
+        rest = members.where(F.col("parts") > 1).select("doc", "sign", *key)
+        if rest.isEmpty() or coarse[-1].isEmpty():
+            break
+        active = materialize(rest.join(coarse[-1].select(F.col("a").alias("doc")).distinct(), "doc", "left_anti"), "active", folder)
+    found = components(reduce(DataFrame.union, coarse), folder).select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    sizes = found.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    return materialize(found.join(sizes, "family"), "families", folder)
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
@@ -313,50 +325,44 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     A-Z. Two documents are linked when 100 * intersection >= percent * union; component_id is the
     smallest doc_id reachable by links. No link between different texts is lost:
 
-    1. N-grams are ordered by the frequency of their words over all texts, rare ones first. Tasks
-       take the longest prefix in that order that a document may need, and units of documents
-       exchange shortened hashes of those n-grams with buckets that count who holds them.
-    2. With these counts each document chooses the length of its prefix and the matches it asks
-       for (`prefix_matches`). Only n-grams that others hold go on, of documents with enough.
-    3. Each document is compared with one leader: of the documents in another component that
-       share a sample of its prefix n-grams, the first by id that shares most. This links
-       nearly all near copies with work in proportion to their number, whatever the group's size.
-    4. What is left are pairs of different components. All those with enough prefix n-grams in
-       common are verified on their texts.
-
-    Documents with equal sets are one class from the start, and need no comparison.
+    1. Documents with equal sets are one class with one representative.
+    2. Representatives that are much alike by their signatures are a family. The members of a
+       family are compared with each other, in tiles, and only links that connect leave a task;
+       so a large group of near copies gives no more rows than it has members for each tile.
+    3. N-grams are ordered by the frequency of their words over all texts, rare ones first. Each
+       representative has a prefix in that order, see `prefix_length`. Pairs from different
+       families that share enough prefix n-grams are verified on their texts.
 
     A missing or empty text, or one without words, has an empty set and links with nothing; a
     text of fewer words has them all as one n-gram. Rows with the same doc_id are one document
     in the graph; a row without doc_id links with nothing and has no component. Ties at the
-    threshold are links. A very long text is one set, whatever its length. An empty table gives
-    no rows. Other columns are not used. The result is written, and the tables it was made from go.
+    threshold are links. An empty table gives no rows. Other columns are not used. The result is
+    written, and the tables it was made from go.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with scratch_space(spark, "ngram-join") as folder:
-        units = materialize(rows.mapInArrow(_profiler(words, percent, word_levels(rows)), _UNITS), "units", folder)
-        profile = units.select(F.inline("docs"))
+    with scratch_space(docs.sparkSession, "ngram-join") as folder:
+        level, total = word_levels(rows)
+        schema = "doc_id long, n long, digest binary, sign array<int>, matches int, prefix array<long>"
+        profile = materialize(rows.mapInArrow(_profiler(words, percent, level, total), schema), "profile", folder)
         usable = profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-        classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-        several = classes.where(F.col("rows") > 1).select("digest", "rep")
-        copies = usable.join(several, "digest").where(F.col("doc_id") != F.col("rep"))
-        copies = materialize(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies", folder)
-        prefixes = materialize(_prefixes(units, percent), "prefixes", folder)
-        texts = rows.join(prefixes.select("doc").distinct(), F.col("doc_id") == F.col("doc")).select("doc", "text")
+        classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes", folder)
+        heads = classes.select("digest", "rep")
+
+        def reps(*columns):
+            own = usable.select("digest", "doc_id", *columns).join(heads, "digest").where(F.col("doc_id") == F.col("rep"))
+            return own.select(F.col("doc_id").alias("doc"), *columns)
+
+        families = _families(reps("sign"), folder)
+        pairs = materialize(_candidates(reps("n", "matches", "prefix"), families, percent, folder), "pairs", folder)
+        wanted = families.select("doc").union(pairs.select("a")).union(pairs.select("b")).distinct()
+        texts = rows.join(wanted, rows["doc_id"] == wanted["doc"]).select("doc", "text")
         texts = materialize(texts, "texts", folder)
 
-        links = copies
-        connected = copies.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        for _ in range(ROUNDS):
-            found = materialize(_led(prefixes, connected, texts, words, percent), "led", folder)
-            links = links.union(found)
-            connected = components(links, folder)
-        pairs = materialize(_candidates(prefixes, connected, percent, folder), "pairs", folder)
         for s in ("a", "b"):
             pairs = pairs.join(texts.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}")), s)
         across = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(words, percent), "a long, b long")
-        connected = components(links.union(across), folder)
+        links = [_copies(usable, classes), _compared(families, texts, words, percent), across]
+        connected = components(reduce(DataFrame.union, links), folder)
         out = profile.select("doc_id", F.col("n").alias("n_shingles"))
         out = out.join(connected, F.col("doc_id") == F.col("node"), "left").select(
             "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
@@ -364,87 +370,71 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         return materialize(out, "ngram-components")
 
 
-def _prefixes(units: DataFrame, percent: int) -> DataFrame:
-    """The prefixes of documents that may have partners, with who holds their n-grams."""
-    total = units.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, -(-total // BUCKET_TOKENS))
-    sent = units.select("unit", "tokens").mapInArrow(_sender(buckets), "bucket long, unit long, short binary, count binary")
-    answers = sent.groupBy("bucket").applyInArrow(_count, "bucket long, unit long, held binary")
-    asking = units.select("unit", "owner", "size", "length", "tokens")
-    return asking.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_chooser(percent, buckets), _PREFIXES)
-
-
-def _placed(docs: DataFrame, connected: DataFrame) -> DataFrame:
-    """`docs` with their component."""
-    return docs.join(connected, F.col("doc") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "doc"))
-
-
-def _led(prefixes: DataFrame, connected: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) of documents with their leaders, which are in other components."""
-    votes = _placed(prefixes.select("doc", F.explode("votes").alias("token")), connected)
-    own = F.struct("component", "doc")
-    ends = votes.groupBy("token").agg(F.min(own).alias("low"), F.max(own).alias("high"))
-    ends = ends.where(F.col("low.component") != F.col("high.component"))
-    leader = F.when(F.col("component") != F.col("low.component"), F.col("low.doc")).otherwise(F.col("high.doc"))
-    counted = votes.join(ends, "token").groupBy("doc", leader.alias("leader")).agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("doc").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"), F.max("n").alias("n"))
-    # One shared n-gram of a sample is no sign of a near copy.
-    best = best.where(F.col("n") > 1).select("doc", "leader")
-    parts = best.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
-    following = best.join(parts, "leader").select(
-        "leader", F.pmod(F.xxhash64("doc"), "parts").alias("part"), F.lit(True).alias("follows"), "doc"
-    )
-    leading = parts.select(
-        "leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("follows"), F.col("leader").alias("doc")
-    )
+def _copies(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    several = classes.where(F.col("rows") > 1)
+    return usable.select("doc_id", "digest").join(several, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
+def _compared(families: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links inside families. Each member goes to the comparisons of its tile with every tile."""
+    tiles = F.ceil(F.col("members") / TILE)
+    placed = families.withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("doc"), tiles)})
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
+    placed = placed.select("family", "doc", "tile", other)
     laid = (
-        following.union(leading)
+        placed.select("family", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "doc", "tile")
         .join(texts, "doc")
-        .repartition("leader", "part")
-        .sortWithinPartitions("leader", "part", "follows", "doc")
+        .repartition("family", "x", "y")
+        .sortWithinPartitions("family", "x", "y", "doc")
     )
-    return laid.select("leader", "part", "follows", "doc", "text").mapInArrow(_follower(words, percent), "a long, b long")
+    return laid.mapInArrow(_comparer(words, percent), "a long, b long")
 
 
-def _candidates(prefixes: DataFrame, connected: DataFrame, percent: int, folder: str) -> DataFrame:
-    """Pairs (a, b) of documents of different components with enough prefix n-grams in common.
+def _candidates(reps: DataFrame, families: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Pairs (a, b) of documents from different families with enough prefix n-grams in common.
 
     With prefixes cut at the earlier of their ends, what one has there and the other has not is
     missing from the whole of the other. A pair can be similar only if the one whose prefix ends
     first misses no more than its size less the n-grams that the pair must share.
     """
-    # Rows of one doc_id may have different sets.
-    placed = _placed(prefixes, connected).withColumn("row", F.xxhash64("doc", "n", "last", "length"))
-    held = placed.select("row", "component", F.inline(F.arrays_zip("tokens", "held")))
-    held = held.withColumnsRenamed({"tokens": "token", "held": "df"})
-    several = held.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    across = held.join(several.where(F.col("x") != F.col("y")).select("token"), "token")
-    across = across.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("across"))
+    last = F.element_at("prefix", -1)
+    # Order of unsigned values.
+    last = last.bitwiseXOR(F.lit(-(1 << 63))).alias("last")
+    labelled = reps.join(families.select("doc", "family"), "doc", "left").select(
+        "doc", "n", "matches", F.coalesce("family", "doc").alias("family"), last, F.size("prefix").alias("length"), F.explode("prefix").alias("token")
+    )
+    several = labelled.groupBy("token").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count(F.lit(1)).alias("df"))
+    several = several.where(F.col("x") != F.col("y")).select("token", "df")
+    across = materialize(labelled.join(several, "token"), "across", folder)
     # No partner asks for less than this.
     least = F.least("matches", F.lit(FEWEST))
-    own = placed.select("row", "doc", "n", "matches", "last", "length", "component").distinct()
-    own = materialize(own.join(across, "row").where(F.size("across") >= least), "across", folder)
+    enough = across.groupBy("doc").agg(F.count(F.lit(1)).alias("found"), F.first(least).alias("least"))
+    enough = enough.where(F.col("found") >= F.col("least")).select("doc", "least")
     # A pair that shares so many n-grams shares the rarest of them also when each document leaves
     # out its most frequent ones, one less than that.
-    rare = F.slice("across", 1, F.size("across") - least + 1)
-    names = ("row", "doc", "n", "component", "last", "length")
-    tokens = own.select(F.explode(rare).alias("rare"), *names).select("rare.token", *names)
-    side = lambda s: tokens.select("token", *[F.col(c).alias(f"{c}_{s}") for c in names])
+    by_df = Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("token"))
+    rare = across.join(enough, "doc").withColumn("place", F.row_number().over(by_df)).where(F.col("place") >= F.col("least"))
+    names = ("doc", "n", "family", "last", "length")
+    side = lambda s: rare.select("token", *[F.col(c).alias(f"{c}_{s}") for c in names])
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     must_share = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     asked = F.when(F.col("last_a") <= F.col("last_b"), F.col("length_a") - F.col("n_a")).otherwise(F.col("length_b") - F.col("n_b"))
     pairs = (
         side("a")
         .join(side("b"), "token")
-        .where((F.col("doc_a") < F.col("doc_b")) & (F.col("component_a") != F.col("component_b")) & (100 * small >= percent * large))
-        .groupBy("row_a", "row_b", F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+        .where((F.col("doc_a") < F.col("doc_b")) & (F.col("family_a") != F.col("family_b")) & (100 * small >= percent * large))
+        .groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
         .agg(F.first(must_share + asked).alias("asked"))
     )
+    tokens = across.join(enough.select("doc"), "doc").groupBy("doc").agg(F.collect_set("token").alias("tokens"))
     for s in ("a", "b"):
-        pairs = pairs.join(own.select(F.col("row").alias(f"row_{s}"), F.col("across.token").alias(f"tokens_{s}")).distinct(), f"row_{s}")
-    enough = F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("asked")
-    return pairs.where(enough).select("a", "b").distinct()
+        pairs = pairs.join(tokens.select(F.col("doc").alias(s), F.col("tokens").alias(f"tokens_{s}")), s)
+    return pairs.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("asked")).select("a", "b")
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if there are few enough; otherwise Spark shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
 
 
 def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -498,7 +488,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     # Rows that go, and rows of nodes that have several, of which one stays.
     marked = found.join(first, "group").where(~stays | (F.col("rows") > 1)).select("__dropped", stays.alias("stays"))
     marked = materialize(marked, "marked")
-    single = noded.join(marked, F.col("__node") == F.col("__dropped"), "left_anti").select(*docs.columns)
+    single = noded.join(_small(marked.select("__dropped")), F.col("__node") == F.col("__dropped"), "left_anti").select(*docs.columns)
     if not marked.where("stays").head(1):
         return single
     columns = [c for c in docs.columns if c != "text"]
