@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -24,6 +25,9 @@ WORDS, PERCENT = 5, 80
 # the expected chance partners per match above which it asks for twice as many.
 FEWEST, MOST, COST = 8, 32, 4.0
 BUCKETS = 1 << 16
+# Prefix n-grams are dealt to buckets: the fewest, and how many n-grams one holds where there are
+# more. Of the hash, `SENT` bits are sent; others choose the bucket.
+LEAST_BUCKETS, BUCKET_TOKENS, SENT = 256, 1 << 19, 32
 # Values of a signature, how many of them gather families, and how many must agree for that.
 VALUES, BANDS, AGREE = 16, 6, 6
 # Documents gathered, or compared with each other, in one go; larger groups take more goes.
@@ -151,11 +155,16 @@ def signatures(keys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _sent(keys: np.ndarray) -> np.ndarray:
+    """The bits of n-grams that are sent to the buckets."""
+    return (keys & np.uint64((1 << SENT) - 1)).astype(np.uint32)
+
+
 def _profiler(n: int, percent: int, level: np.ndarray, total: float):
     def profile(batches):
         shingles = Shingles(n)
         for batch in batches:
-            sizes, digests, signs, matches, prefixes = [], [], [], [], []
+            sizes, digests, signs, matches, lasts, lengths, prefixes = [], [], [], [], [], [], []
             for _, _, data, ends in blocks(batch.column("text"), BLOCK_BYTES):
                 own = shingles.keys(data, ends, level)
                 signs.append(signatures(own))
@@ -163,10 +172,13 @@ def _profiler(n: int, percent: int, level: np.ndarray, total: float):
                     sizes.append(len(keys))
                     digests.append(hashlib.blake2b(keys.tobytes(), digest_size=16).digest())
                     length, m = prefix_length(keys, percent, total, n) if len(keys) else (0, 0)
-                    matches.append(m)
-                    prefixes.append(keys[:length].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+                    # So many n-grams may be lost among others that look alike when they are sent.
+                    alike = length - len(np.unique(_sent(keys[:length])))
+                    matches.append(max(m - alike, min(m, 1)))
+                    lengths.append(length - alike)
+                    # Order of unsigned values.
+                    lasts.append((int(keys[length - 1]) if length else 0) - (1 << 63))
+                    prefixes.append(keys[:length].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
             sign = np.concatenate(signs).ravel() if signs else np.zeros(0, np.int32)
             columns = [
                 batch.column("doc_id"),
@@ -174,9 +186,11 @@ def _profiler(n: int, percent: int, level: np.ndarray, total: float):
                 pa.array(digests, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * VALUES, pa.int32()), pa.array(sign)),
                 pa.array(matches, pa.int32()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                pa.array(lasts, pa.int64()),
+                pa.array(lengths, pa.int32()),
+                pa.array(prefixes, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "sign", "matches", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "sign", "matches", "last", "length", "prefix"])
 
     return profile
 
@@ -280,6 +294,53 @@ def _comparer(n: int, percent: int):
     return compare
 
 
+def _dealer(buckets: int):
+    """Pack prefix n-grams: a row for each bucket and run of documents has their bits, their
+    documents, and for the last of them, those of documents in families, these families."""
+
+    def deal(batches):
+        for batch in batches:
+            prefix, family = batch.column("prefix"), batch.column("family")
+            # Six bytes each: four of them, and two that choose the bucket.
+            data = np.zeros((sum(map(len, parts := prefix.to_pylist())) // 6, 8), np.uint8)
+            data[:, :6] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
+            keys = data.view(np.uint64).ravel()
+            size = pc.binary_length(prefix).to_numpy() // 6
+            doc, home, known = (
+                np.repeat(c.to_numpy(zero_copy_only=False), size) for c in (batch.column("doc"), family.fill_null(0), family.is_valid())
+            )
+            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+            order = np.lexsort((known, bucket))
+            token, doc, home, known, bucket = _sent(keys)[order], doc[order], home[order], known[order], bucket[order]
+            begins = np.flatnonzero(np.diff(bucket, prepend=-1))
+            rows = [
+                (int(bucket[a]), token[a:b].tobytes(), doc[a:b].tobytes(), home[a:b][known[a:b]].tobytes())
+                for a, b in zip(begins, [*begins[1:], len(bucket)])
+            ]
+            kinds = {"bucket": pa.int64(), "tokens": pa.binary(), "docs": pa.binary(), "families": pa.binary()}
+            columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
+
+    return deal
+
+
+def _shared(bucket: pa.Table) -> pa.Table:
+    """The n-grams of a bucket that documents of different families have, with these documents,
+    each once."""
+    token, doc = (np.frombuffer(b"".join(bucket.column(c).to_pylist()), kind) for c, kind in (("tokens", np.uint32), ("docs", np.int64)))
+    family, ends = doc.copy(), np.cumsum([len(d) // 8 for d in bucket.column("docs").to_pylist()])
+    for end, packed in zip(ends, bucket.column("families").to_pylist()):
+        family[end - len(packed) // 8 : end] = np.frombuffer(packed, np.int64)
+    order = np.lexsort((doc, token))
+    order = order[(np.diff(token[order].astype(np.int64), prepend=-1) != 0) | (np.diff(doc[order], prepend=0) != 0)]
+    token, doc, family = token[order], doc[order], family[order]
+    begins = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
+    df = np.diff(np.append(begins, len(token)))
+    keep = np.repeat(np.minimum.reduceat(family, begins) != np.maximum.reduceat(family, begins), df)
+    token = token.astype(np.int64) | bucket.column("bucket")[0].as_py() << 32
+    return pa.table({"token": token[keep], "df": np.repeat(df, df)[keep], "doc": doc[keep], "family": family[keep]})
+
+
 def _verifier(n: int, percent: int):
     def verify(batches):
         shingles = Shingles(n)
@@ -297,7 +358,9 @@ def _families(reps: DataFrame, folder: str) -> DataFrame:
     Families only decide how documents are compared: all within one, by prefixes across them.
     """
     bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("sign")[i].alias("value")) for i in range(BANDS)]))
-    active = reps.select("doc", "sign", bands.alias("b")).select("doc", "sign", "b.band", "b.value")
+    # One signature of each document, also where rows are repeated.
+    signs = materialize(reps.groupBy("doc").agg(F.min("sign").alias("sign")), "signs", folder)
+    active = signs.select("doc", bands.alias("b")).select("doc", "b.band", "b.value")
     coarse, key = [], ["band", "value"]
     while True:
         groups = active.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
@@ -305,11 +368,11 @@ def _families(reps: DataFrame, folder: str) -> DataFrame:
         members = active.join(groups.select(*key, parts), key)
         members = materialize(members.withColumn("part", F.pmod(F.xxhash64("doc"), "parts")), "bands", folder)
         # A group is never more than about GROUP documents, however many share a value.
-        laid = members.repartition(*key, "part").sortWithinPartitions(*key, "part", "doc")
+        laid = members.join(signs, "doc").repartition(*key, "part").sortWithinPartitions(*key, "part", "doc")
         found = laid.select("band", "value", "part", "doc", "sign").mapInArrow(_gather, "a long, b long")
         coarse.append(materialize(found.distinct(), "gathered", folder))
         # What is left of a group that took several goes is gathered again, while that helps.
-        rest = members.where(F.col("parts") > 1).select("doc", "sign", *key)
+        rest = members.where(F.col("parts") > 1).select("doc", *key)
         if rest.isEmpty() or coarse[-1].isEmpty():
             break
         active = materialize(rest.join(coarse[-1].select(F.col("a").alias("doc")).distinct(), "doc", "left_anti"), "active", folder)
@@ -342,19 +405,18 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scratch_space(docs.sparkSession, "ngram-join") as folder:
         level, total = word_levels(rows)
-        schema = "doc_id long, n long, digest binary, sign array<int>, matches int, prefix array<long>"
+        schema = "doc_id long, n long, digest binary, sign array<int>, matches int, last long, length int, prefix binary"
         profile = materialize(rows.mapInArrow(_profiler(words, percent, level, total), schema), "profile", folder)
         usable = profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
         classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes", folder)
-        heads = classes.select("digest", "rep")
-
-        def reps(*columns):
-            own = usable.select("digest", "doc_id", *columns).join(heads, "digest").where(F.col("doc_id") == F.col("rep"))
-            return own.select(F.col("doc_id").alias("doc"), *columns)
-
-        families = _families(reps("sign"), folder)
-        pairs = materialize(_candidates(reps("n", "matches", "prefix"), families, percent, folder), "pairs", folder)
+        heads = classes.select("digest", F.col("rep").alias("doc"))
+        own = usable.withColumnRenamed("doc_id", "doc")
+        families = _families(own.select("doc", "digest", "sign").join(heads, ["doc", "digest"]).select("doc", "sign"), folder)
+        homes = heads.join(families.select("doc", "family"), "doc", "left")
+        reps = own.drop("sign").join(homes, ["doc", "digest"])
+        pairs = materialize(_candidates(reps, _buckets(profile), percent, folder), "pairs", folder)
         wanted = families.select("doc").union(pairs.select("a")).union(pairs.select("b")).distinct()
+        wanted = _small(materialize(wanted, "wanted", folder))
         texts = rows.join(wanted, rows["doc_id"] == wanted["doc"]).select("doc", "text")
         texts = materialize(texts, "texts", folder)
 
@@ -390,35 +452,46 @@ def _compared(families: DataFrame, texts: DataFrame, words: int, percent: int) -
     return laid.mapInArrow(_comparer(words, percent), "a long, b long")
 
 
-def _candidates(reps: DataFrame, families: DataFrame, percent: int, folder: str) -> DataFrame:
+def _buckets(profile: DataFrame) -> int:
+    """How many buckets the prefix n-grams need."""
+    tokens = profile.agg(F.sum("length")).first()[0] or 0
+    return min(max(LEAST_BUCKETS, math.ceil(tokens / BUCKET_TOKENS)), 1 << 16)
+
+
+def _candidates(reps: DataFrame, buckets: int, percent: int, folder: str) -> DataFrame:
     """Pairs (a, b) of documents from different families with enough prefix n-grams in common.
 
     With prefixes cut at the earlier of their ends, what one has there and the other has not is
     missing from the whole of the other. A pair can be similar only if the one whose prefix ends
-    first misses no more than its size less the n-grams that the pair must share.
+    first misses no more than its size less the n-grams that the pair must share. Different
+    n-grams that look alike add pairs, and `_profiler` asks for as many less as they may hide.
+    Where several texts have one doc_id, the least that any of them asks for counts.
     """
-    last = F.element_at("prefix", -1)
-    # Order of unsigned values.
-    last = last.bitwiseXOR(F.lit(-(1 << 63))).alias("last")
-    labelled = reps.join(families.select("doc", "family"), "doc", "left").select(
-        "doc", "n", "matches", F.coalesce("family", "doc").alias("family"), last, F.size("prefix").alias("length"), F.explode("prefix").alias("token")
-    )
-    several = labelled.groupBy("token").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count(F.lit(1)).alias("df"))
-    several = several.where(F.col("x") != F.col("y")).select("token", "df")
-    across = materialize(labelled.join(several, "token"), "across", folder)
+    dealt = reps.select("doc", "family", "prefix").mapInArrow(_dealer(buckets), "bucket long, tokens binary, docs binary, families binary")
+    shared = dealt.groupBy("bucket").applyInArrow(_shared, "token long, df long, doc long, family long")
+    across = materialize(shared, "across", folder)
+    found = across.groupBy("doc").agg(F.count(F.lit(1)).alias("found"), F.first("family").alias("family"))
     # No partner asks for less than this.
     least = F.least("matches", F.lit(FEWEST))
-    enough = across.groupBy("doc").agg(F.count(F.lit(1)).alias("found"), F.first(least).alias("least"))
-    enough = enough.where(F.col("found") >= F.col("least")).select("doc", "least")
+    asks = reps.groupBy("doc").agg(
+        F.min(least).alias("least"),
+        F.min("n").alias("low"),
+        F.max("n").alias("high"),
+        F.min("last").alias("last"),
+        F.min(F.col("length") - F.col("n")).alias("spare"),
+        (F.min("digest") != F.max("digest")).alias("several"),
+    )
+    enough = materialize(asks.join(found, "doc").where(F.col("found") >= F.col("least")), "enough", folder)
     # A pair that shares so many n-grams shares the rarest of them also when each document leaves
     # out its most frequent ones, one less than that.
     by_df = Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("token"))
-    rare = across.join(enough, "doc").withColumn("place", F.row_number().over(by_df)).where(F.col("place") >= F.col("least"))
-    names = ("doc", "n", "family", "last", "length")
+    rare = across.drop("family").join(enough, "doc").withColumn("place", F.row_number().over(by_df)).where(F.col("place") >= F.col("least"))
+    names = ("doc", "low", "high", "family", "last", "spare", "several")
     side = lambda s: rare.select("token", *[F.col(c).alias(f"{c}_{s}") for c in names])
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    must_share = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    asked = F.when(F.col("last_a") <= F.col("last_b"), F.col("length_a") - F.col("n_a")).otherwise(F.col("length_b") - F.col("n_b"))
+    small, large = F.least("high_a", "high_b"), F.greatest("low_a", "low_b")
+    must_share = F.ceil(percent * (F.col("low_a") + F.col("low_b")) / (100 + percent))
+    asked = F.when(F.col("several_a") | F.col("several_b"), F.least("spare_a", "spare_b"))
+    asked = asked.when(F.col("last_a") <= F.col("last_b"), F.col("spare_a")).otherwise(F.col("spare_b"))
     pairs = (
         side("a")
         .join(side("b"), "token")

@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from dayweave.llm import embedding_dedup, ngram_join
@@ -55,6 +57,16 @@ def _brute_join(rows, n, percent):
     return sorted(((i, len(s), root.get(i)) for i, s in sets), key=repr)
 
 
+def _brute_pairs(rows, n, percent):
+    sets = [_shingles(t, n) for _, t in rows]
+    return [
+        (x, y)
+        for x, s in enumerate(sets)
+        for y, t in enumerate(sets[:x])
+        if s and t and 100 * len(s & t) >= percent * len(s | t)
+    ]
+
+
 def _copies():
     random.seed(11)
     vocabulary = [f"w{i}" for i in range(300)] + ["the", "of", "and"] * 100
@@ -83,6 +95,61 @@ def test_join(spark, monkeypatch, n, percent, group, tile, agree):
     assert sorted(map(tuple, got), key=repr) == _brute_join(rows, n, percent)
 
 
+@pytest.mark.parametrize("sent", [0, 3, 7])
+def test_links_stay_when_different_ngrams_look_alike(spark, monkeypatch, sent):
+    """Few bits of a prefix n-gram reach its bucket; there are few buckets and no families."""
+    for name, value in (("SENT", sent), ("LEAST_BUCKETS", 3), ("AGREE", 17)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = _copies()
+    got = join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()
+    assert sorted(map(tuple, got), key=repr) == _brute_join(rows, 4, 85)
+
+
+def test_texts_of_one_id_keep_their_links(spark, monkeypatch):
+    """Rows with one doc_id, equal and different ones, link where any of their texts does."""
+    monkeypatch.setattr(ngram_join, "AGREE", 17)
+    rows = _copies()
+    rows = [(i // 2, t) for i, t in rows] + rows[:9] * 3 + rows[:9]
+    root = _reach({i for i, _ in rows}, [(rows[x][0], rows[y][0]) for x, y in _brute_pairs(rows, 4, 85)])
+    got = join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == root and len(got) == len(rows)
+
+
+def test_prefixes_are_shuffled_in_packed_form(spark, monkeypatch):
+    """N-grams go to buckets, many in a row; no table of single n-grams is shuffled to find those that are shared."""
+    plans, write = {}, ngram_join.materialize
+
+    def seen(df, name, *folder):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, *folder)
+
+    monkeypatch.setattr(ngram_join, "materialize", seen)
+    join(spark.createDataFrame(_copies(), "doc_id long, text string"), 4, 85).collect()
+    assert not re.search(r"hashpartitioning\(token", plans["across"])
+    assert re.search(r"hashpartitioning\(bucket", plans["across"]) and "explode" not in plans["across"]
+
+
+def test_shared_ngrams_of_buckets():
+    rng = np.random.default_rng(8)
+    docs = [(d, None if d % 3 else d % 2, rng.choice(200, rng.integers(0, 40), replace=False)) for d in range(60)]
+    hashes = ngram_join.mixed(np.arange(200, dtype=np.uint64))
+    packed = [(d, f, hashes[t].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for d, f, t in docs]
+    schema = pa.schema([("doc", pa.int64()), ("family", pa.int64()), ("prefix", pa.binary())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema) for part in (packed[:25], packed[25:])]
+    batches.append(batches[0].slice(0, 0))
+    dealt = pa.Table.from_batches(ngram_join._dealer(7)(iter(batches)))
+    got = []
+    for b in set(dealt.column("bucket").to_pylist()):
+        got += ngram_join._shared(dealt.filter(pc.equal(dealt.column("bucket"), b))).to_pylist()
+    homes = {}
+    for d, f, t in docs:
+        for x in t:
+            homes.setdefault(int(x), []).append((d, d if f is None else f))
+    want = sorted((len(h), d, f) for h in homes.values() if len({f for _, f in h}) > 1 for d, f in h)
+    assert sorted((r["df"], r["doc"], r["family"]) for r in got) == want
+    assert len({r["token"] for r in got}) == sum(len({f for _, f in h}) > 1 for h in homes.values())
+
+
 @pytest.mark.parametrize("percent", [60, 80, 95])
 def test_sets_compared_at_once(percent):
     rng = np.random.default_rng(percent)
