@@ -33,8 +33,9 @@ VALUES, BANDS, AGREE = 16, 6, 6
 # Documents gathered, or compared with each other, in one go; larger groups take more goes.
 GROUP, TILE = 4096, 512
 BLOCK_BYTES = 1 << 20
-# Ids, of 8 bytes each, that may be broadcast.
-FEW_IDS = 1_000_000
+# Ids, of 8 bytes each, that may be broadcast: to find texts, and where rows would be shuffled
+# otherwise. More of the former go as bits of their hashes, `ID_BITS` whatever their number.
+IDS, FEW_IDS, ID_BITS = 65_536, 1_000_000, 1 << 25
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.arange(256, dtype=np.uint8) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
 _STEP = np.uint64(0xD1B54A32D192ED03)
@@ -416,8 +417,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         reps = own.drop("sign").join(homes, ["doc", "digest"])
         pairs = materialize(_candidates(reps, _buckets(profile), percent, folder), "pairs", folder)
         wanted = families.select("doc").union(pairs.select("a")).union(pairs.select("b")).distinct()
-        wanted = _small(materialize(wanted, "wanted", folder))
-        texts = rows.join(wanted, rows["doc_id"] == wanted["doc"]).select("doc", "text")
+        texts = _texts(rows, materialize(wanted, "wanted", folder))
         texts = materialize(texts, "texts", folder)
 
         for s in ("a", "b"):
@@ -505,6 +505,25 @@ def _candidates(reps: DataFrame, buckets: int, percent: int, folder: str) -> Dat
     return pairs.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("asked")).select("a", "b")
 
 
+def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc and text of the rows with these ids.
+
+    A broadcast of ids would grow with the input in the driver. Where there are many, their bits are
+    sent, and only rows that may have one of them are shuffled.
+    """
+    if ids.count() <= IDS:
+        ids = F.broadcast(ids)
+    else:
+        at = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+        bucket, bit = F.bitmap_bucket_number(at("doc")), F.bitmap_bit_position(at("doc"))
+        bits = ids.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+        bit = F.bitmap_bit_position(at("doc_id")).cast("int")
+        byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        held = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit % 8)) != 0
+        rows = rows.join(F.broadcast(bits), (F.bitmap_bucket_number(at("doc_id")) == F.col("bucket")) & held, "left_semi")
+    return rows.join(ids, rows["doc_id"] == ids["doc"]).select("doc", "text")
+
+
 def _small(ids: DataFrame) -> DataFrame:
     """A table of ids, to be broadcast if there are few enough; otherwise Spark shuffles both sides."""
     return F.broadcast(ids) if ids.count() <= FEW_IDS else ids

@@ -2,11 +2,13 @@
 
 import random
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from dayweave.llm import embedding_dedup, ngram_join
 from dayweave.llm.components import components
@@ -38,6 +40,44 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def _jobs(spark, run):
+    """What `run` gives, and how many Spark jobs it started."""
+    group = f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_few_edges_are_connected_without_rounds(spark, monkeypatch):
+    """The driver keeps something for each exchange of a round, so few edges take no rounds."""
+    random.seed(6)
+    edges = [(random.randint(-300, 300), random.randint(-300, 300)) for _ in range(250)]
+    edges += [(i, i + 1) for i in range(1000, 1200)] + [(1 << 62, -(1 << 62)), (None, 3), (9, 9)]
+    run = lambda: sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    once, jobs = _jobs(spark, run)
+    monkeypatch.setattr(sys.modules["dayweave.llm.components"], "FEW_EDGES", 0)
+    assert _jobs(spark, run)[0] == once and jobs <= 8
+
+
+def test_many_ids_are_not_broadcast(spark, monkeypatch):
+    """Texts of many ids are found through a table of fixed size; only rows that may have one are shuffled."""
+    rows = spark.range(-2000, 2000).select(
+        F.when(F.col("id") % 10 != 0, F.col("id") * 7919).alias("doc_id"), F.concat(F.lit("text"), F.col("id").cast("string")).alias("text")
+    )
+    ids = spark.createDataFrame([(i * 7919,) for i in range(-2000, 3000, 3)] + [((1 << 63) - 1,), (-(1 << 63),)], "doc long")
+    want = [(i * 7919, f"text{i}") for i in range(-2000, 2000, 3) if i % 10]
+    monkeypatch.setattr(ngram_join, "IDS", 100)
+    # Also where different ids have the same bit.
+    for bits in (ngram_join.ID_BITS, 64):
+        monkeypatch.setattr(ngram_join, "ID_BITS", bits)
+        texts = ngram_join._texts(rows, ids)
+        assert sorted(map(tuple, texts.collect())) == want
+        hints = re.findall(r"strategy=broadcast", texts._jdf.queryExecution().logical().toString())
+        assert len(hints) == 1 and "bitmap_construct_agg" in texts._jdf.queryExecution().logical().toString()
+
+
 def _shingles(text, n):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if 0 < len(words) < n:
