@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dayweave.llm.text import running_totals
 from dayweave.sources import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -304,18 +303,13 @@ def mine(
     own = materialize(own.select("id", "row.label", "row.vector"), "anchors")
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    numbered = running_totals(blocks.select("block"), [F.col("block")], {"number": F.lit(1)}, "block-numbers")
-    numbered = materialize(numbered, "numbers")
-    count = numbered.count()
-    candidates = _side(blocks, "b").join(numbered.select(F.col("block").alias("block_b"), "number"), "block_b")
     # A block stays one row, whatever the number of chunks that come to it.
-    candidates = candidates.repartition(parts, "number")
+    candidates = _side(blocks, "b").repartition(parts, "block_b")
 
     chunks = _blocks(own, CHUNK, False, "anchor-chunks")
     labels = lambda df, name: df.select(F.col("block").alias(name), F.explode("labels_held").alias("label"))
-    meet = labels(chunks, "block_a").join(labels(blocks, "block"), "label").join(numbered, "block")
-    meet = meet.select("block_a", "number").distinct()
-    near = _side(chunks, "a").join(meet, "block_a").join(candidates, "number")
+    meet = labels(chunks, "block_a").join(labels(blocks, "block_b"), "label").select("block_a", "block_b").distinct()
+    near = _side(chunks, "a").join(meet, "block_a").join(candidates, "block_b")
     found = near.mapInArrow(_positive_searcher(positives), "anchor_id long, positive_id long, positive_score long")
     by_score = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     first = found.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= positives)
@@ -332,9 +326,11 @@ def mine(
     )
 
     chunks = _side(_blocks(asking, CHUNK, False, "asking-chunks", ["ranks", "positives", "scores"]), "a")
-    # Each chunk goes to every block. Without blocks there are no chunks either.
-    dealt = chunks.withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(max(count, 1)))))
-    far = dealt.join(candidates, "number").where(
+    # Each chunk goes to every block. Those that one task wrote have consecutive numbers: as many rows as tasks.
+    runs = blocks.groupBy(F.shiftright("block", 32)).agg(F.min("block").alias("first"), F.max("block").alias("last"))
+    dealt = chunks.crossJoin(F.broadcast(runs.select("first", "last")))
+    dealt = dealt.select(*chunks.columns, F.explode(F.sequence("first", "last")).alias("block_b"))
+    far = dealt.join(candidates, "block_b").where(
         ~((F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b")))
     )
     schema = "anchor_id long, place long, positive_id long, positive_score long, negative_id long, negative_score long"

@@ -92,6 +92,16 @@ def test_one_label_holds_most_rows(spark, small_blocks):
     assert mined(spark, rows) == plain(rows)
 
 
+def test_blocks_need_no_numbers(spark, small_blocks, monkeypatch):
+    """Every chunk meets every block of several tasks, without tables and exchanges that number the blocks."""
+    written, write = [], hard_negatives.materialize
+    monkeypatch.setattr(hard_negatives, "materialize", lambda df, name, *a: written.append(name) or write(df, name, *a))
+    monkeypatch.setitem(vars(hard_negatives), "running_totals", None)
+    rows = vectors(300, 5, [0, 1, 2], 8)
+    assert mined(spark, rows) == plain(rows)
+    assert written == ["candidate-blocks", "anchors", "anchor-chunks", "asking-chunks"]
+
+
 def test_the_search_stops_early():
     """On candidates along one direction a few of them are scored, not all."""
     n = 4000
